@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import boilerplate, near_dup, packing, splitting, tokens
+from quarrylens.llm import boilerplate, knn, near_dup, packing, splitting, tokens
 from quarrylens.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.remove_repeated(chunks.dropDuplicates(["chunk_id"]), places).withColumnRenamed("id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = knn.most_similar(_table(spark, d, "chunk_embeddings"), min_cosine=0.8)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest, however far, for the queries whose hashed id is divisible by 20, against all rows."""
+    return knn.most_similar(_table(spark, d, "chunk_embeddings"), query_filter=F.expr("pmod(crc32(id), 20) = 0"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.check_splits(_table(spark, d, "sec_chunks")).filter("NOT is_valid").select("chunk_id")
 
@@ -74,7 +84,7 @@ def p7_packing_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = globals()
-    names = ["p1_found", "p1_line_report", "p1_clean", "p4_found", "p4_split", "p5_found", "p5_groups", "p6_ids", "p7_packing", "p7_packing_lengths"]
+    names = ["p1_found", "p1_line_report", "p1_clean", "p3_found", "p3_neighbours", "p4_found", "p4_split", "p5_found", "p5_groups", "p6_ids", "p7_packing", "p7_packing_lengths"]
     return {n: own[n] for n in names}
 
 
