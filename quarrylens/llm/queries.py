@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import boilerplate, knn, near_dup, packing, splitting, tokens
+from quarrylens.llm import boilerplate, knn, near_dup, packing, reading, splitting, tokens
 from quarrylens.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,9 +82,19 @@ def p7_packing_lengths(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(_table(spark, d, "documents")), (512, 1024, 2048))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels")).select("doc_id", "reading_level")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents, and with what scores, stand at each level."""
+    r = reading.reading_levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels"))
+    return r.groupBy("reading_level").agg(F.count("*").alias("n_docs"), F.round(F.min("score"), 4).alias("least"), F.round(F.max("score"), 4).alias("most"))
+
+
 def queries() -> dict[str, Query]:
     own = globals()
-    names = ["p1_found", "p1_line_report", "p1_clean", "p3_found", "p3_neighbours", "p4_found", "p4_split", "p5_found", "p5_groups", "p6_ids", "p7_packing", "p7_packing_lengths"]
+    names = ["p1_found", "p1_line_report", "p1_clean", "p3_found", "p3_neighbours", "p4_found", "p4_split", "p5_found", "p5_groups", "p6_ids", "p7_packing", "p7_packing_lengths", "p8_found", "p8_profile"]
     return {n: own[n] for n in names}
 
 
