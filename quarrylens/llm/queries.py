@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import boilerplate, knn, near_dup, packing, reading, splitting, tokens
+from quarrylens.llm import boilerplate, knn, near_dup, packing, pairs, reading, splitting, tokens
 from quarrylens.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.remove_repeated(chunks.dropDuplicates(["chunk_id"]), places).withColumnRenamed("id", "chunk_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, d, "conversation_turns"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = knn.most_similar(_table(spark, d, "chunk_embeddings"), min_cosine=0.8)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
@@ -94,7 +98,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = globals()
-    names = ["p1_found", "p1_line_report", "p1_clean", "p3_found", "p3_neighbours", "p4_found", "p4_split", "p5_found", "p5_groups", "p6_ids", "p7_packing", "p7_packing_lengths", "p8_found", "p8_profile"]
+    names = ["p1_found", "p1_line_report", "p1_clean", "p2_found", "p3_found", "p3_neighbours", "p4_found", "p4_split", "p5_found", "p5_groups", "p6_ids", "p7_packing", "p7_packing_lengths", "p8_found", "p8_profile"]
     return {n: own[n] for n in names}
 
 
