@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shingles import mix, set_hash, shingle_sets
+from quarrylens.llm.shingles import mix, set_hashes, shingle_sets
 from quarrylens.session import staged
 
 BLOCK_BITS = 16
@@ -60,10 +60,9 @@ def _scan(docs: DataFrame, bits: int, n_words: int) -> DataFrame:
             if not keep:
                 continue
             np.add.at(counts, np.concatenate([sets[i] for i in keep]) >> np.uint64(64 - bits), 1)
-            h = [set_hash(sets[i]) for i in keep]
-            none = [None] * len(keep)
-            cols = [none, none, b.column(0).take(pa.array(keep)), [x for x, _ in h], [y for _, y in h], [len(sets[i]) for i in keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(cols, types)], names)
+            h1, h2 = set_hashes([sets[i] for i in keep])
+            n = pa.array([len(sets[i]) for i in keep], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keep), types[0]), pa.nulls(len(keep), types[1]), b.column(0).take(pa.array(keep)), pa.array(h1), pa.array(h2), n], names)
         for k, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
             if part.any():
                 row = [[k], [zlib.compress(part.tobytes(), 1)], [None], [None], [None], [None]]
@@ -128,10 +127,8 @@ def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int) -> Dat
         levels, seen = sketch.value, set()
         for b in batches:
             ik, idx, pk, pdx, dh, dn, bm = [], [], [], [], [], [], []
-            for s in shingle_sets(b.column(1).to_pylist(), rule.n_words):
-                if not len(s):
-                    continue
-                h = set_hash(s)[0]
+            sets = [s for s in shingle_sets(b.column(1).to_pylist(), rule.n_words) if len(s)]
+            for s, h in zip(sets, set_hashes(sets)[0].tolist()):
                 if h in seen:  # copies in one task are sent once
                     continue
                 seen.add(h)
