@@ -114,7 +114,10 @@ def risk_scores_peers_zscore(spark, d):
 
 @query
 def risk_point_lookup(spark, d):
-    p = timeseries.point(inputs.ratios(spark, d), ONE, "Q3_1996").select(F.lit(ONE).alias("company"), F.lit("1996Q3").alias("period"), "metric", "value")
+    """The scores of one company at its last period, a row for every category."""
+    r = inputs.ratios(spark, d)
+    last = r.filter(F.col("company") == ONE).agg(F.max("period").alias("p")).first().p
+    p = timeseries.point(r, ONE, last).select(F.lit(ONE).alias("company"), F.lit(last).alias("period"), "metric", "value")
     return scoring.with_gaps(scoring.scores_without_peers(p)).select("category", "n_metrics", "score", "risk")
 
 

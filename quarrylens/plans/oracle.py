@@ -157,7 +157,7 @@ strftime(CASE WHEN starts_with(period, 'Q') THEN make_date(CAST(substr(period, 4
     "risk_scores_peers_percentile": f"WITH {ADJ}, {PEERS}, r AS (SELECT company, period, metric, (rank() OVER (PARTITION BY period, metric ORDER BY x) - 1 + 0.5 * count(*) OVER (PARTITION BY period, metric, x)) / count(*) OVER (PARTITION BY period, metric) AS norm FROM x), normed AS (SELECT company, period, category, norm FROM r JOIN groups USING (metric)) {SCORE}",
     "risk_scores_peers_minmax": peers("CASE WHEN abs(mx - mn) <= 1e-8 + 1e-5 * abs(mn) THEN 0.5 ELSE least(greatest((x - mn) / nullif(mx - mn, 0), 0.0), 1.0) END"),
     "risk_scores_peers_zscore": peers(f"least(greatest({cdf('(CASE WHEN sd > 1e-12 THEN (x - mu) / sd ELSE 0.0 END)')}, 0.0), 1.0)"),
-    "risk_point_lookup": f"WITH {ADJ}, {NO_PEERS}, sc AS ({SCORE}), cats AS (SELECT DISTINCT category FROM groups) SELECT category, n_metrics, score, risk FROM cats LEFT JOIN (SELECT * FROM sc WHERE company = '{ONE}' AND period = '1996Q3') USING (category)",
+    "risk_point_lookup": f"WITH {ADJ}, {NO_PEERS}, sc AS ({SCORE}), cats AS (SELECT DISTINCT category FROM groups) SELECT category, n_metrics, score, risk FROM cats LEFT JOIN (SELECT * FROM sc WHERE company = '{ONE}' AND period = (SELECT max(period) FROM ratios WHERE company = '{ONE}')) USING (category)",
     "metric_average_rank": f"WITH {RATIOS} SELECT company, period, metric, round(rank() OVER (PARTITION BY period, metric ORDER BY value) + (count(*) OVER (PARTITION BY period, metric, value) - 1) / 2, 1) AS rank FROM ratios",
     "display_format": f"WITH {RATIOS} SELECT company, period, metric, printf('%.2f', round(value, 2)) AS shown, least(greatest(round(CASE WHEN value <= 1 THEN value * 100 ELSE value END, 0), 0.0), 100.0) AS percent FROM ratios",
     "price_returns": f"""WITH {stocks('quarter')}, v AS (SELECT company, date, value AS p FROM stocks WHERE variable = 'Close'), r AS (SELECT company, date, p / nullif(lag(p) OVER (PARTITION BY company ORDER BY date), 0) - 1 AS ret FROM v)
