@@ -102,5 +102,30 @@ def queries() -> dict[str, Query]:
     return {n: own[n] for n in names}
 
 
+_LATEST = "SELECT * FROM sec_chunks WHERE {} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1"
+_LINES = """r AS (SELECT chunk_id, lower(regexp_replace(company, '^\\s+|\\s+$', '', 'g')) AS c, parent_chunk AS t FROM (%s)),
+l AS (SELECT chunk_id, c, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM r),
+k AS (SELECT chunk_id, c, n, regexp_replace(lower(s), '[^a-z]+', '', 'g') AS k FROM l),
+g AS (SELECT c, k FROM k WHERE k <> '' GROUP BY c, k HAVING count(DISTINCT chunk_id) >= 5)""" % _LATEST.format("NOT is_table AND company IS NOT NULL AND parent_chunk IS NOT NULL")
+
+ORACLE = {
+    "p1_found": f"WITH {_LINES} SELECT chunk_id, CAST(n AS INT) AS line_no FROM k JOIN g USING (c, k)",
+    "p1_clean": f"""WITH {_LINES}, found AS (SELECT chunk_id, list(n) AS gone FROM k JOIN g USING (c, k) GROUP BY chunk_id), base AS (SELECT chunk_id, parent_chunk AS t FROM ({_LATEST.format("NOT is_table")}))
+SELECT chunk_id, CASE WHEN gone IS NULL THEN t ELSE coalesce(array_to_string(list_filter(string_split(t, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END AS text, CAST(coalesce(len(gone), 0) AS INT) AS n_removed FROM base LEFT JOIN found USING (chunk_id)""",
+    # the split is checked piece by piece, each from where the piece before was found
+    "p4_found": f"""WITH RECURSIVE c AS (SELECT chunk_id, parent_chunk AS t, list_transform(list_sort(list_transform(map_entries(child_chunks), lambda e: {{'n': CAST(regexp_extract(e.key, '_([0-9]+)$', 1) AS INT), 'p': e.value}})), lambda e: e.p) AS ps FROM ({_LATEST.format("NOT is_table AND length(parent_chunk) > 2000")})),
+step AS (SELECT chunk_id, 0 AS i, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, coalesce(len(ps), 0) > 0 AS ok FROM c
+UNION ALL
+SELECT chunk_id, i + 1, place, place + length(p), coalesce(length(p) BETWEEN 1 AND 2000 AND found > 0 AND CASE WHEN i = 0 THEN place = 0 ELSE e - place BETWEEN 100 AND 400 END
+  AND NOT (i + 1 < n AND regexp_matches(substr(t, place + length(p), 2), '^[a-zA-Z0-9][a-zA-Z0-9]$') AND regexp_matches(right(p, 400), '[ ' || chr(10) || ']')) AND (i + 1 < n OR place + length(p) = length(t)), false)
+FROM (SELECT chunk_id, i, e, t, p, n, instr(substr(t, off + 1), p) AS found, off + instr(substr(t, off + 1), p) - 1 AS place FROM (SELECT step.*, t, ps[i + 1] AS p, len(ps) AS n, CASE WHEN i = 0 THEN 0 ELSE s + 1 END AS off FROM step JOIN c USING (chunk_id) WHERE ok AND i < len(ps))))
+SELECT chunk_id FROM step WHERE NOT ok""",
+    "p5_found": f"""WITH b AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(parent_chunk), '[a-z0-9]+') AS w FROM sec_chunks WHERE NOT is_table AND chunk_id IS NOT NULL AND parent_chunk IS NOT NULL),
+s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM b WHERE len(w) >= 3),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1), m AS (SELECT p.chunk_id AS a, q.chunk_id AS b, count(*) AS m FROM s p JOIN s q ON p.x = q.x AND p.chunk_id < q.chunk_id GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM m JOIN n x ON a = x.chunk_id JOIN n y ON b = y.chunk_id WHERE m / (x.n + y.n - m) >= 0.6""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
