@@ -104,6 +104,8 @@ def _keys(s: np.ndarray, level: np.ndarray, rare_level: int, t: float) -> tuple[
         if len(often) > 1:
             a, b = np.triu_indices(len(often), 1)
             single = np.concatenate([single, mix(often[a] * np.uint64(3) + mix(often[b]))])
+        if _ceil(t * n) <= 1:  # so small a set may share a single token with one that is similar
+            single = np.concatenate([single, mix(often + np.uint64(7))])
         keys.append(single)
     return keys[0], keys[1]
 
