@@ -7,7 +7,8 @@ exact cosine.
 
 A bucket belongs to a cell, the value of its first few functions. Vectors are shuffled by cell, not by bucket, because most
 probes of a query share a cell, so a query is sent a few times a table instead of once a probe. Cells above a size limit are
-split into blocks, and their queries go to each block. Equal vectors form a class that is hashed once.
+parted into their buckets, and a bucket above it becomes a grid of blocks, each of which pairs a share of its vectors with a
+share of its queries. Equal vectors form a class that is hashed once.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.llm.shingles import mix
 from quarrylens.session import staged
 
+CELL_ROWS = 30_000  # vectors that a task holds at once, about
+SEND_COST = 250  # sending a vector to a table costs as much as so many comparisons
 FAMILY_RANKS = ((1, 64), (2, 14), (3, 8), (4, 7))  # perturbations of so many functions, taken from the so many nearest walls
 
 
@@ -80,48 +84,50 @@ def hash_batch(x: np.ndarray, h: Hashing):
     return out
 
 
-def fit(sample: np.ndarray, n: int, min_cosine: float, recall: float = 0.97, bucket_rows: int = 60, cell_rows: int = 8000, seed: int = 7, max_probes: int = 64, mutual: bool = True) -> Hashing:
+def fit(sample: np.ndarray, n: int, min_cosine: float, recall: float = 0.97, cell_rows: int = CELL_ROWS, seed: int = 7, max_probes: int = 64, mutual: bool = True, query_share: float = 1.0) -> Hashing:
     """Choose the parameters from a bounded sample of unit vectors (at most 2,000 are looked at) and the number n of all.
 
-    functions: so many that a bucket holds about bucket_rows unrelated vectors. probes and tables: the cheapest that reach the
-    recall for a pair at min_cosine, by simulation. cell_functions: so many that a cell holds about cell_rows.
+    For buckets of about 60 to 4,000 unrelated vectors, and numbers of probes that double, the tables are counted that reach
+    the recall for a pair at min_cosine, by simulation. Of these settings the cheapest is taken: a table costs sending every
+    vector once, and comparing what a query finds in it. cell_functions: so many that a cell holds about cell_rows.
     """
     r = np.random.default_rng(seed)
     s = sample[:2000].astype(np.float64)
     dim = s.shape[1] if s.ndim == 2 else 1
-    if len(s) < 2 or n < 2 * bucket_rows:
+    if len(s) < 2 or n < 120:
         return Hashing(dim, tables=1, functions=1, probes=3, width=8.0, cell_functions=0, seed=seed)
     width = 2.0
     i, j = r.integers(0, len(s), (2, 4000))
     d = np.linalg.norm(s[i] - s[j], axis=1)
     d = d[d > 0.3] if (d > 0.3).any() else np.array([1.4])
-    meet = lambda u: float(np.mean(np.abs(r.standard_normal((64, len(u))) * u / width + (v := r.uniform(0, 1, (64, len(u)))) - 0.5) < 0.5 + 0 * v))
-    p = min(0.95, meet(d))
-    functions = int(np.clip(np.ceil(np.log(n / bucket_rows) / np.log(1 / p)), 2, 24))
-    cells = int(np.clip(np.ceil(np.log(max(1, n / cell_rows)) / np.log(1 / p)), 0, functions))
-    # pairs at min_cosine on random directions
-    m = 1500
-    x = r.standard_normal((m, dim))
+    # how often a function puts two vectors at these distances into one slot: a place in the slot, moved by a normal step
+    place, step = r.uniform(0, 1, (64, len(d))), r.standard_normal((64, len(d))) * d / width
+    p = min(0.95, float(np.mean(np.abs(place + step - 0.5) < 0.5)))
+    m = 1500  # pairs at min_cosine in random directions
+    x, o = r.standard_normal((2, m, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    o = r.standard_normal((m, dim))
     o -= (o * x).sum(1)[:, None] * x
-    o /= np.linalg.norm(o, axis=1)[:, None]
+    o /= np.maximum(np.linalg.norm(o, axis=1)[:, None], 1e-12)
     y = min_cosine * x + (1 - min_cosine**2) ** 0.5 * o
     best = None
-    probes = 4
-    while probes <= max_probes:
-        h = Hashing(dim, 1, functions, probes, width, cells, seed)
-        (hx, _, px, _), (hy, _, py, _) = hash_batch(x.astype(np.float32), h)[0], hash_batch(y.astype(np.float32), h)[0]
-        hit = float(np.mean((px == hy[:, None]).any(1) | (mutual & (py == hx[:, None]).any(1))))
-        tables = int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(hit, 1e-3), 0.999))))
-        cost = tables * (probes + 12)  # sending a vector to a table weighs as much as a few probes
-        if best is None or cost < best[0]:
-            best = (cost, replace(h, tables=tables))
-        probes *= 2
+    for rows in (60, 250, 1000, 4000):
+        functions = int(np.clip(np.ceil(np.log(max(n / rows, 2)) / np.log(1 / p)), 2, 24))
+        cells = int(np.clip(np.ceil(np.log(max(1, n / cell_rows)) / np.log(1 / p)), 0, functions))
+        probes = 4
+        while probes <= max_probes:
+            h = Hashing(dim, 1, functions, probes, width, cells, seed)
+            (hx, _, px, cx), (hy, _, py, _) = hash_batch(x.astype(np.float32), h)[0], hash_batch(y.astype(np.float32), h)[0]
+            hit = float(np.mean((px == hy[:, None]).any(1) | (mutual & (py == hx[:, None]).any(1))))
+            tables = int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(hit, 1e-3), 0.999))))
+            sent = 1 + query_share * float(np.mean([len(set(c)) for c in cx[:200].tolist()]))
+            cost = tables * (SEND_COST * sent + query_share * n * p**functions * probes**0.5)
+            if best is None or cost < best[0]:
+                best = (cost, replace(h, tables=tables))
+            probes *= 2
     return best[1]
 
 
-def usual_reach(sample: np.ndarray, n: int, k: int, share: float = 0.15) -> float:
+def usual_reach(sample: np.ndarray, n: int, k: int, share: float = 0.3) -> float:
     """A cosine that the k-th neighbour of all but a share of the vectors reaches, by the sample's own neighbours at the rank that
     k of n has there (its first, where that is less than one: then the estimate is low, and the hashing more careful)."""
     s = sample[:2000]
@@ -160,6 +166,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _as_cell(bucket: np.ndarray) -> np.ndarray:
+    """A cell for one bucket alone, used where a cell is too large."""
+    return mix(bucket.view(np.uint64) + np.uint64(11)).view(np.int64)
+
+
 def _thousandths(x: np.ndarray) -> np.ndarray:
     """Half the bytes for vectors that are stored with three decimals: int16 where nothing is lost, else x itself."""
     q = np.rint(x.astype(np.float64) * 1000)
@@ -175,7 +186,7 @@ def _send(nodes: DataFrame, h: Hashing, blocks) -> DataFrame:
     dim = h.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = blocks.value
+        wide, dense = blocks.value
         names = ["cell", "block", "node", "vec", "ii", "ib", "qi", "qb"]
         types = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
         for b in batches:
@@ -192,14 +203,15 @@ def _send(nodes: DataFrame, h: Hashing, blocks) -> DataFrame:
                 kind = np.concatenate([np.zeros(n, np.int8), np.ones(len(who), np.int8)])
                 i = np.concatenate([np.arange(n), who])
                 bk, c = np.concatenate([bucket, pb[asks].ravel()]), np.concatenate([cell, pc[asks].ravel()])
-                if split:  # the index side takes one block of a hot cell, the query side all
-                    n_b = np.array([split.get(int(x), 1) for x in c], np.int64)
-                    home = (node[i].view(np.uint64) % n_b.astype(np.uint64)).astype(np.int64)
-                    rep = np.where(kind == 1, n_b, 1)
-                    block = np.where(np.repeat(kind, rep) == 1, np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep), np.repeat(home, rep))
-                    kind, i, bk, c = (np.repeat(z, rep) for z in (kind, i, bk, c))
-                else:
-                    block = np.zeros(len(c), np.int64)
+                c = np.where(np.isin(c, wide), _as_cell(bk), c)
+                block = np.zeros(len(c), np.int64)
+                if len(dense):  # a dense bucket is a grid: index rows take a row of blocks, queries a column
+                    at = np.minimum(np.searchsorted(dense[:, 0], c), len(dense) - 1)
+                    side = np.where(dense[at, 0] == c, dense[at, 1], 1)
+                    own = (mix(node[i].view(np.uint64) + kind.astype(np.uint64)) % side.astype(np.uint64)).astype(np.int64)
+                    kind, i, bk, c, own, n_side = (np.repeat(z, side) for z in (kind, i, bk, c, own, side))
+                    other = np.arange(len(c)) - np.repeat(np.cumsum(side) - side, side)
+                    block = np.where(kind == 0, own * n_side + other, other * n_side + own)
                 o = np.lexsort((kind, block, c))
                 kind, i, bk, c, block = kind[o], i[o], bk[o], c[o], block[o]
                 cut = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])]))
@@ -255,30 +267,39 @@ def _rerank(f: pd.DataFrame, dim: int, k: int, least: float, chunk: int = 2048)
     cos = np.einsum("nd,nd->n", x[pairs[:, 0]], x[pairs[:, 1]]) if len(pairs) < 200_000 else np.concatenate([np.einsum("nd,nd->n", x[p[:, 0]], x[p[:, 1]]) for p in np.array_split(pairs, len(pairs) // 100_000)])
     ok = cos >= least
     pairs, cos = pairs[ok], cos[ok]
-    o = np.lexsort((-cos, pairs[:, 0]))  # keep k for each query
+    o = np.lexsort((-cos, pairs[:, 0]))  # keep k for each query, and what ties with the last of them
     pairs, cos = pairs[o], cos[o]
-    first = np.searchsorted(pairs[:, 0], pairs[:, 0], "left")
-    top = np.arange(len(pairs)) - first < k + 1
+    first, end = (np.searchsorted(pairs[:, 0], pairs[:, 0], x) for x in ("left", "right"))
+    top = cos >= cos[np.minimum(first + k - 1, end - 1)] - 1e-12 if len(cos) else np.zeros(0, bool)
     return pd.DataFrame({"q": node[pairs[top, 0]], "n": node[pairs[top, 1]], "cos": cos[top]})
 
 
-def nearest_classes(nodes: DataFrame, h: Hashing, k: int, least: float = -1.0, mutual: bool = True, cell_rows: int = 8000) -> DataFrame:
+def nearest_classes(nodes: DataFrame, h: Hashing, k: int, least: float = -1.0, mutual: bool = True, cell_rows: int = CELL_ROWS) -> DataFrame:
     """q, n, cos: for each query class the candidates among which its k nearest are. mutual: a pair found from either side
     serves both (right where every class is a query)."""
     spark, dim = nodes.sparkSession, h.dim
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                c, n = np.unique(np.concatenate([t[1] for t in hash_batch(_unit(_matrix(b.column(0), dim)).astype(np.float32), replace(h, probes=1))]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["cell", "n"])
+    def counted(wide: np.ndarray | None):
+        """Rows by cell; or, given the large cells, by each of their buckets."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    homes = hash_batch(_unit(_matrix(b.column(0), dim)).astype(np.float32), replace(h, probes=1))
+                    c = [cell if wide is None else _as_cell(bucket[np.isin(cell, wide)]) for bucket, cell, *_ in homes]
+                    c, n = np.unique(np.concatenate(c), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
+
+        return nodes.select("vec").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
-    sizes = nodes.select("vec").mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    sizes = staged(sizes, "knn-cells")
+    sizes = staged(counted(None), "knn-cells")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(2 * cell_rows, total // 4096)  # so at most 4,096 cells are hot
-    hot = {int(r.cell): int(-(-r.n // limit)) for r in sizes.filter(F.col("n") > limit).collect()}
-    sent = _send(nodes, h, spark.sparkContext.broadcast(hot))
+    limit = max(2 * cell_rows, total // 4096)  # by counting, at most 4,096 cells or buckets are larger
+    wide = np.array(sorted(r.cell for r in sizes.filter(F.col("n") > limit).collect()), np.int64)
+    dense = np.zeros((0, 2), np.int64)
+    if len(wide):
+        dense = np.array(sorted((r.cell, -(-r.n // limit)) for r in counted(wide).filter(F.col("n") > limit).collect()), np.int64).reshape(-1, 2)
+    sent = _send(nodes, h, spark.sparkContext.broadcast((wide, dense)))
     pairs = sent.groupBy("cell", "block").applyInPandas(lambda f: _rerank(f, dim, k, least), "q bigint, n bigint, cos double")
     if mutual:
         pairs = pairs.select(F.explode(F.array(F.struct("q", "n", "cos"), F.struct(F.col("n").alias("q"), F.col("q").alias("n"), "cos"))).alias("p")).select("p.*")
@@ -303,7 +324,7 @@ def most_similar(
     if hashing is None:
         sample = nodes.select("vec").limit(2000).collect()
         s = _unit(np.array([r.vec for r in sample], np.float32)) if sample else np.zeros((0, dim))
-        hashing = fit(s, n, usual_reach(s, n, k) if min_cosine is None else min_cosine, recall, max_probes=64 if min_cosine is not None else 256, mutual=query_filter is None)
+        hashing = fit(s, n, usual_reach(s, n, k) if min_cosine is None else min_cosine, recall, max_probes=64 if min_cosine is not None else 256, mutual=query_filter is None, query_share=asks.count() / max(n, 1))
     near = nearest_classes(nodes, hashing, k, -1.0 if min_cosine is None else min_cosine, mutual=query_filter is None)
     lead = nodes.select(F.col("node").alias("n"), "ids")
     order = Window.partitionBy("q").orderBy(F.desc("cos"), F.col("ids")[0])

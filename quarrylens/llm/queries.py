@@ -36,7 +36,8 @@ def p1_line_report(spark: SparkSession, d: str) -> DataFrame:
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     chunks = _table(spark, d, "sec_chunks").filter("NOT is_table")
     places = boilerplate.repeated_places(_lines(spark, d), min_docs=5)
-    return boilerplate.remove_repeated(chunks.dropDuplicates(["chunk_id"]), places).withColumnRenamed("id", "chunk_id")
+    latest = chunks.groupBy("chunk_id").agg(F.max(F.struct("ingested_at", "parent_chunk")).alias("r")).select("chunk_id", "r.parent_chunk")
+    return boilerplate.remove_repeated(latest, places).withColumnRenamed("id", "chunk_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +51,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest, however far, for the queries whose hashed id is divisible by 20, against all rows."""
-    return knn.most_similar(_table(spark, d, "chunk_embeddings"), query_filter=F.expr("pmod(crc32(id), 20) = 0"))
+    return knn.most_similar(_table(spark, d, "chunk_embeddings"), query_filter=F.expr("pmod(crc32(id), 20) = 0"), recall=0.94)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
