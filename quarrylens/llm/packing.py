@@ -94,7 +94,7 @@ def plan_packing(hist: dict[int, int], capacities: tuple[int, ...], cost=float)
     return min((best_fit(hist, caps, r, cost) for r in (rules if len(caps) > 1 else rules[:1])), key=lambda p: p.cost)
 
 
-def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str = "doc_id", size_col: str = "n_tokens", rank_buckets: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str = "doc_id", size_col: str = "n_tokens", rank_buckets: int = 64) -> DataFrame:
     """One row per piece: id, part, container_id, place, start, n_tokens, capacity.
 
     Items up to the largest capacity stay whole. A larger one is cut into full containers and a rest, numbered by part. Items
@@ -102,19 +102,18 @@ def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str =
     their own. place counts the pieces of a container from 0, start is the piece's first token in it. Ties between items of
     one size are broken by id. An empty table gives no rows.
     """
-    spark, top = sizes.sparkSession, max(capacities)
+    top = max(capacities)
     n = F.col(size_col).cast("long")
-    buckets = rank_buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     items = (
         sizes.filter(n.isNotNull())
         .select(F.col(id_col).alias("doc_id"), n.alias("n"))
         .withColumn("part", F.explode(F.expr(f"sequence(0L, greatest(0L, CAST(ceil(n / {top}) AS BIGINT) - 1))")))
         .select("doc_id", F.col("part").cast("int"), F.expr(f"least(n - part * {top}, {top}L)").alias("n_tokens"))
-        .withColumn("b", F.expr(f"CAST(pmod(xxhash64(doc_id, part), {buckets}) AS INT)"))
+        .withColumn("b", F.expr(f"CAST(pmod(xxhash64(doc_id, part), {rank_buckets}) AS INT)"))
     )
     items = staged(items, "pack-items")
     counts = items.groupBy("n_tokens", "b").agg(F.count("*").alias("c"))
-    # at most (top + 1) x buckets rows, whatever the corpus
+    # at most (top + 1) x rank_buckets rows, whatever the corpus, so that they may be broadcast
     before = Window.partitionBy("n_tokens").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
     hist = {int(r.n_tokens): int(r.c) for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}
