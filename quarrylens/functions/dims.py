@@ -67,3 +67,10 @@ def ratio_groups(spark: SparkSession) -> DataFrame:
     """category, cat_ord, metric, metric_ord: 18 rows, safe to broadcast."""
     rows = [(c, i, m, j) for i, (c, ms) in enumerate(RATIO_GROUPS.items(), 1) for j, m in enumerate(ms, 1)]
     return spark.createDataFrame(rows, "category string, cat_ord int, metric string, metric_ord int")
+
+
+def zipped(spark: SparkSession, keys: list, names: list[str], key: str = "cik", name: str = "display_name") -> DataFrame:
+    """Two constant lists joined by position; of different lengths they are an error."""
+    if len(keys) != len(names):
+        raise ValueError("the lists differ in length")
+    return spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(zip(keys, names))], f"ord int, {key} long, {name} string")

@@ -148,3 +148,10 @@ def filled_from_history(turns: DataFrame, columns: list[str], conversation: str
     """turns whose null columns take the conversation's last value before; a first turn stays as it is."""
     w = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return turns.withColumns({f"{c}_filled": F.last(c, ignorenulls=True).over(w) for c in columns})
+
+
+def completed_question(q: Column, tickers: Column, years_: Column, before_ticker: Column, before_period: Column) -> Column:
+    """The question with the company and period of the conversation so far, where it names none itself; null stays null."""
+    who = F.when((F.size(tickers) == 0) & before_ticker.isNotNull(), F.concat(F.lit("for "), before_ticker))
+    when = F.when((F.size(years_) == 0) & before_period.isNotNull(), F.concat(F.lit("in "), before_period))
+    return F.when(q.isNotNull(), F.concat_ws(" ", q, who, when))

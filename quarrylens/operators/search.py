@@ -98,3 +98,15 @@ def hashed_embedding(text: Column, dim: int = 128) -> Column:
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
     return unit(counts)
+
+
+def build_index(vectors: DataFrame, path: str, dim: int, id_col: str = "id", vec: str = "embedding") -> bool:
+    """Writes (id, vector of norm 1) unless the index is there already; wrong lengths and zero vectors are left out. Says whether
+    it has written."""
+    jvm = vectors.sparkSession.sparkContext
+    p = jvm._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(jvm._jsc.hadoopConfiguration()).exists(p):
+        return False
+    rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vec) == dim)).select(F.col(id_col).alias("id"), unit(F.col(vec)).alias("embedding"))
+    rows.filter("embedding IS NOT NULL").write.parquet(path)
+    return True

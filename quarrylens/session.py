@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -33,21 +34,36 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return spark
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application (needed where it isn't installed on them)."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    root = os.path.dirname(os.path.abspath(__file__))
-    name = os.path.join(tempfile.mkdtemp(prefix="ql-ship-"), "quarrylens.zip")
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+def _package() -> bytes:
+    root, out = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
                     p = os.path.join(folder, f)
                     z.write(p, os.path.join("quarrylens", os.path.relpath(p, root)))
-    spark.sparkContext.addPyFile(name)
+    return out.getvalue()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, by way of the shared folder.
+
+    Without a shared folder the package has to be installed on the workers.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    try:
+        path = f"{shared_dir(spark)}/ql-code-{uuid.uuid4().hex}/quarrylens.zip"
+    except ValueError:
+        return
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(_package()))
+    out.close()
+    _written.append((spark, path))
+    sc.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:

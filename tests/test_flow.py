@@ -77,3 +77,50 @@ def test_nothing_imports_the_training_subpackage():
 def test_columns_clash(spark):
     df = spark.createDataFrame([("a", "A", "10-K", "acc", dt.date(2024, 1, 1), "x", 1)], "rank string, company string, form string, accession string, date date, seq_ string, period_ int")
     assert graph.filing_chain(graph.filing_labels(df)).select(F.col("seq"), "period", "rank").first() == (1, "FY_2024", "a")
+
+
+def test_service(spark):
+    import time
+
+    import pytest
+
+    from quarrylens.plans.service import Service
+
+    stocks = spark.createDataFrame([("quarterly", dt.date(2024, 1, 1), "A", "Close", 1.0)], "timeframe string, date date, company string, variable string, value double")
+    ratios = spark.createDataFrame([("quarterly", "A", "Gross Margin", "2024Q1", 0.4), ("quarterly", "A", "Return on Equity", "2024Q1", 0.1), ("yearly", "A", "Gross Margin", "2024", 0.5)], "timeframe string, company string, metric string, period string, value double")
+    s = Service(stocks, ratios, ratios)
+    assert s.charts("A", ["Close", "x"]) == [{"date": "2024-01-01", "Close": 1.0}]
+    assert s.ratios("A", variables=["Gross Margin"]) == [{"metric": "Gross Margin", "2024Q1": 0.4}]
+    assert s.performance("A", "2024", "yearly") == [{"period": "2024", "Gross Margin": 0.5}] and s.performance("A", "Q3_1999") == []
+    assert s.risk_matrix("A", "Q1_2024")["Profitability"] == 50.0
+    with pytest.raises(ValueError):
+        s.question("A", "2024", "x")
+    good, bad = s.submit("charts", "A", ["Close"]), s.submit("ratios", "Nobody")
+    for _ in range(300):
+        if all(s.status(t)["status"] != "processing" for t in (good, bad)):
+            break
+        time.sleep(0.1)
+    assert s.status(good)["data"] and s.status(bad)["status"] == "failed" and s.status("x") == {"status": "unknown"}
+
+
+def test_index_and_zip(spark, tmp_path):
+    import pytest
+
+    from quarrylens.functions import dims
+    from quarrylens.operators import search
+
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [1.0]), (None, [1.0, 1.0])], "id long, embedding array<float>")
+    path = f"file://{tmp_path}/ix"
+    assert search.build_index(v, path, 2) and not search.build_index(v, path, 2)
+    assert [(r.id, [round(x, 6) for x in r.embedding]) for r in spark.read.parquet(path).collect()] == [(1, [0.6, 0.8])]
+    assert dims.zipped(spark, [1, 2], ["a", "b"]).count() == 2
+    with pytest.raises(ValueError):
+        dims.zipped(spark, [1], [])
+
+
+def test_completed_question(spark):
+    from quarrylens.operators.queryplan import completed_question
+
+    df = spark.createDataFrame([("and margins?", [], [], "HAL", "Q1_2008"), ("margins at FEN in 2009", ["FEN"], [2009], "HAL", "Q1_2008"), (None, [], [], "HAL", None), ("x", [], [], None, None)], "q string, t array<string>, y array<int>, bt string, bp string")
+    got = [r[0] for r in df.select(completed_question(*[F.col(c) for c in ("q", "t", "y", "bt", "bp")])).collect()]
+    assert got == ["and margins? for HAL in Q1_2008", "margins at FEN in 2009", None, "x"]
