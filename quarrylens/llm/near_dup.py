@@ -145,10 +145,11 @@ def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int) -> Dat
             dh, dn = np.array(dh, np.int64), np.array(dn, np.uint32)
             sides = []
             for keys, of in ((ik, idx), (pk, pdx)):
-                keys, of = np.concatenate(keys), np.concatenate(of)
-                pid = (mix(keys) % np.uint64(parts)).astype(np.int64)
+                keys, of = mix(np.concatenate(keys)), np.concatenate(of)
+                pid = (keys % np.uint64(parts)).astype(np.int64)
                 o = np.argsort(pid, kind="stable")
-                sides.append((keys[o], of[o], np.searchsorted(pid[o], np.arange(parts + 1))))
+                # 32 bits are enough within a partition: keys that fall together cost a candidate, never a link
+                sides.append(((keys >> np.uint64(32)).astype(np.uint32)[o], of[o], np.searchsorted(pid[o], np.arange(parts + 1))))
             rows = []
             for q in range(parts):
                 (k1, d1, c1), (k2, d2, c2) = sides
@@ -156,7 +157,7 @@ def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int) -> Dat
                 used, inv = np.unique(np.concatenate([d1[a], d2[z]]), return_inverse=True)
                 if not len(used):
                     continue
-                inv, m = inv.astype(np.uint32), c1[q + 1] - c1[q]
+                inv, m = inv.astype(np.uint16 if len(used) < 2**16 else np.uint32), c1[q + 1] - c1[q]
                 rows.append((q, k1[a].tobytes(), inv[:m].tobytes(), k2[z].tobytes(), inv[m:].tobytes(), dh[used].tobytes(), dn[used].tobytes(), b"".join(bm[u].tobytes() for u in used)))
             types = [pa.int32(), *[pa.binary()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["pid", "ik", "ix", "pk", "px", "dh", "dn", "bm"])
@@ -170,14 +171,14 @@ def _candidates(f: pd.DataFrame, t: float, chunk: int = 1_000_000) -> tuple[np.n
     counts = np.array([len(x) // 8 for x in f["dh"]])
     base = np.concatenate([[0], np.cumsum(counts)])[:-1]
     dh, first, inv = np.unique(cat("dh", np.int64), return_index=True, return_inverse=True)
-    n_all, words, bm = cat("dn", np.uint32).astype(np.int64), None, cat("bm", np.uint64)
+    n_all, bm = cat("dn", np.uint32).astype(np.int64), cat("bm", np.uint64)
     words = np.array([_width(x) for x in n_all], np.int64)
     place = (np.cumsum(words) - words)[first]
     n, words = n_all[first], words[first]
 
     def side(keys: str, of: str) -> tuple[np.ndarray, np.ndarray]:
-        d = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) + o for x, o in zip(f[of], base)]])
-        k, d = cat(keys, np.uint64), inv[d]
+        d = [np.frombuffer(x, np.uint16 if c < 2**16 else np.uint32).astype(np.int64) + o for x, o, c in zip(f[of], base, counts)]
+        k, d = cat(keys, np.uint32), inv[np.concatenate([np.zeros(0, np.int64), *d])]
         o = np.lexsort((d, k))
         k, d = k[o], d[o]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, bool)
@@ -251,7 +252,8 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, rule: JoinRule = Joi
     a, b = (classes.select(F.col("h1").alias(f"h{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
     pairs = staged(raw.join(a, "ha").join(b, "hb").select("rep_a", "rep_b"), "near-pairs")
     need = pairs.select(F.col("rep_a").alias("id")).union(pairs.select("rep_b")).distinct()
-    texts = docs.join(need, "id", "left_semi")
+    # one row for each id and text, and partitioned as the joins need it
+    texts = docs.join(need, "id", "left_semi").groupBy("id").agg(F.collect_set("t").alias("t")).select("id", F.explode("t").alias("t"))
     both = pairs.join(texts.select(F.col("id").alias("rep_a"), F.col("t").alias("ta")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("t").alias("tb")), "rep_b")
     t, k = rule.threshold, rule.n_words
 
