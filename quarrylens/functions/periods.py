@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QUARTER_LABEL = r"^Q([1-4])_(\d{4})$"
+QUARTER_LABEL = r"^Q(\d{1,2})_(\d{4})$"
 YEAR_LABEL = r"^FY_(\d{4})$"
 
 
@@ -14,19 +14,23 @@ def to_code(period: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(period, QUARTER_LABEL, "$2Q$1"), YEAR_LABEL, "$1")
 
 
-def sort_key(period: Column) -> Column:
-    """year * 10 + quarter, a whole year after its quarters; null for other strings."""
+def _parts(period: Column) -> tuple[Column, Column]:
     code = to_code(period)
-    year, quarter = F.regexp_extract(code, r"^(\d{4})(?:Q[1-4])?$", 1), F.regexp_extract(code, r"^\d{4}Q([1-4])$", 1)
-    return F.when(year != "", year.cast("int") * 10 + F.when(quarter != "", quarter.cast("int")).otherwise(5))
+    return F.regexp_extract(code, r"^(\d{4})(?:Q\d{1,2})?$", 1), F.regexp_extract(code, r"^\d{4}Q(\d{1,2})$", 1)
+
+
+def sort_key(period: Column) -> Column:
+    """year * 100 + quarter, a whole year after its quarters; null for other strings. A company with many filings in a year has
+    labels beyond Q4, since they number its filings."""
+    year, quarter = _parts(period)
+    return F.when(year != "", year.cast("int") * 100 + F.when(quarter != "", quarter.cast("int")).otherwise(99))
 
 
 def start_date(period: Column) -> Column:
-    """First day of a quarter or year; null for other strings."""
-    code = to_code(period)
-    year, quarter = F.regexp_extract(code, r"^(\d{4})(?:Q[1-4])?$", 1), F.regexp_extract(code, r"^\d{4}Q([1-4])$", 1)
+    """First day of a quarter or year; null for other strings and quarters beyond the fourth."""
+    year, quarter = _parts(period)
     month = F.when(quarter != "", quarter.cast("int") * 3 - 2).otherwise(1)
-    return F.when(year != "", F.make_date(year.cast("int"), month, F.lit(1)))
+    return F.when((year != "") & (month <= 12) & (month >= 1), F.make_date(year.cast("int"), month, F.lit(1)))
 
 
 def code_of(date: Column, timeframe: str) -> Column:

@@ -58,15 +58,24 @@ def metadata_score(cur: str, prev: str) -> Column:
     return F.when(F.col(prev).isNull() | F.col(cur).isNull(), 0.0).when(ok, share).otherwise(0.0)
 
 
+def _meta_key(meta: str) -> Column:
+    """A hash that turns with a metadata score above 0 share."""
+    c = lambda f: F.col(f"{meta}.{f}")
+    none = F.array().cast("array<string>")
+    in_order = lambda f: F.array_sort(F.coalesce(c(f).cast("array<string>"), none))
+    return F.xxhash64(F.to_json(F.struct(c("companies").alias("c"))), in_order("years"), in_order("quarters"), c("filing_type_hint"))
+
+
 def reusable(turns: DataFrame, least_sim: float = SIM_THRESHOLD, least_meta: float = META_THRESHOLD) -> DataFrame:
     """id, reuse_id, sim: for each turn the most similar earlier turn of its conversation whose context serves again.
 
-    Of equals the earliest wins. Turns are joined within conversations only, and a conversation is bounded by what one user
-    asks; long ones are split by the join itself, on (conversation, turn).
+    Of equals the earliest wins. Turns meet only within a conversation and, where a metadata score is asked for, only if
+    companies, years, quarters and form agree; both are keys of the join, so pairs that can't count are never made.
     """
-    t = turns.select("id", "conversation_id", "turn_id", F.col("parsed_metadata").alias("meta"), F.col("embedding").alias("vec"))
-    prev = t.select(F.col("id").alias("reuse_id"), "conversation_id", F.col("turn_id").alias("prev_turn"), F.col("meta").alias("prev_meta"), F.col("vec").alias("prev_vec"))
-    pairs = t.join(prev, "conversation_id").filter("prev_turn < turn_id AND size(prev_vec) > 0 AND size(vec) > 0")
+    key = _meta_key("parsed_metadata") if least_meta > 0 else F.lit(0)
+    t = turns.select("id", "conversation_id", key.alias("k"), "turn_id", F.col("parsed_metadata").alias("meta"), F.col("embedding").alias("vec")).filter("size(vec) > 0")
+    prev = t.select(F.col("id").alias("reuse_id"), "conversation_id", "k", F.col("turn_id").alias("prev_turn"), F.col("meta").alias("prev_meta"), F.col("vec").alias("prev_vec"))
+    pairs = t.join(prev, ["conversation_id", "k"]).filter("prev_turn < turn_id")
     scored = pairs.select("id", "reuse_id", "prev_turn", cosine(F.col("vec"), F.col("prev_vec")).alias("sim"), metadata_score("meta", "prev_meta").alias("m"))
     best = scored.filter((F.col("sim") >= least_sim) & (F.col("m") >= least_meta))
     return best.groupBy("id").agg(F.max(F.struct("sim", (-F.col("prev_turn")).alias("o"), "reuse_id")).alias("b")).select("id", "b.reuse_id", "b.sim")

@@ -522,6 +522,12 @@ def context_reuse(spark, d):
     return memory.reusable(t, 0.2, 0.0).select("id", "reuse_id", F.round("sim", 6).alias("sim"))
 
 
+@query
+def context_reuse_strict(spark, d):
+    """With the production thresholds; few turns ask the same thing twice."""
+    return memory.reusable(inputs.turns(spark, d, "conversation_id", "turn_id", "parsed_metadata", "embedding")).select("id", "reuse_id")
+
+
 @query
 def safety_gate(spark, d):
     t = inputs.turns(spark, d, "modif_query", "llm_response_sec")

@@ -69,7 +69,7 @@ KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 CALLS = f"""names AS (SELECT {KEY.format('display_name')} AS k, min(display_name) AS name FROM companies GROUP BY 1),
 t1 AS (SELECT * FROM transcript_chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1),
 calls AS (SELECT t1.* EXCLUDE (company), name AS company, concat_ws('_', fiscal_quarter, fiscal_year) AS period, concat_ws('_', name, concat_ws('_', fiscal_quarter, fiscal_year)) AS transcript_id FROM t1 JOIN names ON {KEY.format('t1.company')} = k)"""
-SORT_KEY = "CASE WHEN regexp_matches({0}, '^Q[1-4]_[0-9]{{4}}$') THEN CAST(substr({0}, 4) AS INT) * 10 + CAST(substr({0}, 2, 1) AS INT) WHEN regexp_matches({0}, '^FY_[0-9]{{4}}$') THEN CAST(substr({0}, 4) AS INT) * 10 + 5 END"
+SORT_KEY = "CASE WHEN regexp_matches({0}, '^Q[0-9]+_[0-9]{{4}}$') THEN CAST(right({0}, 4) AS INT) * 100 + CAST(regexp_extract({0}, '^Q([0-9]+)_', 1) AS INT) WHEN regexp_matches({0}, '^FY_[0-9]{{4}}$') THEN CAST(substr({0}, 4) AS INT) * 100 + 99 END"
 SUB = "CASE WHEN sub_headings IS NULL THEN '{}' ELSE concat('{', array_to_string(list_transform(list_sort(map_entries(sub_headings)), lambda e: concat('\"', e.key, '\":\"', e.value, '\"')), ','), '}') END"
 PARENTS = f"par AS (SELECT fil.company, accession, fil.form, period, fil.date, heading, chunk_id AS parent_id, parent_chunk AS parent_text, is_table, {SUB} AS sub_heading, child_chunks FROM ch JOIN fil ON accession_no = accession)"
 KIDS = "kids AS (SELECT par.* EXCLUDE (child_chunks), u.e.key AS child_id, u.e.value AS child_text FROM par, UNNEST(map_entries(child_chunks)) AS u(e))"
@@ -148,9 +148,9 @@ ORACLE: dict[str, str] = {
     "ratios_reindex": f"WITH {RATIOS} SELECT ord, asked.metric, period, value FROM (VALUES (1, 'Gross Margin'), (2, 'No Such Metric'), (3, 'Cash Ratio')) asked(ord, metric) LEFT JOIN (SELECT * FROM ratios WHERE company = '{ONE}') r ON r.metric = asked.metric",
     "ratios_period_pivot": f"WITH {RATIOS} SELECT metric, {_pivot} FROM ratios WHERE company = '{ONE}' GROUP BY metric",
     "performance_point": f"WITH {RATIOS} SELECT company, period, metric, value FROM ratios WHERE period = '1996Q3'",
-    "period_codes": f"""WITH {FILINGS}, {CALLS}, p AS (SELECT period FROM calls UNION SELECT period FROM fil)
-SELECT period, regexp_replace(regexp_replace(period, '^Q([1-4])_([0-9]+)$', '\\2Q\\1'), '^FY_([0-9]+)$', '\\1') AS code, {SORT_KEY.format('period')} AS sort_key,
-strftime(CASE WHEN starts_with(period, 'Q') THEN make_date(CAST(substr(period, 4) AS INT), CAST(substr(period, 2, 1) AS INT) * 3 - 2, 1) ELSE make_date(CAST(substr(period, 4) AS INT), 1, 1) END, '%Y-%m-%d') AS starts FROM p WHERE period IS NOT NULL""",
+    "period_codes": f"""WITH {FILINGS}, {CALLS}, p AS (SELECT period FROM calls UNION SELECT period FROM fil), k AS (SELECT period, {SORT_KEY.format('period')} AS sort_key FROM p WHERE period IS NOT NULL)
+SELECT period, regexp_replace(regexp_replace(period, '^Q([0-9]+)_([0-9]+)$', '\\2Q\\1'), '^FY_([0-9]+)$', '\\1') AS code, sort_key,
+strftime(CASE WHEN sort_key % 100 = 99 THEN make_date(CAST(floor(sort_key / 100) AS INT), 1, 1) WHEN sort_key % 100 <= 4 THEN make_date(CAST(floor(sort_key / 100) AS INT), (sort_key % 100) * 3 - 2, 1) END, '%Y-%m-%d') AS starts FROM k""",
     "nonfinite_sanitize": "SELECT l_linenumber, count(*) AS n, count(v) AS n_finite, round(sum(v), 2) AS total FROM (SELECT l_linenumber, CASE WHEN l_linenumber > 3 THEN l_quantity END AS v FROM lineitem) GROUP BY 1",
     "metric_direction_and_transform": f"WITH {ADJ} SELECT company, period, metric, good, round(adj, 6) AS adj FROM adj",
     "risk_scores_no_peers": f"WITH {ADJ}, {NO_PEERS} {SCORE}",
@@ -159,7 +159,7 @@ strftime(CASE WHEN starts_with(period, 'Q') THEN make_date(CAST(substr(period, 4
     "risk_scores_peers_zscore": peers(f"least(greatest({cdf('(CASE WHEN sd > 1e-12 THEN (x - mu) / sd ELSE 0.0 END)')}, 0.0), 1.0)"),
     "risk_point_lookup": f"WITH {ADJ}, {NO_PEERS}, sc AS ({SCORE}), cats AS (SELECT DISTINCT category FROM groups) SELECT category, n_metrics, score, risk FROM cats LEFT JOIN (SELECT * FROM sc WHERE company = '{ONE}' AND period = (SELECT max(period) FROM ratios WHERE company = '{ONE}')) USING (category)",
     "metric_average_rank": f"WITH {RATIOS} SELECT company, period, metric, round(rank() OVER (PARTITION BY period, metric ORDER BY value) + (count(*) OVER (PARTITION BY period, metric, value) - 1) / 2, 1) AS rank FROM ratios",
-    "display_format": f"WITH {RATIOS} SELECT company, period, metric, printf('%.2f', round(value, 2)) AS shown, least(greatest(round(CASE WHEN value <= 1 THEN value * 100 ELSE value END, 0), 0.0), 100.0) AS percent FROM ratios",
+    "display_format": f"WITH {RATIOS} SELECT company, period, metric, printf('%.2f', CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DOUBLE)) AS shown, least(greatest(round(CASE WHEN value <= 1 THEN value * 100 ELSE value END, 0), 0.0), 100.0) AS percent FROM ratios",
     "price_returns": f"""WITH {stocks('quarter')}, v AS (SELECT company, date, value AS p FROM stocks WHERE variable = 'Close'), r AS (SELECT company, date, p / nullif(lag(p) OVER (PARTITION BY company ORDER BY date), 0) - 1 AS ret FROM v)
 SELECT company, strftime(date, '%Y-%m-%d') AS date, round(ret, 6) AS return, round(exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER u) - 1, 6) AS cumulative_return, round(stddev_samp(ret) OVER u, 6) AS volatility FROM r WINDOW u AS (PARTITION BY company ORDER BY date ROWS UNBOUNDED PRECEDING)""",
     "filing_periods": f"WITH {FILINGS} SELECT accession, company, form, strftime(date, '%Y-%m-%d') AS date, period FROM fil",
@@ -216,6 +216,9 @@ SELECT id, CASE WHEN len(o) < 2 THEN modif_query ELSE array_to_string(o[:5], '|'
     "memory_last_turns": f"WITH {TURNS}, r AS (SELECT id, conversation_id, turn_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id DESC, id) AS r FROM turns QUALIFY r <= 3) SELECT id, conversation_id, turn_id, row_number() OVER (PARTITION BY conversation_id ORDER BY r DESC) AS place FROM r",
     "context_reuse": f"""WITH {TURNS}, s AS (SELECT a.id, b.id AS reuse_id, b.turn_id AS pt, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM turns a JOIN turns b ON a.conversation_id = b.conversation_id AND b.turn_id < a.turn_id WHERE len(a.embedding) > 0 AND len(b.embedding) = len(a.embedding))
 SELECT id, reuse_id, round(sim, 6) AS sim FROM s WHERE sim >= 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, pt, reuse_id DESC) = 1""",
+    "context_reuse_strict": f"""WITH {TURNS}, s AS (SELECT a.id, b.id AS reuse_id, b.turn_id AS pt, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim, a.parsed_metadata AS x, b.parsed_metadata AS y FROM turns a JOIN turns b ON a.conversation_id = b.conversation_id AND b.turn_id < a.turn_id WHERE len(a.embedding) > 0 AND len(b.embedding) = len(a.embedding))
+SELECT id, reuse_id FROM s WHERE sim >= 0.7 AND x.companies IS NOT DISTINCT FROM y.companies AND list_sort(coalesce(x.years, [])) = list_sort(coalesce(y.years, [])) AND list_sort(coalesce(x.quarters, [])) = list_sort(coalesce(y.quarters, [])) AND x.filing_type_hint IS NOT DISTINCT FROM y.filing_type_hint
+AND len(x.section_hints) > 0 AND len(y.section_hints) > 0 AND len(list_intersect(x.section_hints, y.section_hints)) / len(list_distinct(x.section_hints)) >= 0.95 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, pt, reuse_id DESC) = 1""",
     "safety_gate": f"WITH {TURNS} SELECT id, {like('modif_query', audit.HARM_CUES)} AS harmful, {_INPUT} AS input_class, {_INBAD} AS input_fails, {_OUTBAD} AS output_fails FROM turns",
     "audit_scores": f"{AUDITED} SELECT id, round(faith, 6) AS faithfulness, round(rel, 6) AS relevancy, coalesce(faith >= 0.5 AND rel >= 0.5, false) AS analysis_ok FROM au",
     "route_decision": f"""{AUDITED}, d AS (SELECT *, coalesce(faith >= 0.5 AND rel >= 0.5, false) AS ok, coalesce(n_hits, 0) >= 1 AS enough, {_INBAD} AS in_bad, {_OUTBAD} AS out_bad, coalesce(len(m.companies), 0) AS n, turn_id % 4 AS retries FROM au)

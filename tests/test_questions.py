@@ -85,3 +85,13 @@ def test_gates(spark):
     assert say(True, False, True, 1, False, "a", "") == audit.TEXTS["query_harmful"] and say(False, False, False, 0, True, "a", "") == audit.TEXTS["no_company"]
     assert say(False, False, False, 1, False, "a", "b") == "## SEC Filing Analysis\n\na\n\n---\n\n## Management Commentary (Earnings Calls)\n\nb" and say(False, False, False, 1, False, "", "") is None
     assert pick(audit.output_fails(F.lit("You should definitely buy this stock"))) and not pick(audit.output_fails(F.lit("this is not financial advice")))
+
+
+def test_reuse(spark):
+    hal, q = [("HAL", "Hal")], ["risk factors"]
+    meta = (hal, [2008], ["Q1"], "10-Q", q)
+    rows = [("c_0", "c", 0, meta, [1.0, 0.0]), ("c_1", "c", 1, meta, [1.0, 0.0]), ("c_2", "c", 2, meta, [0.9, 0.1]), ("c_3", "c", 3, (hal, [2009], ["Q1"], "10-Q", q), [1.0, 0.0]), ("d_1", "d", 1, meta, [1.0, 0.0]), ("c_4", "c", 4, None, None), ("c_5", "c", 5, meta, [0.0, 1.0])]
+    m = META.replace("companies ", "companies:").replace(" array<int>", ":array<int>").replace(" array<string>", ":array<string>").replace(" string,", ":string,")
+    df = spark.createDataFrame(rows, f"id string, conversation_id string, turn_id int, parsed_metadata struct<{m}>, embedding array<float>")
+    assert {r.id: r.reuse_id for r in memory.reusable(df).collect()} == {"c_1": "c_0", "c_2": "c_0"}
+    assert {r.id: r.reuse_id for r in memory.reusable(df, 0.7, 0.0).collect()} == {"c_1": "c_0", "c_2": "c_0", "c_3": "c_0"}

@@ -66,10 +66,10 @@ def test_direction(spark):
 
 
 def test_period_codes(spark):
-    df = spark.createDataFrame([("Q3_2024",), ("2024",), ("FY_2024",), ("2024Q3",), ("x",), (None,)], "p string")
+    df = spark.createDataFrame([("Q3_2024",), ("2024",), ("FY_2024",), ("2024Q3",), ("x",), (None,), ("Q5_2024",)], "p string")
     p = F.col("p")
     got = [tuple(r) for r in df.select(periods.to_code(p), periods.sort_key(p), periods.start_date(p)).collect()]
-    assert got == [("2024Q3", 20243, dt.date(2024, 7, 1)), ("2024", 20245, dt.date(2024, 1, 1)), ("2024", 20245, dt.date(2024, 1, 1)), ("2024Q3", 20243, dt.date(2024, 7, 1)), ("x", None, None), (None, None, None)]
+    assert got == [("2024Q3", 202403, dt.date(2024, 7, 1)), ("2024", 202499, dt.date(2024, 1, 1)), ("2024", 202499, dt.date(2024, 1, 1)), ("2024Q3", 202403, dt.date(2024, 7, 1)), ("x", None, None), (None, None, None), ("2024Q5", 202405, None)]
 
 
 def test_period_labels(spark):
