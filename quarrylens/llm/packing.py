@@ -113,7 +113,7 @@ def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str =
     )
     items = staged(items, "pack-items")
     counts = items.groupBy("n_tokens", "b").agg(F.count("*").alias("c"))
-    # at most (top + 1) x rank_buckets rows, whatever the corpus, so that they may be broadcast
+    # at most (top + 1) x rank_buckets rows, whatever the corpus; the items are partitioned by the same keys for their ranks
     before = Window.partitionBy("n_tokens").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
     hist = {int(r.n_tokens): int(r.c) for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}
@@ -122,7 +122,7 @@ def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str =
     group = np.array(plan.groups or [(0, 1, 0, 0, min(capacities))], np.int64)
     bins = max(plan.bins, 1)
     ranked = items.withColumn("r", F.row_number().over(Window.partitionBy("n_tokens", "b").orderBy("doc_id", "part")))
-    ranked = ranked.join(F.broadcast(offsets), ["n_tokens", "b"]).select("doc_id", "part", "n_tokens", (F.col("before") + F.col("r") - 1).alias("rank"))
+    ranked = ranked.join(offsets, ["n_tokens", "b"]).select("doc_id", "part", "n_tokens", (F.col("before") + F.col("r") - 1).alias("rank"))
     id_type = sizes.schema[id_col].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
