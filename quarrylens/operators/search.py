@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.scalars import cosine
+from quarrylens.functions.vectors import cosine_to
 
 CANDIDATES_PER_HIT = 30
 
@@ -19,14 +20,9 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(x, lambda y: y / n))
 
 
-def literal_vector(v: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
-
-
 def scored(vectors: DataFrame, query: list[float], vec: str = "embedding") -> DataFrame:
     """vectors with cosine and score = (1 + cosine) / 2; rows without a cosine (null, zero or other length) are left out."""
-    c = cosine(F.col(vec), literal_vector(query))
-    return vectors.withColumn("cosine", c).filter("cosine IS NOT NULL AND NOT isnan(cosine)").withColumn("score", (1 + F.col("cosine")) / 2)
+    return vectors.withColumn("cosine", cosine_to(F.col(vec), query)).filter("cosine IS NOT NULL").withColumn("score", (1 + F.col("cosine")) / 2)
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec: str = "embedding") -> DataFrame:
