@@ -25,20 +25,23 @@ def stocks(spark: SparkSession, d: str, timeframe: str = "quarterly") -> DataFra
 
 
 def ratios(spark: SparkSession, d: str) -> DataFrame:
-    """company, metric, period, value: twelve quotients of a quarter's line items. Sums are exact decimals, so that they don't
-    depend on the order of rows."""
+    """company, metric, period, value: twelve quotients of a quarter's line items. Sums are exact, so that they don't depend on
+    the order of rows."""
     li = read_table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     n = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    j = li.join(o, "l_orderkey").join(c, "o_custkey").join(n, "c_nationkey")
     ext = F.col("l_extendedprice")
-    # two steps: by order first, so that counting orders needs no distinct
-    g = j.groupBy(F.col("n_name").alias("company"), periods.code_of(F.col("o_orderdate"), "quarterly").alias("period"), "l_orderkey").agg(
-        F.sum(ext.cast("decimal(18,4)")).alias("ext"), F.sum((ext * F.col("l_discount")).cast("decimal(18,4)")).alias("disc"), F.sum((ext * F.col("l_tax")).cast("decimal(18,4)")).alias("tax"), F.sum(F.col("l_quantity").cast("decimal(18,4)")).alias("qty"),
+    # ten-thousandths as integers: exact sums without wide decimals. Line items are summed by order before the join, which then
+    # finds them partitioned by its key and a quarter as many; and orders are counted without a distinct.
+    whole = lambda x: F.sum(F.round(x * 10000).cast("long"))
+    by_order = li.groupBy("l_orderkey").agg(
+        whole(ext).alias("ext"), whole(ext * F.col("l_discount")).alias("disc"), whole(ext * F.col("l_tax")).alias("tax"), whole(F.col("l_quantity")).alias("qty"),
         F.count("*").alias("n"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("ret"), F.sum((F.col("l_linestatus") == "O").cast("long")).alias("op"),
     )
-    g = g.groupBy("company", "period").agg(*[F.sum(x).cast("double").alias(x) for x in ("ext", "disc", "tax", "qty", "n", "ret", "op")], F.count("*").cast("double").alias("ords"))
+    j = by_order.join(o, "l_orderkey").join(c, "o_custkey").join(n, "c_nationkey")
+    g = j.groupBy(F.col("n_name").alias("company"), periods.code_of(F.col("o_orderdate"), "quarterly").alias("period"))
+    g = g.agg(*[(F.sum(x) / 10000.0).alias(x) for x in ("ext", "disc", "tax", "qty")], *[F.sum(x).cast("double").alias(x) for x in ("n", "ret", "op")], F.count("*").cast("double").alias("ords"))
     e, s, t, q, k = (F.col(x) for x in ("ext", "disc", "tax", "qty", "n"))
     wide = {
         "Price-to-Earnings": F.try_divide(e, e - s),
