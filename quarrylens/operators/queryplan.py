@@ -128,12 +128,10 @@ def decomposed(p: DataFrame, q_col: str = "q") -> DataFrame:
 def retrieval_jobs(p: DataFrame, companies: DataFrame, id_col: str = "q_id", q_col: str = "q") -> DataFrame:
     """q_id, job_no, q, ticker, periods, forms, headings: one job for each sub-query. What the sub-query leaves open is taken from
     the question; only the first company counts; an unknown form means both."""
-    d = decomposed(p, q_col)
-    subs = d.select(id_col, F.posexplode("sub_queries").alias("job_no", "sub_q")).withColumn("job_no", F.col("job_no") + 1)
+    base = [F.col(c).alias(f"b_{c}") for c in ("tickers", "years", "quarters", "filing_type_hint", "section_hints")]
+    subs = decomposed(p, q_col).select(id_col, *base, F.posexplode("sub_queries").alias("job_no", "sub_q")).withColumn("job_no", F.col("job_no") + 1)
     subs = subs.withColumn("_job", F.concat_ws("|", F.col(id_col).cast("string"), F.col("job_no").cast("string")))
-    s = parsed(subs, companies, "_job", "sub_q")
-    base = d.select(id_col, *[F.col(c).alias(f"b_{c}") for c in ("tickers", "years", "quarters", "filing_type_hint", "section_hints")])
-    j = s.join(base, id_col)
+    j = parsed(subs, companies, "_job", "sub_q")
     forms = lambda hint, other: F.when(hint == "10-Q", F.array(F.lit("10-Q"))).when(hint == "10-K", F.array(F.lit("10-K"))).otherwise(other)
     both = F.array(F.lit("10-Q"), F.lit("10-K"))
     own, of_base = periods.labels(F.col("years"), F.col("quarters")), periods.labels(F.col("b_years"), F.col("b_quarters"))
