@@ -390,7 +390,7 @@ def child_chunk_fold(spark, d):
     k = g.select("id", "words", F.size("pieces").alias("n_pieces"), F.explode(chunking.fold_children(F.col("words"), F.col("pieces"))).alias("c"))
     from quarrylens.functions.scalars import n_words
 
-    return k.select(F.col("id").alias("doc_id"), "n_pieces", F.col("c.key").alias("key"), n_words(F.col("c.text")).alias("n_words"))
+    return k.select(F.col("id").alias("doc_id"), F.col("n_pieces").cast("long").alias("n_pieces"), F.col("c.key").cast("long").alias("key"), n_words(F.col("c.text")).cast("long").alias("n_words"))
 
 
 @query

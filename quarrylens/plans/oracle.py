@@ -97,7 +97,6 @@ def like(text: str, cue: str) -> str:
 
 
 NORM = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
-HINTS = "list_distinct_in_order"
 _cues = "[" + ", ".join(f"CASE WHEN {{low}} AND regexp_matches(lower(q), {q(c)}) THEN {q(h)} END" for c, h in SECTION_CUES) + "]"
 
 
@@ -108,16 +107,30 @@ def in_order(x: str) -> str:
 
 _found = f"list_filter({_cues.format(low='true')}, lambda h: h IS NOT NULL)"
 _MDA = q("management discussion and analysis of financial condition and results of operations")
-PARSED = f"""{TURNS}, qs AS (SELECT id AS q_id, modif_query AS q, {NORM.format('modif_query')} AS norm FROM turns WHERE modif_query IS NOT NULL),
-syn AS (SELECT DISTINCT ticker, {NORM.format('s')} AS gram FROM (SELECT ticker, unnest(list_concat(synonyms, [lower(ticker), canonical_name, display_name])) AS s FROM companies) WHERE {NORM.format('s')} <> ''),
-hits AS (SELECT q_id, ticker, min(length(regexp_replace(substr(' ' || norm || ' ', 1, instr(' ' || norm || ' ', ' ' || gram || ' ')), '[^ ]', '', 'g'))) AS place, max(length(gram)) AS n FROM qs JOIN syn ON contains(' ' || norm || ' ', ' ' || gram || ' ') GROUP BY ALL),
-named AS (SELECT q_id, list(ticker ORDER BY place, n DESC, ticker) AS tickers FROM hits GROUP BY q_id),
-p0 AS (SELECT q_id, q, coalesce(tickers, []) AS tickers, list_sort(list_distinct(list_transform(list_filter(string_split(norm, ' '), lambda w: regexp_full_match(w, '(19|20)[0-9][0-9]')), lambda w: CAST(w AS INT)))) AS years,
+SYN = f"syn AS (SELECT DISTINCT ticker, {NORM.format('s')} AS gram FROM (SELECT ticker, unnest(list_concat(synonyms, [lower(ticker), canonical_name, display_name])) AS s FROM companies) WHERE {NORM.format('s')} <> '')"
+
+
+def parse(out: str, source: str) -> str:
+    """CTEs that end in `out`: the rows of `source` (q_id, q and others), parsed."""
+    place = "instr(' ' || norm || ' ', ' ' || gram || ' ')"
+    return f"""{out}_n AS (SELECT *, {NORM.format('q')} AS norm FROM {source}),
+{out}_h AS (SELECT q_id, ticker, min(length(regexp_replace(substr(' ' || norm || ' ', 1, {place}), '[^ ]', '', 'g'))) AS place, max(length(gram)) AS n FROM {out}_n JOIN syn ON contains(' ' || norm || ' ', ' ' || gram || ' ') GROUP BY ALL),
+{out}_t AS (SELECT q_id, list(ticker ORDER BY place, n DESC, ticker) AS tickers FROM {out}_h GROUP BY q_id),
+{out}_0 AS (SELECT {out}_n.* EXCLUDE (norm), coalesce(tickers, []) AS tickers, list_sort(list_distinct(list_transform(list_filter(string_split(norm, ' '), lambda w: regexp_full_match(w, '(19|20)[0-9][0-9]')), lambda w: CAST(w AS INT)))) AS years,
   list_sort(list_distinct(list_transform(list_filter(string_split(norm, ' '), lambda w: regexp_full_match(w, 'q[1-4]')), lambda w: upper(w)))) AS quarters,
-  {in_order(_found)}[:4] AS found FROM qs LEFT JOIN named USING (q_id)),
-p AS (SELECT *, CASE WHEN len(quarters) > 0 OR regexp_matches(lower(q), '\\bquarter(s|ly)?\\b') THEN '10-Q' WHEN len(years) > 0 OR regexp_matches(lower(q), '\\b(fy|annual(ly)?|yearly)\\b') THEN '10-K' ELSE 'UNKNOWN' END AS filing_type_hint,
+  {in_order(_found)}[:4] AS found FROM {out}_n LEFT JOIN {out}_t USING (q_id)),
+{out} AS (SELECT *, CASE WHEN len(quarters) > 0 OR regexp_matches(lower(q), '\\bquarter(s|ly)?\\b') THEN '10-Q' WHEN len(years) > 0 OR regexp_matches(lower(q), '\\b(fy|annual(ly)?|yearly)\\b') THEN '10-K' ELSE 'UNKNOWN' END AS filing_type_hint,
   CASE WHEN len(found) > 0 THEN found ELSE [{_MDA}] END AS section_hints,
-  CASE WHEN len(tickers) = 0 AND len(years) = 0 THEN 'GENERAL' WHEN {like('q', queryplan.COMPARISON_CUES)} OR len(tickers) > 1 THEN 'COMPARISON' WHEN {like('q', queryplan.CHANGE_CUES)} THEN 'CHANGE_DETECTION' WHEN {like('q', queryplan.BROAD_CUES)} THEN 'BROAD' ELSE 'SIMPLE' END AS query_type FROM p0)"""
+  CASE WHEN len(tickers) = 0 AND len(years) = 0 THEN 'GENERAL' WHEN {like('q', queryplan.COMPARISON_CUES)} OR len(tickers) > 1 THEN 'COMPARISON' WHEN {like('q', queryplan.CHANGE_CUES)} THEN 'CHANGE_DETECTION' WHEN {like('q', queryplan.BROAD_CUES)} THEN 'BROAD' ELSE 'SIMPLE' END AS query_type FROM {out}_0)"""
+
+
+PARSED = f"{TURNS}, {SYN}, qs AS (SELECT id AS q_id, modif_query AS q FROM turns WHERE modif_query IS NOT NULL), {parse('p', 'qs')}"
+_labels = LABELS.format(y="years", z="quarters")
+_many = f"""flatten(list_transform(CASE WHEN len(tickers) > 0 THEN tickers ELSE [''] END, lambda t: list_transform(CASE WHEN len(l) > 0 THEN l ELSE [''] END, lambda x: concat_ws(' ', nullif(t, ''), nullif(x, ''), section_hints[1]))))"""
+JOBS = f"""{PARSED}, d0 AS (SELECT *, {_labels} AS l FROM p), d1 AS (SELECT *, {in_order(_many)} AS many FROM d0),
+d2 AS (SELECT * EXCLUDE (many, found), CASE WHEN query_type IN ('BROAD', 'COMPARISON') AND len(many) >= 2 THEN many[:5] ELSE [q] END AS subs FROM d1),
+d3 AS (SELECT q_id AS of, tickers AS b_t, l AS b_l, filing_type_hint AS b_f, section_hints AS b_h, unnest(subs) AS q, generate_subscripts(subs, 1) AS job_no FROM d2), d4 AS (SELECT *, concat(of, '|', job_no) AS q_id FROM d3), {parse('s', 'd4')}"""
+_form = "CASE {0} WHEN '10-Q' THEN '10-Q' WHEN '10-K' THEN '10-K' ELSE {1} END"
 RETRIEVER = "CASE query_type WHEN 'SIMPLE' THEN 'simple' WHEN 'BROAD' THEN 'multi' WHEN 'COMPARISON' THEN 'multi' WHEN 'CHANGE_DETECTION' THEN 'path' ELSE 'none' END"
 _focus = "CASE " + " ".join(f"WHEN {like('q', c)} THEN {q(n)}" for n, c, _ in queryplan.TONE_CUES) + " ELSE 'GENERAL' END"
 _ask = "CASE WHEN trim(lower(q)) = '' THEN " + q(queryplan.DEFAULT_TONE) + " " + " ".join(f"WHEN {like('q', c)} THEN {q(t)}" for _, c, t in queryplan.TONE_CUES) + f" ELSE {q(queryplan.GENERAL_TONE)} END"
@@ -202,6 +215,10 @@ SELECT company, period, child_id, round(sc, 6) AS rerank_score, row_number() OVE
     "turn_envelopes": f"WITH {TURNS}, l AS (SELECT *, {LABELS.format(y='parsed_metadata.years', z='parsed_metadata.quarters')} AS l FROM turns) SELECT id, concat('Company: ', coalesce(parsed_metadata.companies[1].name, 'N/A'), ', Period: ', coalesce(l[1], 'N/A'), ', Query: ', modif_query) AS text FROM l WHERE modif_query IS NOT NULL",
     "child_chunk_windows": """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 31) + 1, 90)) AS p0 FROM w WHERE len(w) > 0)
 SELECT doc_id, CAST(floor(p0 / 90) AS BIGINT) AS piece_no, len(w[p0 + 1 : p0 + 120]) AS n_words, md5(array_to_string(w[p0 + 1 : p0 + 120], ' ')) AS digest FROM s""",
+    # windows of 120 words without overlap: only the last can be short, and is then glued to the one before, word to word
+    "child_chunk_fold": """WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS n FROM documents), p AS (SELECT doc_id, n, CAST(floor((n - 1) / 120) AS BIGINT) + 1 AS k, n - 120 * CAST(floor((n - 1) / 120) AS BIGINT) AS last FROM w WHERE n > 220),
+c AS (SELECT *, unnest(range(0, CASE WHEN last <= 50 THEN k - 1 ELSE k END)) AS key FROM p)
+SELECT doc_id, k AS n_pieces, key, CASE WHEN key < k - 2 THEN 120 WHEN key = k - 2 THEN CASE WHEN last <= 50 THEN 119 + last ELSE 120 END ELSE last END AS n_words FROM c""",
     "page_furniture": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS n FROM l WHERE contains(lower(line), 'part') OR contains(lower(line), 'item') OR regexp_matches(line, {q(chunking.FOOTER)}) OR regexp_matches(line, {q(chunking.PAGE_NUMBER)}) GROUP BY doc_id",
     "toc_item_headings_10k": f"""WITH {CHUNKS}, t AS (SELECT DISTINCT accession_no AS doc_id, string_split(item_heading, ':')[1] AS item, trim(string_split(item_heading, ':')[2]) AS heading FROM ch WHERE form = '10-K' AND {_ITEM}) SELECT doc_id, item, concat(item, ': ', min(heading)) AS heading FROM t GROUP BY doc_id, item""",
     "toc_item_headings_10q": f"""WITH {CHUNKS}, t AS (SELECT DISTINCT accession_no AS doc_id, part_heading AS part, string_split(item_heading, ':')[1] AS item, trim(string_split(item_heading, ':')[2]) AS heading FROM ch WHERE form = '10-Q' AND {_ITEM} AND part_heading IS NOT NULL) SELECT doc_id, part, item, concat(item, ': ', heading) AS heading FROM t""",
@@ -210,6 +227,8 @@ SELECT doc_id, CAST(floor(p0 / 90) AS BIGINT) AS piece_no, len(w[p0 + 1 : p0 + 1
     "tone_focus": f"WITH {TURNS} SELECT id AS q_id, {_focus} AS focus, {_ask} AS tone_query FROM (SELECT id, modif_query AS q FROM turns WHERE modif_query IS NOT NULL)",
     "subquery_validate": f"""WITH {TURNS}, f AS (SELECT id, modif_query, {_FLAT} AS f FROM turns WHERE modif_query IS NOT NULL), o AS (SELECT id, modif_query, list_filter(f, lambda s, i: list_position(list_transform(f, lambda x: lower(x)), lower(s)) = i) AS o FROM f)
 SELECT id, CASE WHEN len(o) < 2 THEN modif_query ELSE array_to_string(o[:5], '|') END AS sub_queries FROM o""",
+    "retrieval_jobs": f"""WITH {JOBS} SELECT of AS q_id, CAST(job_no AS INT) AS job_no, q, coalesce(tickers[1], b_t[1]) AS ticker, coalesce(array_to_string(CASE WHEN len({_labels}) > 0 THEN {_labels} ELSE b_l END, ','), '') AS periods,
+{_form.format('filing_type_hint', _form.format('b_f', "'10-Q,10-K'"))} AS forms, array_to_string(section_hints, ',') AS headings FROM s""",
     "history_fill": f"""WITH {TURNS} SELECT id, last_value(parsed_metadata.companies[1].ticker IGNORE NULLS) OVER h AS ticker_filled, last_value(parsed_metadata.years[1] IGNORE NULLS) OVER h AS year_filled FROM turns WINDOW h AS (PARTITION BY conversation_id ORDER BY turn_id ROWS UNBOUNDED PRECEDING)""",
     "memory_upsert_latest": f"WITH {TURNS} SELECT id, conversation_id, turn_id, query_type, strftime(asked_at, '%Y-%m-%d %H:%M:%S') AS asked_at FROM turns WHERE turn_id IS NOT NULL",
     "memory_next_turn": "SELECT conversation_id, coalesce(max(turn_id), -1) + 1 AS next_turn_id FROM conversation_turns GROUP BY conversation_id",
