@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED = 4000  # texts that the models are fitted on, at most; taken by hashed id
 MIN_WORDS = 40
+SENTENCE_SHARE, SHARPNESS = 0.55, 30.0  # weights of the two readings, by accuracy on held-out labels
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[.!?;\n|]")
 _END = {".", "!", "?", "\n", "|"}
 _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’\-][^\W\d_]+)*(?!\w)")  # whole words, no letters inside codes
@@ -214,20 +215,28 @@ def surprisals(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
 
 
 def scores(model: Model, texts: list[str], scale: tuple[int, ...]) -> np.ndarray:
-    """Expected level of each text: every sentence of three tokens or more is divided among the levels by its surprisal under
-    each model, and counts by its number of tokens."""
+    """Expected level of each text, from two readings of its surprisal. By sentence: each of four tokens or more is divided among
+    the levels by its surprisal under their models, and counts by its tokens. By document: the same with the mean surprisal of
+    all its tokens, which weighs how levels are mixed in it.
+    A text without tokens scores 0."""
     s, doc, sent = surprisals(model, texts)
     if not len(s):
         return np.zeros(len(texts))
+    levels = np.array(scale, float)
     first = np.flatnonzero(np.concatenate([[True], sent[1:] != sent[:-1]]))
-    total = np.add.reduceat(s, first, axis=0).astype(np.float64)
     n = np.diff(np.concatenate([first, [len(s)]]))
-    of = doc[first]
-    w = np.exp(-(total - total.min(1, keepdims=True)))
-    share = w / w.sum(1, keepdims=True)
-    use = np.where(n >= 4, n, 0).astype(float)
-    mean = np.bincount(of, use * (share @ np.array(scale, float)), len(texts)) / np.maximum(np.bincount(of, use, len(texts)), 1e-9)
-    return mean
+    of, use = doc[first], np.where(n >= 4, n, 0).astype(float)
+    by_sentence = _expected(np.add.reduceat(s, first, axis=0).astype(np.float64), levels)
+    by_sentence = np.bincount(of, use * by_sentence, len(texts)) / np.maximum(np.bincount(of, use, len(texts)), 1e-9)
+    tokens = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+    mean = np.stack([np.bincount(doc, s[:, i], len(texts)) for i in range(s.shape[1])], 1) / tokens[:, None]
+    score = SENTENCE_SHARE * by_sentence + (1 - SENTENCE_SHARE) * _expected(SHARPNESS * mean, levels)
+    return np.where(np.bincount(doc, minlength=len(texts)) > 0, score, 0.0)
+
+
+def _expected(surprisal: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    w = np.exp(surprisal.min(1, keepdims=True) - surprisal)
+    return w @ levels / w.sum(1)
 
 
 def graded(model: Model, score: np.ndarray) -> np.ndarray:
