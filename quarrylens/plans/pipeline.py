@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.functions import periods
 from quarrylens.operators import audit, context, graph, queryplan, search
 
 
@@ -122,5 +121,3 @@ def audit_text(spark, question: str, ctx: str) -> str:
     bad = spark.range(1).select(audit.output_fails(F.lit(body)).alias("x")).first().x
     return audit.TEXTS["response_harmful"] if bad else body
 
-
-__all__ = ["Tables", "Turn", "answer", "hits_of", "periods"]
