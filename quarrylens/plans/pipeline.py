@@ -35,7 +35,8 @@ class Turn:
 
 
 def hits_of(t: Tables, jobs: list, query_type: str, question: str, k: int = 10) -> DataFrame | None:
-    """Hits of one question by its type; None where nothing is to be retrieved."""
+    """Hits of one question by its type with n, their order; None where nothing is to be retrieved. A change walk is given whole,
+    in order of time; the other types have a budget for each job."""
     spark = t.companies.sparkSession
     names = {r.ticker: r.display_name for r in t.companies.filter(F.col("ticker").isin([j.ticker for j in jobs if j.ticker])).select("ticker", "display_name").collect()}
     if query_type == "CHANGE_DETECTION":
@@ -43,8 +44,8 @@ def hits_of(t: Tables, jobs: list, query_type: str, question: str, k: int = 10)
         if not j.periods or j.ticker not in names:
             return None
         lo, hi = periods_in_order(spark, list(j.periods))
-        walk = graph.change_walk(t.parents, t.chain, names[j.ticker], lo, hi, list(j.headings))
-        return walk.withColumn("score", F.lit(1.0)).withColumn("id", F.col("parent_id"))
+        walk = search.keep_first(graph.change_walk(t.parents, t.chain, names[j.ticker], lo, hi, list(j.headings)), "parent_id", ["seq", "heading"])
+        return walk.withColumn("n", F.struct("seq", "heading", "parent_id"))
     if query_type not in ("SIMPLE", "BROAD", "COMPARISON"):
         return None
     budget = k if query_type == "SIMPLE" else 3
@@ -61,7 +62,7 @@ def hits_of(t: Tables, jobs: list, query_type: str, question: str, k: int = 10)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumn("n", F.struct("job_no", "rerank"))
 
 
 def periods_in_order(spark, labels: list[str]) -> tuple[str, str]:
@@ -88,18 +89,16 @@ def answer(t: Tables, question: str, k: int = 10) -> Turn:
     jobs = queryplan.retrieval_jobs(p, t.companies).orderBy("job_no").collect()
     while turn.retries <= audit.MAX_RETRIES:
         hits = hits_of(t, jobs, turn.query_type, question, k)
-        rows = [] if hits is None else hits.limit(5 * k).collect()
-        turn.n_hits = len(rows)
-        if rows:
+        found = None if hits is None else context.assemble(hits, context.sec_block(), [], "n").first()
+        turn.n_hits = found.n_blocks if found else 0
+        if turn.n_hits:
             break
         turn.retries += 1
         jobs = [j for j in jobs if not set(j.headings) - {""}] or [_wider(j, turn.retries) for j in jobs]
     if not turn.n_hits:
         turn.answer, turn.route = audit.TEXTS["research_fail"], "research_fail"
         return turn
-    found = spark.createDataFrame([(n, r.company, r.period, r.form, r.heading, r.accession, r.sub_heading, r.parent_text) for n, r in enumerate(rows)], "n int, company string, period string, form string, heading string, accession string, sub_heading string, parent_text string")
-    ctx = context.assemble(found, context.sec_block(), [], "n").first().context
-    turn.answer = audit_text(spark, question, ctx)
+    turn.answer = audit_text(spark, question, found.context)
     turn.route = "accept" if turn.answer != audit.TEXTS["response_harmful"] else "response_harmful"
     turn.messages.append(turn.answer)
     return turn

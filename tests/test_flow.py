@@ -42,6 +42,22 @@ def test_pipeline(spark, data):
     assert pipeline.answer(t, "revenue of Nobody Known in 2008").answer == audit.TEXTS["no_company"]
 
 
+def _walk_tables(spark, n_filings=4, per=30):
+    """A company with n_filings 10-Qs in 2019 and 2020, and per parents on risk factors in each, written in no order."""
+    co = spark.createDataFrame([("ACM", "Acme Inc", "acme inc", ["acme"])], "ticker string, display_name string, canonical_name string, synonyms array<string>")
+    fil = graph.filing_labels(spark.createDataFrame([("Acme Inc", "10-Q", f"acc{i}", dt.date(2019 + i // 3, 2 + 3 * (i % 3), 1)) for i in range(n_filings)], "company string, form string, accession string, date date"))
+    ch = [(f"acc{i}", "Item 1A. Risk Factors", f"acc{i}#{j:03d}", f"Risk {i} {j}.", False, None, {f"acc{i}#{j:03d}_0": f"Risk {i} {j}."}) for j in reversed(range(per)) for i in range(n_filings)]
+    ch = spark.createDataFrame(ch, "accession_no string, item_heading string, chunk_id string, parent_chunk string, is_table boolean, sub_headings map<string,string>, child_chunks map<string,string>").repartition(7)
+    return pipeline.Tables(co, graph.sec_parents(ch, fil), graph.sec_hierarchy(ch, fil), graph.filing_chain(fil))
+
+
+def test_change_walk_is_whole_and_in_order(spark):
+    t = _walk_tables(spark)
+    a = pipeline.answer(t, "How did the risk factors of Acme change from Q1 2019 to Q1 2020?")
+    assert a.query_type == "CHANGE_DETECTION" and a.n_hits == 120
+    assert [x for x in a.answer.splitlines() if x.startswith("Content: ")] == [f"Content: Risk {i} {j}." for i in range(4) for j in range(30)]
+
+
 def test_turns_as_a_stream(spark, tmp_path):
     src, out, cp = (f"file://{tmp_path}/{x}" for x in ("in", "out", "cp"))
     schema = "id string, conversation_id string, turn_id int, asked_at timestamp"
