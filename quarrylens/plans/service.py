@@ -36,10 +36,10 @@ class Service:
         v = timeseries.point(_at(self.ratios_, timeframe), company, period).select(F.lit(company).alias("company"), F.lit(period).alias("period"), "metric", "value")
         return {r.category: r.risk for r in scoring.with_gaps(scoring.scores_without_peers(v)).collect()}
 
-    def question(self, company: str, period: str, query: str = "") -> dict[str, Any]:
+    def question(self, company: str, period: str, query: str = "", conversation_id: str | None = None) -> dict[str, Any]:
         if self.filings is None:
             raise ValueError("this service has no filings")
-        t = pipeline.answer(self.filings, f"Company: {company}, Period: {period}, Query: {query}")
+        t = pipeline.answer(self.filings, f"Company: {company}, Period: {period}, Query: {query}", conversation_id=conversation_id)
         return {"final_response": t.answer, "route": t.route, "n_hits": t.n_hits}
 
     def submit(self, name: str, *args: Any, **kwargs: Any) -> str:

@@ -58,6 +58,55 @@ def test_change_walk_is_whole_and_in_order(spark):
     assert [x for x in a.answer.splitlines() if x.startswith("Content: ")] == [f"Content: Risk {i} {j}." for i in range(4) for j in range(30)]
 
 
+def _calls(spark, n=7):
+    rows = [("Acme Inc", "Q1_2019", "Acme Inc_Q1_2019", "Ann", "CEO", f"c{i}", f"Concerns and risks {i}.", f"c{i}_0", f"Concerns and risks {i}.", [1.0, float(i)]) for i in range(n)]
+    rows += [("Other Inc", "Q1_2019", "Other Inc_Q1_2019", "Bob", None, "o", "Concerns.", "o_0", "Concerns.", [1.0, 0.0])]
+    return spark.createDataFrame(rows, "company string, period string, transcript_id string, speaker string, title string, parent_id string, parent_text string, child_id string, child_text string, embedding array<double>")
+
+
+def test_calls_have_their_budgets(spark):
+    from pyspark.sql import Row
+
+    t = _walk_tables(spark, 1, 1)
+    t.transcripts, t.embed = _calls(spark), lambda q: [1.0, 0.0]
+    job = lambda n: Row(job_no=n, q="risks", ticker="ACM", periods=["Q1_2019"])
+    got = {ty: [r.child_id for r in pipeline.calls_of(t, [job(1), job(2)], ty, "risks").orderBy("n").collect()] for ty in ("SIMPLE", "CHANGE_DETECTION", "BROAD")}
+    assert got == {"SIMPLE": [f"c{i}_0" for i in range(5)], "CHANGE_DETECTION": [f"c{i}_0" for i in range(5)], "BROAD": ["c0_0", "c1_0"] * 2}
+    assert pipeline.calls_of(t, [job(1)], "GENERAL", "risks") is None
+
+
+def test_gate_retries_and_commentary(spark):
+    t = _walk_tables(spark, 1, 2)
+    t.transcripts = _calls(spark)
+    q = "What were the risk factors of Acme in Q1 2019?"
+    t.hierarchy = t.hierarchy.withColumn("parent_text", F.lit(f"{q} They were small."))
+    tried = []
+    t.write = lambda q, sec, failed: tried.append(failed) or (q if failed == 2 else "nothing to the point")
+    a = pipeline.answer(t, q)
+    assert tried == [0, 1, 2] and (a.route, a.analysis_retries, a.n_hits, a.n_calls) == ("accept", 2, 2, 5) and a.relevant == 1.0
+    assert a.answer.count("## Management Commentary (Earnings Calls)") == 1 and "Other Inc" not in a.answer
+    t.write = lambda q, sec, failed: "nothing to the point"
+    a = pipeline.answer(t, q)
+    assert (a.route, a.analysis_retries) == ("exhausted", 3) and "nothing to the point" in a.answer
+    t.write = lambda q, sec, failed: "You should buy this stock."
+    assert pipeline.answer(t, q).answer == audit.TEXTS["response_harmful"]
+
+
+def test_history_and_reuse(spark):
+    t = _walk_tables(spark, 2, 2)
+    t.transcripts, t.embed = _calls(spark), lambda q: [1.0, 0.0]
+    t.hierarchy = t.hierarchy.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    meta = ([("ACM", "Acme Inc")], [2019], ["Q1"], "10-Q", ["risk factors"])
+    kind = "struct<companies:array<struct<ticker:string,name:string>>,years:array<int>,quarters:array<string>,filing_type_hint:string,section_hints:array<string>>"
+    cited = "array<struct<child_chunk_id:string,score:double>>"
+    t.turns = spark.createDataFrame([("x_0", "x", 0, "q", meta, [("acc1#001_0", 1.0)], [("c6", 1.0)], [1.0, 0.0])], f"id string, conversation_id string, turn_id int, modif_query string, parsed_metadata {kind}, sec_context {cited}, trans_context {cited}, embedding array<float>")
+    a = pipeline.answer(t, "What were the risk factors?", conversation_id="x")
+    assert a.asked == "What were the risk factors? for ACM in Q1_2019"
+    assert (a.reuse_id, a.n_hits, a.n_calls) == ("x_0", 1, 1) and "Risk 1 1." in a.answer and "Concerns and risks 6." in a.answer
+    b = pipeline.answer(t, "What were the risk factors?", conversation_id="y")
+    assert b.route == "no_company" and b.reuse_id is None
+
+
 def test_turns_as_a_stream(spark, tmp_path):
     src, out, cp = (f"file://{tmp_path}/{x}" for x in ("in", "out", "cp"))
     schema = "id string, conversation_id string, turn_id int, asked_at timestamp"
