@@ -186,22 +186,41 @@ COURTESIES = [
     r"(?:please )?(?:contact|refer to|see|visit|ask)\b.*", r".*\bdirectly", r"(?:unfortunately|regrettably|apologies|i apologi[sz]e|sorry|i'm sorry|i am sorry|leider|entschuldigung|es tut mir leid|lo siento|lo lamento|désolée?|je suis désolée?|malheureusement|lamentablemente|desafortunadamente)\b.{0,20}",
     r"let me be clear", r"i (?:appreciate|understand) .{0,40}", r"(?:bitte|danke|vielen dank|gracias|merci|por favor|veuillez|s'il vous plaît)\b.*", r"is there .*", r"(?:you may|try|feel free|i(?:'d| would) be happy|i hope|let me know)\b.*", r".*\bno supporting passages\b.*",
 ]
-_REFUSE = [re.compile(p, re.I) for ps in REFUSALS.values() for p in ps]
-_COURTESY = [re.compile(r"\W*" + p + r"\W*", re.I | re.S) for p in COURTESIES]
+# each pattern as its parts around the gaps, which are runs without a full stop
+_REFUSE = [[re.compile(x, re.I) for x in p.split("[^.]*")] for ps in REFUSALS.values() for p in ps]
+_COURTESY = [re.compile(r"\W*+" + p + r"\W*", re.I | re.S) for p in COURTESIES]
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+(?=[A-ZÀ-Þ¿¡\"“«(\[*#|-])|\n+")
 
 
+def _in_order(parts: list[re.Pattern], run: str) -> bool:
+    """What the parts match with any gaps between them, in linear time: each part, from the last, takes its latest place before
+    the place of the next."""
+    end = len(run)
+    for part in reversed(parts[1:]):
+        at, m = -1, part.search(run, 0, end)
+        while m:
+            at = m.start()
+            m = part.search(run, at + 1, end)
+        if at < 0:
+            return False
+        end = at
+    return parts[0].search(run, 0, end) is not None
+
+
+def _refuses(sentence: str) -> bool:
+    runs = sentence.split(".")
+    return any(_in_order(parts, run) for parts in _REFUSE for run in runs)
+
+
 def is_refusal(answer: str) -> bool:
     """At least one refusing sentence, and all others are courtesies: what answers anything besides is no refusal."""
     t = visible(answer).replace("’", "'")
-    if len(t) > 1200:
-        return False
     refused = 0
     for s in _SENTENCE.split(t):
         s = s.strip(" *_#>-\"'“”«»")
         if not any(c.isalnum() for c in s):
             continue
-        if any(r.search(s) for r in _REFUSE):
+        if _refuses(s):
             refused += 1
         elif not any(c.fullmatch(s) for c in _COURTESY) and len(_terms(s)) > 2:
             return False

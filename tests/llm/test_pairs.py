@@ -35,6 +35,24 @@ def test_long_copies_take_linear_time():
     assert p.is_copy(q, q) and p.is_copy(q, "Question: " + q.upper()) and not p.is_copy(q, " ".join(reversed(q.split()))) and not p.is_copy(q, "other words " * 9000)
 
 
+def test_long_refusals():
+    assert p.is_refusal("I cannot assist with questions about margins. Thank you for understanding. " * 40)
+    assert not p.is_refusal("I cannot assist with questions about margins. " * 40 + FULL)
+    assert not p.is_refusal("The information does not allow " * 20_000)  # in linear time
+
+
+def test_refusing_sentences_are_those_of_the_whole_patterns():
+    import random
+    import re
+
+    whole = [re.compile(x, re.I) for ps in p.REFUSALS.values() for x in ps]
+    words = "i cannot will not have enough answer information context does allow me my guidelines prevent . ich kann nicht beantworten je ne peux pas répondre no puedo responder keine antwort geben lies outside do provide not".split()
+    r = random.Random(1)
+    told = [" ".join(r.choices(words, k=r.randint(2, 14))) for _ in range(20_000)]
+    said = [(any(x.search(t) for x in whole), p._refuses(t)) for t in told]
+    assert all(a == b for a, b in said) and 0 < sum(a for a, _ in said) < len(said)
+
+
 def test_stack():
     assert p.open_constructs("a (b [c] d") == ["("] and p.open_constructs("1) one\n2) two") == [] and p.open_constructs('5" pipe') == []
     assert p.open_constructs("```\n(\n```\n") == [] and p.open_constructs("<div><b>x</b>") == ["<div"] and p.open_constructs("**a\n\nb") == []
