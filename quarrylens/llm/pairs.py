@@ -123,16 +123,17 @@ def is_copy(question: str, answer: str) -> bool:
     """Nearly all of the answer, but for a short lead, is tiled by the question, and most of the question by the answer. The
     question may be given several times over."""
     q, a = _terms(question), _terms(answer)
-    if not q or not a or len(a) > 3.5 * len(q) + 6:
+    if not q or not a:
         return False
+    once = Counter(q)
     for body in (a, _terms(_LEAD.sub("", answer, count=1))):
         if len(body) < 2 or len(body) < 0.4 * len(q):
             if body != q:
                 continue
-        times = q * max(1, round(len(body) / len(q)))
+        n = max(1, round(len(body) / len(q)))
         # runs first, then single words that were moved
-        bag = sum((Counter(body) & Counter(times)).values())
-        if bag >= 0.85 * len(body) and bag >= 0.5 * len(times) and covered(body, times) >= 0.6 * len(body):
+        bag = sum(min(c, n * once[w]) for w, c in Counter(body).items())
+        if bag >= 0.85 * len(body) and bag >= 0.5 * n * len(q) and covered(body, q * n) >= 0.6 * len(body):
             return True
     return False
 

@@ -35,6 +35,12 @@ def test_long_copies_take_linear_time():
     assert p.is_copy(q, q) and p.is_copy(q, "Question: " + q.upper()) and not p.is_copy(q, " ".join(reversed(q.split()))) and not p.is_copy(q, "other words " * 9000)
 
 
+@pytest.mark.parametrize("n", [2, 4, 7, 40])
+def test_a_question_given_any_number_of_times(n):
+    q = "Which Hal Inc sections of 2004 mention the gross margin and the tax rate, please?"
+    assert p.is_copy(q, " ".join([q] * n)) and p.is_copy(q, "Your question: " + " ".join([q] * n)) and not p.is_copy(q, " ".join([FULL] * n))
+
+
 def test_long_refusals():
     assert p.is_refusal("I cannot assist with questions about margins. Thank you for understanding. " * 40)
     assert not p.is_refusal("I cannot assist with questions about margins. " * 40 + FULL)
