@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -101,17 +102,69 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> int:
                 covered += best
 
 
+def long_tiles(a: list[str], b: list[str], least: int = 2) -> int:
+    """tiles() for long texts: each round finds the longest length of which a free run is in both, by halving, and takes its
+    runs in the order of their places. A run of any length is told by two numbers, the ranks of the power of two at its start
+    and at its end, so that comparing runs takes no time by their length and is exact."""
+    number: dict[str, int] = {}
+    ranks = [np.array([number.setdefault(w, len(number)) for w in a + b], np.int64)]
+    n, total = len(a), len(a) + len(b)
+    while 2 ** len(ranks) <= min(n, len(b)):
+        r, half = ranks[-1], 2 ** (len(ranks) - 1)
+        ranks.append(np.unique(r[:-half] * (total + 1) + r[half:], return_inverse=True)[1].astype(np.int64))
+    free = np.ones(total, bool)
+
+    def runs(length: int, room: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places in a and in b where a free run of this length begins, and what it is."""
+        k = length.bit_length() - 1
+        i, j = np.flatnonzero(room[:n] >= length), n + np.flatnonzero(room[n:] >= length)
+        return i, ranks[k][i] * (total + 1) + ranks[k][i + length - 2**k], j, ranks[k][j] * (total + 1) + ranks[k][j + length - 2**k]
+
+    most, done = min(n, len(b)), 0
+    while most >= least:
+        # free places from each one on, within its own text
+        stop = np.where(free, total, np.arange(total))
+        stop[n - 1] = min(stop[n - 1], n) if n else 0
+        room = np.concatenate([np.minimum.accumulate(np.append(stop[:n], n)[::-1])[::-1][:n], np.minimum.accumulate(stop[n:][::-1])[::-1]]) - np.arange(total)
+        low, high = least - 1, min(most, int(room[:n].max(initial=0)), int(room[n:].max(initial=0)))
+        while low < high:
+            mid = (low + high + 1) // 2
+            _, x, _, y = runs(mid, room)
+            low, high = (mid, high) if np.isin(x, y).any() else (low, mid - 1)
+        if low < least:
+            break
+        i, x, j, y = runs(low, room)
+        both = np.intersect1d(x, y)
+        i, x, keep = i[np.isin(x, both)], x[np.isin(x, both)], np.isin(y, both)
+        places: dict[int, list[int]] = {}
+        for at, what in zip(j[keep][::-1].tolist(), y[keep][::-1].tolist()):
+            places.setdefault(what, []).append(at)
+        for at, what in zip(i.tolist(), x.tolist()):
+            # tiles so far are at least as long, so one that overlaps a run covers one of its ends
+            if not (free[at] and free[at + low - 1]):
+                continue
+            there = places[what]
+            while there and not (free[there[-1]] and free[there[-1] + low - 1]):
+                there.pop()
+            if there:
+                free[at : at + low] = free[there[-1] : there[-1] + low] = False
+                done += low
+        most = low - 1
+    return done
+
+
 def covered(a: list[str], b: list[str]) -> int:
-    """tiles(), or, where comparing all places would take too long, the words of a in runs of two that b has as often: a bound
-    from above that takes linear time."""
+    """tiles(), found another way where comparing all places would take too long."""
     if a == b:
         return len(a)
-    if len(a) * len(b) <= 250_000:
-        return tiles(a, b, 2)
-    left, marked = Counter(zip(b, b[1:])), [False] * len(a)
+    return tiles(a, b, 2) if len(a) * len(b) <= 250_000 else long_tiles(a, b, 2)
+
+
+def covered_at_most(a: list[str], b: list[str]) -> int:
+    """The words of a in runs of two that b has: no tiling covers more."""
+    pairs, marked = set(zip(b, b[1:])), [False] * len(a)
     for i, pair in enumerate(zip(a, a[1:])):
-        if left[pair] > 0:
-            left[pair] -= 1
+        if pair in pairs:
             marked[i] = marked[i + 1] = True
     return sum(marked)
 
@@ -133,7 +186,7 @@ def is_copy(question: str, answer: str) -> bool:
         n = max(1, round(len(body) / len(q)))
         # runs first, then single words that were moved
         bag = sum(min(c, n * once[w]) for w, c in Counter(body).items())
-        if bag >= 0.85 * len(body) and bag >= 0.5 * n * len(q) and covered(body, q * n) >= 0.6 * len(body):
+        if bag >= 0.85 * len(body) and bag >= 0.5 * n * len(q) and covered_at_most(body, q * n) >= 0.6 * len(body) and covered(body, q * n) >= 0.6 * len(body):
             return True
     return False
 

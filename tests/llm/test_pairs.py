@@ -30,6 +30,19 @@ def test_tiles_against_brute_force():
     assert p.tiles("x y x y x y".split(), "x y".split()) == 2  # a tile is used once
 
 
+def test_long_tiles_are_the_tiles():
+    import random
+
+    r = random.Random(2)
+    for _ in range(600):
+        v = [f"w{i}" for i in range(r.choice([1, 2, 3, 8, 30]))]
+        a, b = ([r.choice(v) for _ in range(r.randint(0, 40))] for _ in "ab")
+        assert p.long_tiles(a, b) == p.tiles(a, b) <= (len(a) if a == b else p.covered_at_most(a, b)), (a, b)
+    v = [f"w{i}" for i in range(40)]
+    a, b = ([r.choice(v) for _ in range(600)] for _ in "ab")
+    assert p.covered(a, b) == p.tiles(a, b) < p.covered_at_most(a, b)  # long ones are tiled too
+
+
 def test_long_copies_take_linear_time():
     q = "which part of the long question is it " * 4000
     assert p.is_copy(q, q) and p.is_copy(q, "Question: " + q.upper()) and not p.is_copy(q, " ".join(reversed(q.split()))) and not p.is_copy(q, "other words " * 9000)
