@@ -197,7 +197,7 @@ def answer(t: Tables, question: str, k: int = 10, conversation_id: str | None =
             if turn.n_hits:
                 break
             turn.retries += 1
-            jobs = [j for j in jobs if not set(j.headings) - {""}] or [_wider(j, turn.retries) for j in jobs]
+            jobs = [_wider(j, turn.retries) for j in jobs]
         if not turn.n_hits:
             return _said(spark, turn, "research_fail")
         turn.n_calls, call, _ = _evidence(calls_of(t, jobs, turn.query_type, turn.asked), context.transcript_block())

@@ -58,6 +58,11 @@ def test_change_walk_is_whole_and_in_order(spark):
     assert [x for x in a.answer.splitlines() if x.startswith("Content: ")] == [f"Content: Risk {i} {j}." for i in range(4) for j in range(30)]
 
 
+def test_retries_open_the_periods(spark):
+    a = pipeline.answer(_walk_tables(spark, 1, 2), "What were the risk factors of Acme in Q3 2011?")
+    assert (a.retries, a.n_hits) == (2, 2) and "Risk 0 1." in a.answer
+
+
 def _calls(spark, n=7):
     rows = [("Acme Inc", "Q1_2019", "Acme Inc_Q1_2019", "Ann", "CEO", f"c{i}", f"Concerns and risks {i}.", f"c{i}_0", f"Concerns and risks {i}.", [1.0, float(i)]) for i in range(n)]
     rows += [("Other Inc", "Q1_2019", "Other Inc_Q1_2019", "Bob", None, "o", "Concerns.", "o_0", "Concerns.", [1.0, 0.0])]
