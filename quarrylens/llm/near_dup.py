@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -290,14 +291,17 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, rule: JoinRule = Jo
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a <> id_b").distinct()
 
 
-def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, root: the least node of its component, for each node of edges (a, b).
 
     Alternating large-star and small-star steps; each round is a written table. Its groups are neighbourhoods whose minimum is
-    taken by partial aggregation, so that no group is collected.
+    taken by partial aggregation, so that no group is collected. Rounds go on until nothing changes; where max_rounds is given
+    and doesn't suffice, that is an error.
     """
     e = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
-    for _ in range(max_rounds):
+    for n in count():
+        if n == max_rounds:
+            raise RuntimeError(f"components not connected after {max_rounds} rounds")
         two = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = two.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: greater neighbours of a node go to its least neighbour

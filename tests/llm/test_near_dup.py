@@ -66,6 +66,13 @@ def test_copies_nulls_repeats_and_star(spark):
     assert n.similar_pairs(empty, "chunk_id", "parent_chunk", RULE).count() == 0 and n.similar_groups(empty, "chunk_id", "parent_chunk", RULE).count() == 0
 
 
+def test_components_are_never_given_half_done(spark):
+    path = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(12)], "a string, b string")
+    with pytest.raises(RuntimeError):
+        n.connected(path, max_rounds=1)
+    assert {r.root for r in n.connected(path).collect()} == {"00"}
+
+
 def test_components(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y"), ("y", "x"), ("y", "z"), ("s", "s")]
     got = {r.node: r.root for r in n.connected(spark.createDataFrame(chain, "a string, b string")).collect()}
