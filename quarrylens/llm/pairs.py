@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.reading import LANGS, language_votes
+from quarrylens.llm.reading import FUNCTION_WORDS, LANGS
+from quarrylens.llm.shingles import mix
 from quarrylens.session import staged
 
 # ---- empty ---------------------------------------------------------------------------------------------------------------
@@ -172,6 +173,9 @@ def covered_at_most(a: list[str], b: list[str]) -> int:
 _LEAD = re.compile(r"^\W*(?:\w+\W+){0,6}?(?:\w+['’]?\w*)?\s*[:,\-–]\s*|^\W*(?:your question was|you asked|the question is|regarding|question|query|q)\b\W*", re.I)
 
 
+LEAD_WORDS = 10  # a lead has fewer
+
+
 def is_copy(question: str, answer: str) -> bool:
     """Nearly all of the answer, but for a short lead, is tiled by the question, and most of the question by the answer. The
     question may be given several times over."""
@@ -179,6 +183,8 @@ def is_copy(question: str, answer: str) -> bool:
     if not q or not a:
         return False
     once = Counter(q)
+    if sum(map(once.__contains__, a)) < 0.85 * (len(a) - LEAD_WORDS):
+        return False  # whatever the lead, too many words are not the question's
     for body in (a, _terms(_LEAD.sub("", answer, count=1))):
         if len(body) < 2 or len(body) < 0.4 * len(q):
             if body != q:
@@ -195,6 +201,10 @@ def is_copy(question: str, answer: str) -> bool:
 
 _ACT = r"(?:answer\w*|respon[ds]\w*|reply\w*|comment\w*|assist\w*|help\w*|discuss\w*|address\w*|provid\w*|produc\w*|shar\w*|cover\w*|generat\w*|offer\w*|complet\w*|fulfil\w*|pass|decline|disclos\w*|speak|talk|opin\w*|advis\w*|advice)"
 _CANNOT = r"(?:cannot|can ?not|can't|could ?n[o']t|couldn't|won't|will not|must(?: respectfully)? decline|have to (?:pass|decline)|decline|am (?:not (?:able|allowed|permitted|authori[sz]ed|in a position|at liberty)|unable)|was (?:not able|unable)|'m (?:not (?:able|allowed|permitted)|unable)|(?:do not|don't|lack) (?:have )?(?:\w+ )?(?:enough|sufficient|the)?|am unable)"
+# agent, inability and act in general: an assistant that speaks of itself, what it may not do, and dealing with what was asked
+_AGENT = r"(?:this|the|your|an?) (?:\w+ )?(?:assistant|chatbot|bot|language model|ai|ai model|ai system)"
+_INABLE = r"(?:cannot|can ?not|can't|won't|will not|must not|may not|shall not|declines?|refuses?|(?:is|am|are|was|has been)(?: not|n't) (?:\w+ )?(?:permitted|allowed|able|authori[sz]ed|in a position|at liberty|designed|equipped|programmed|intended|meant)|(?:is|am|are|was) (?:unable|forbidden|prohibited|barred|prevented))"
+_DEAL = r"(?:(?:deal(?:ing)?|engag\w+|proceed\w*|help\w*|go on|continue) (?:with|on|further)|handl\w+|tak\w+ (?:on|up)|process|fulfil\w*|honou?r|compl(?:y|ies)|carry out|satisfy|respon\w+|entertain\w*) (?:\w+ ){0,3}?(?:request|question|query|enquiry|inquiry|prompt|demand|matter|topic|subject|this|that|it)"
 REFUSALS = {
     "en": [
         rf"\bi(?: |')(?:\w+ )?{_CANNOT}\b[^.]*\b{_ACT}\b",
@@ -210,6 +220,8 @@ REFUSALS = {
         rf"\bwould not be (?:appropriate|right|proper)\b[^.]*\b(?:me|{_ACT})\b",
         rf"\bno (?:answer|response|reply|comment)\b[^.]*\b(?:can|could|may|will) be (?:given|provided|made|offered)\b",
         rf"\bit is not possible\b[^.]*\b{_ACT}\b",
+        rf"\b{_AGENT}\b[^.]*\b{_INABLE}\b[^.]*\b(?:{_ACT}|{_DEAL})\b",
+        rf"\b(?:i|{_AGENT}) (?:\w+ )?{_INABLE}\b[^.]*\b{_DEAL}\b",
     ],
     "de": [
         r"\b(?:kann|darf|könnte|möchte|werde) (?:ich|wir) [^.]*\b(?:nicht|keine?n?)\b[^.]*\b(?:beantworten|antworten|helfen|kommentieren|äußern|auskunft|unterstützen|sagen|geben|behilflich)\b",
@@ -242,6 +254,8 @@ COURTESIES = [
 ]
 # each pattern as its parts around the gaps, which are runs without a full stop
 _REFUSE = [[re.compile(x, re.I) for x in p.split("[^.]*")] for ps in REFUSALS.values() for p in ps]
+# without one of these words no pattern above can match
+_NEGATION = re.compile(r"n[o']t\b|\b(?:no|nothing|pass|unable|lack|outside|beyond|violate|breach|exceed|nicht|keine?n?|pas|point|impossible|aucune|dois|préfère|debo)\b|\b(?:declin|refus|prevent|forbid|prohibit|bar|stop|keep)", re.I)
 _COURTESY = [re.compile(r"\W*+" + p + r"\W*", re.I | re.S) for p in COURTESIES]
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+(?=[A-ZÀ-Þ¿¡\"“«(\[*#|-])|\n+")
 
@@ -274,7 +288,7 @@ def is_refusal(answer: str) -> bool:
         s = s.strip(" *_#>-\"'“”«»")
         if not any(c.isalnum() for c in s):
             continue
-        if _refuses(s):
+        if _NEGATION.search(s) and _refuses(s):
             refused += 1
         elif not any(c.fullmatch(s) for c in _COURTESY) and len(_terms(s)) > 2:
             return False
@@ -291,30 +305,40 @@ MORE_WORDS = {
     "fr": "comment quel quels quelle pourquoi chez après malgré depuis leur nos notre ses cette entre sous dont hausse société bien que avant résume quelles cite pourrait nouvelles jusqu moins quelques marge",
     "es": "cómo qué cuál por qué durante según nuestro nuestra sus muy sin mediante aunque mientras menos anterior sobre empresa resume qué riesgos frente dirección filial segmento podría nuevas normas hasta pese pocos cartera gasto margen",
 }
-_MORE: dict[str, list[int]] = {}
-for _k, _l in enumerate(LANGS):
-    for _w in set(MORE_WORDS[_l].split()):
-        _MORE.setdefault(_w, []).append(_k)
-_LETTERS = [re.compile(r"$^"), re.compile("[äöüß]", re.I), re.compile("[èêëàâîïôùûçœ]|\\b[ldsnjqcm]['’](?=\\w)", re.I), re.compile("[ñóíáú¿¡]", re.I)]
+_WEIGHT: dict[str, list[tuple[int, float]]] = {}
+for _words in (FUNCTION_WORDS, MORE_WORDS):
+    _of: dict[str, list[int]] = {}
+    for _k, _l in enumerate(LANGS):
+        for _w in set(_words[_l].split()):
+            _of.setdefault(_w, []).append(_k)
+    for _w, _ks in _of.items():
+        _WEIGHT.setdefault(_w, []).extend((_k, 1 / len(_ks)) for _k in _ks)
+_LETTERS = [re.compile(r"(?!)"), re.compile("[äöüß]", re.I), re.compile("[èêëàâîïôùûçœ]|\\b[ldsnjqcm]['’](?=\\w)", re.I), re.compile("[ñóíáú¿¡]", re.I)]
 
 
 def votes(text: str) -> list[float]:
     t = text.lower()
-    words = Counter(re.findall(r"[^\W\d_]+", t))
-    v = language_votes(words)
-    for w, ks in _MORE.items():
-        if c := words.get(w):
-            for k in ks:
-                v[k] += c / len(ks)
+    v = [0.0] * len(LANGS)
+    for w in re.findall(r"[^\W\d_]+", t):
+        for k, x in _WEIGHT.get(w, ()):
+            v[k] += x
+    if t.isascii():  # only elisions remain of the letters that tell languages apart
+        v[2] += 0.5 * len(_LETTERS[2].findall(t)) if "'" in t else 0.0
+        return v
     return [x + 0.5 * len(p.findall(t)) for x, p in zip(v, _LETTERS)]
 
 
 _SHORT_LEAD = re.compile(r"^\W*(?:[^\W\d_]+\s+){0,4}[^\W\d_]+:\s+(?=\S)")
 
 
+_OTHER_SCRIPT = re.compile("[ɐ-᷿ἀ-\U0010ffff]")
+
+
 def _script(text: str) -> str:
     """Latin, or the block of another script that most letters belong to."""
-    n = Counter("latin" if c < "ɐ" or "Ḁ" <= c < "ἀ" else hex(ord(c) >> 8) for c in text if c.isalpha())
+    if text.isascii() or not _OTHER_SCRIPT.search(text):
+        return "latin"
+    n = Counter(hex(ord(c) >> 8) if _OTHER_SCRIPT.match(c) else "latin" for c in text if c.isalpha())
     return n.most_common(1)[0][0] if n else "latin"
 
 
@@ -340,6 +364,7 @@ def is_foreign(question: str, answer: str) -> bool:
 # ---- truncated -----------------------------------------------------------------------------------------------------------
 
 OPENERS, CLOSERS = "([{«“„", {")": "(", "]": "[", "}": "{", "»": "«", "”": "“„", "“": "„"}
+_MARK = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*(/?)>|\*\*|__|[`\"()\[\]{}«»“”„]")
 _FENCE = re.compile(r"^\s*(```+|~~~+)")
 
 
@@ -365,31 +390,33 @@ def open_constructs(text: str) -> list[str]:
         if not line.strip() and at < len(lines) - 1 and any(x.strip() for x in lines[at:]):
             stack = [s for s in stack if s not in ("**", "`", '"')]
         i = 0
-        while i < len(line):
-            c = line[i]
-            if c == "<" and (t := re.match(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*(/?)>", line[i:])):
-                name = "<" + t[2].lower()
-                if t[1]:
+        while m := _MARK.search(line, i):
+            i, c = m.end(), m[0]
+            if m[2]:
+                name = "<" + m[2].lower()
+                if m[1]:
                     if name in stack:
                         del stack[len(stack) - 1 - stack[::-1].index(name) :]
-                elif not t[3] and name not in ("<br", "<hr", "<img", "<p", "<li", "<td", "<tr", "<th"):
+                elif not m[3] and name not in ("<br", "<hr", "<img", "<p", "<li", "<td", "<tr", "<th"):
                     stack.append(name)
-                i += len(t[0])
-                continue
-            if line.startswith("**", i) or line.startswith("__", i) and not re.match(r"\w__\w", line[i - 1 : i + 3]):
+            elif c == "**":
                 _toggle(stack, "**")
-                i += 2
-                continue
-            if c == "`":
+            elif c == "__":
+                at = m.start()
+                if at and re.match(r"\w__\w", line[at - 1 : at + 3]):
+                    i = at + 1  # inside a word
+                else:
+                    _toggle(stack, "**")
+            elif c == "`":
                 _toggle(stack, "`")
-            elif c == '"' and not (i and line[i - 1].isdigit() and '"' not in stack):
-                _toggle(stack, '"')
+            elif c == '"':
+                if '"' in stack or not (m.start() and line[m.start() - 1].isdigit()):
+                    _toggle(stack, '"')
             elif c in CLOSERS and any(o in stack for o in CLOSERS[c]):
                 o = next(o for o in reversed(stack) if o in CLOSERS[c])
                 del stack[len(stack) - 1 - stack[::-1].index(o) :]
             elif c in OPENERS:
                 stack.append(c)
-            i += 1
     return stack
 
 
@@ -418,31 +445,61 @@ def table_breaks_off(lines: list[str]) -> bool:
 
 # An answer that is only a value needs no sentence.
 _VALUE = re.compile(r"(?:(?:yes|no|item \w+|part \w+|note \w+|q[1-4]_(?:19|20)\d\d|fy_?\d{4}|10-[kq]|[$€£]?\d[\d.,]*\s?%?|million|billion|mio\.?|m|mrd\.?|eur|usd|and|or|to|und|et|y|o|ou|oder|sí|si|oui|ja|nein|non|jan\w*|feb\w*|mar\w*|apr\w*|may|june?|july?|aug\w*|sep\w*|oct\w*|nov\w*|dec\w*)[\s.,;]*)+", re.I)
-_TOKEN = re.compile(r"\$?\d[\d.,]*\d%?|\$?\d%?|[^\W\d]+(?:[-'’&][^\W\d]+)*|[^\w\s]")
+_TOKEN = re.compile(r"\n|\$?\d[\d.,]*\d%?|\$?\d%?|[^\W\d]+(?:[-'’&][^\W\d]+)*|[^\w\s]")
+ENDS = {".", "!", "?", "\n"}
+_UNSAID = set('"”»*_')  # marks that don't count between words
+_seen: dict[str, tuple[str, str]] = {}
+
+
+def _shape(w: str) -> tuple[str, str]:
+    """A token as it counts at a line's start and elsewhere: names and numbers by their shape."""
+    if w[0].isdigit() or w[0] == "$":
+        x = "Y" if re.fullmatch(r"(?:19|20)\d\d", w) else re.sub(r"\d+", "9", w)
+        return x, x
+    if w[0].isalpha():
+        return w.lower(), "X" if w[0].isupper() and len(w) > 1 and w[1:].islower() else w.lower()
+    return w, w
 
 
 def end_tokens(text: str) -> list[str]:
     """Words, marks and line breaks, with names and numbers by their shape."""
-    out = []
-    for line in text.split("\n"):
-        for i, m in enumerate(_TOKEN.finditer(line)):
-            w = m[0]
-            if w[0].isdigit() or w[0] == "$":
-                w = "Y" if re.fullmatch(r"(?:19|20)\d\d", w) else re.sub(r"\d+", "9", w)
-            elif w[0].isupper() and i and len(w) > 1 and w[1:].islower():
-                w = "X"
-            elif w[0].isalpha():
-                w = w.lower()
-            out.append(w)
-        out.append("\n")
-    return out[:-1]
+    out, before = [], "\n"
+    if len(_seen) > 200_000:
+        _seen.clear()
+    for w in _TOKEN.findall(text):
+        pair = _seen.get(w)
+        if pair is None:
+            pair = _seen[w] = _shape(w)
+        out.append(pair[before != "\n"])
+        before = w
+    return out
 
 
-ENDS = {".", "!", "?", "\n"}
+_ids: dict[str, int] = {}
+
+
+def _id(w: str) -> int:
+    h = _ids.get(w)
+    if h is None:
+        if len(_ids) > 200_000:
+            _ids.clear()
+        h = _ids[w] = xxhash.xxh64_intdigest(w)
+    return h
+
+
+_TURN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """A key for every k tokens in a row."""
+    r = h[: max(0, len(h) - k + 1)].copy()
+    for j in range(1, k):
+        r = r * _TURN + h[j : j + len(r)]
+    return mix(r + np.uint64(k)).view(np.int64)
 
 
 def _key(parts: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - 2**63
+    return int(_runs(np.array([_id(w) for w in parts], np.uint64), len(parts))[0]) if parts else 0
 
 
 def structure(answer: str) -> tuple[bool | None, int, int]:
@@ -465,7 +522,7 @@ def structure(answer: str) -> tuple[bool | None, int, int]:
         return not bare.endswith(("]", ")")) if bare else False, 0, 0
     toks = end_tokens(t)
     if bare[-1] in ".!?。！？":
-        body = [x for x in toks if x not in '"”»)]*_']
+        body = [x for x in toks if x not in _UNSAID and x not in ")]"]
         while body and body[-1] in ENDS:
             body.pop()
         if body and body[-1][0] in "9$" and "%" not in body[-1] and not last.rstrip('"”»*').endswith((")", "]")):
@@ -476,7 +533,7 @@ def structure(answer: str) -> tuple[bool | None, int, int]:
             return False, 0, 0
     if _unlike_the_rest(lines):
         return True, 0, 0
-    body = [x for x in toks if x not in '"”»*_']
+    body = [x for x in toks if x not in _UNSAID]
     return None, _key(body[-3:]), _key(body[-2:])
 
 
@@ -490,24 +547,24 @@ def _unlike_the_rest(lines: list[str]) -> bool:
     return bool(re.search(r"[^\W\d]{3,}[.!?][\"”»)\]]*(?:\s|$)", " ".join(x for x in lines if not _BULLET.match(x) and not x.lstrip().startswith("|"))))
 
 
-def sentence_ends(answers: list[str | None]) -> Counter:
-    """How often each run of two and three tokens stands, and how often at a sentence's end: {key: [n, n_end]} as two counters."""
-    n, e = Counter(), Counter()
+def sentence_ends(answers: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each run of two and three tokens stands before another, and how often at a sentence's end: keys, counts of
+    both."""
+    keys, ends = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for a in answers:
-        if not a:
+        toks = [x for x in end_tokens(visible(a)) if x not in _UNSAID] if a else []
+        if len(toks) < 3:
             continue
-        toks = [x for x in end_tokens(visible(a)) if x not in '"”»*_']
-        for i in range(1, len(toks) - 1):
-            if toks[i] in ENDS:
-                continue
-            nxt = toks[i + 1]
-            for k in (2, 3):
-                if i + 1 >= k:
-                    key = _key(toks[i + 1 - k : i + 1])
-                    n[key] += 1
-                    if nxt in ENDS or nxt in "[(":
-                        e[key] += 1
-    return n, e
+        h = np.array([_id(x) for x in toks], np.uint64)
+        end = np.array([x in ENDS for x in toks])
+        stop = end | np.array([x in "[(" for x in toks])
+        for k in (2, 3):
+            r = _runs(h, k)[:-1]
+            ok = ~end[k - 1 : -1]
+            keys.append(r[ok]), ends.append(stop[k:][ok])
+    keys, ends = np.concatenate(keys), np.concatenate(ends)
+    k, inv = np.unique(keys, return_inverse=True)
+    return k, np.bincount(inv, minlength=len(k)), np.bincount(inv[ends], minlength=len(k))
 
 
 def defect(question: str, answer: str | None) -> tuple[str | None, int, int]:
@@ -547,8 +604,7 @@ def broken_pairs(df: DataFrame, id_col: str = "id", question_col: str = "modif_q
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, e = sentence_ends(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()), pa.array([e[k] for k in n], pa.int64())], ["k", "n", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in sentence_ends(b.column(0).to_pylist())], ["k", "n", "e"])
 
     judged = staged(rows.mapInArrow(judge, "id string, defect string, k3 bigint, k2 bigint"), "pairs")
     open_ = judged.filter("defect = '?'").withColumn("salt", F.expr(f"pmod(xxhash64(id), {SALTS})"))

@@ -60,6 +60,25 @@ def test_long_refusals():
     assert not p.is_refusal("The information does not allow " * 20_000)  # in linear time
 
 
+@pytest.mark.parametrize("said", ["This assistant is not permitted to deal with the request.", "The assistant is unable to process that query.", "An AI system cannot engage with this topic.", "I am prohibited from handling this matter.", "Your AI assistant declines to comment on margins."])
+def test_refusals_by_agent_inability_and_act(said):
+    assert p.defect(EN, said)[0] == "refusal" and p.defect(EN, said + " " + FULL)[0] is None
+
+
+def test_sentence_ends_against_plain_counts():
+    texts = [FULL, None, "", "a b. c", "one two\nthree (four) five", FULL + " And so on"]
+    n, e = {}, {}
+    for t in texts:
+        toks = [x for x in p.end_tokens(p.visible(t)) if x not in p._UNSAID] if t else []
+        for i in range(1, len(toks) - 1):
+            for k in (2, 3):
+                if toks[i] not in p.ENDS and i + 1 >= k:
+                    key = p._key(toks[i + 1 - k : i + 1])
+                    n[key], e[key] = n.get(key, 0) + 1, e.get(key, 0) + (toks[i + 1] in p.ENDS or toks[i + 1] in "[(")
+    keys, all_, ends = p.sentence_ends(texts)
+    assert dict(zip(keys.tolist(), all_.tolist())) == n and dict(zip(keys.tolist(), ends.tolist())) == e
+
+
 def test_refusing_sentences_are_those_of_the_whole_patterns():
     import random
     import re
@@ -68,7 +87,7 @@ def test_refusing_sentences_are_those_of_the_whole_patterns():
     words = "i cannot will not have enough answer information context does allow me my guidelines prevent . ich kann nicht beantworten je ne peux pas répondre no puedo responder keine antwort geben lies outside do provide not".split()
     r = random.Random(1)
     told = [" ".join(r.choices(words, k=r.randint(2, 14))) for _ in range(20_000)]
-    said = [(any(x.search(t) for x in whole), p._refuses(t)) for t in told]
+    said = [(any(x.search(t) for x in whole), bool(p._NEGATION.search(t)) and p._refuses(t)) for t in told]
     assert all(a == b for a, b in said) and 0 < sum(a for a, _ in said) < len(said)
 
 
