@@ -38,7 +38,7 @@ _HIDDEN = re.compile("[​-‏  ‪-‮⁠-⁤﻿­]")
 
 
 def visible(text: str) -> str:
-    return _HIDDEN.sub("", text).strip()
+    return (text if text.isascii() else _HIDDEN.sub("", text)).strip()
 
 
 def is_empty(answer: str | None) -> bool:
@@ -280,11 +280,19 @@ def _refuses(sentence: str) -> bool:
     return any(_in_order(parts, run) for parts in _REFUSE for run in runs)
 
 
+def _sentences(text: str) -> Iterator[str]:
+    at = 0
+    for m in _SENTENCE.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def is_refusal(answer: str) -> bool:
     """At least one refusing sentence, and all others are courtesies: what answers anything besides is no refusal."""
     t = visible(answer).replace("’", "'")
     refused = 0
-    for s in _SENTENCE.split(t):
+    for s in _sentences(t):
         s = s.strip(" *_#>-\"'“”«»")
         if not any(c.isalnum() for c in s):
             continue
@@ -461,30 +469,36 @@ def _shape(w: str) -> tuple[str, str]:
     return w, w
 
 
-def end_tokens(text: str) -> list[str]:
+def end_tokens(text: str, starts_line: bool = True) -> list[str]:
     """Words, marks and line breaks, with names and numbers by their shape."""
-    out, before = [], "\n"
+    out, mid = [], not starts_line
     if len(_seen) > 200_000:
         _seen.clear()
     for w in _TOKEN.findall(text):
         pair = _seen.get(w)
         if pair is None:
             pair = _seen[w] = _shape(w)
-        out.append(pair[before != "\n"])
-        before = w
+        out.append(pair[mid])
+        mid = w != "\n"
     return out
 
 
-_ids: dict[str, int] = {}
+def _tail(text: str, least: int = 8) -> list[str]:
+    """The last end_tokens() of a text, at least so many that count, or all. Tokens don't reach over white space."""
+    n = 300
+    while n < len(text):
+        cut = text.find(" ", len(text) - n)
+        if cut >= 0:
+            line = text.rfind("\n", 0, cut) + 1
+            toks = end_tokens(text[cut:], not text[line:cut].strip())
+            if sum(x not in _UNSAID and x not in ")]" for x in toks) >= least:
+                return toks
+        n *= 2
+    return end_tokens(text)
 
 
 def _id(w: str) -> int:
-    h = _ids.get(w)
-    if h is None:
-        if len(_ids) > 200_000:
-            _ids.clear()
-        h = _ids[w] = xxhash.xxh64_intdigest(w)
-    return h
+    return xxhash.xxh64_intdigest(w)
 
 
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -520,7 +534,7 @@ def structure(answer: str) -> tuple[bool | None, int, int]:
     bare = re.sub(r"[\"”»)\]*_'’]+$", "", last).rstrip()
     if last.endswith(("...", "…")) or not bare or bare[-1] in ":,;-–—(/&$€+=":
         return not bare.endswith(("]", ")")) if bare else False, 0, 0
-    toks = end_tokens(t)
+    toks = _tail(t)
     if bare[-1] in ".!?。！？":
         body = [x for x in toks if x not in _UNSAID and x not in ")]"]
         while body and body[-1] in ENDS:
@@ -547,21 +561,46 @@ def _unlike_the_rest(lines: list[str]) -> bool:
     return bool(re.search(r"[^\W\d]{3,}[.!?][\"”»)\]]*(?:\s|$)", " ".join(x for x in lines if not _BULLET.match(x) and not x.lstrip().startswith("|"))))
 
 
+class _Codes:
+    """Small numbers for tokens, and what each of them is."""
+
+    def __init__(self):
+        self.of: dict[str, int] = {}
+        self.ids: list[tuple[int, int]] = []
+        self.marks: list[tuple[bool, bool, bool, bool]] = []  # a line break, an end, an end or a bracket, not said
+
+    def __call__(self, w: str) -> int:
+        c = self.of.get(w)
+        if c is None:
+            c = self.of[w] = len(self.ids)
+            first, mid = _shape(w)
+            self.ids.append((_id(first), _id(mid)))
+            self.marks.append((w == "\n", w in ENDS, w in ENDS or w in "[(", w in _UNSAID))
+        return c
+
+
 def sentence_ends(answers: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often each run of two and three tokens stands before another, and how often at a sentence's end: keys, counts of
     both."""
-    keys, ends = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    code, flat, n = _Codes(), [], []
+    get = code.of.get
     for a in answers:
-        toks = [x for x in end_tokens(visible(a)) if x not in _UNSAID] if a else []
-        if len(toks) < 3:
-            continue
-        h = np.array([_id(x) for x in toks], np.uint64)
-        end = np.array([x in ENDS for x in toks])
-        stop = end | np.array([x in "[(" for x in toks])
-        for k in (2, 3):
-            r = _runs(h, k)[:-1]
-            ok = ~end[k - 1 : -1]
-            keys.append(r[ok]), ends.append(stop[k:][ok])
+        toks = _TOKEN.findall(visible(a)) if a else []
+        if len(toks) >= 3:
+            flat.extend([c if (c := get(w)) is not None else code(w) for w in toks])
+            n.append(len(toks))
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    flat, text = np.array(flat, np.int64), np.repeat(np.arange(len(n)), n)
+    br, end, stop, unsaid = (np.array(x, bool)[flat] for x in zip(*code.marks))
+    starts = np.concatenate([[True], br[:-1] | (text[1:] != text[:-1])])
+    h = np.array(code.ids, np.uint64)[flat, np.where(starts, 0, 1)]
+    h, end, stop, text = (x[~unsaid] for x in (h, end, stop, text))
+    keys, ends = [], []
+    for k in (2, 3):  # a run, and the token after it in the same text
+        r = _runs(h, k)[:-1]
+        ok = ~end[k - 1 : -1] & (text[k:] == text[: len(text) - k])
+        keys.append(r[ok[: len(r)]]), ends.append(stop[k:][ok[: len(r)]])
     keys, ends = np.concatenate(keys), np.concatenate(ends)
     k, inv = np.unique(keys, return_inverse=True)
     return k, np.bincount(inv, minlength=len(k)), np.bincount(inv[ends], minlength=len(k))
