@@ -67,8 +67,7 @@ def test_empty_and_single(spark):
 def test_hot_cells_are_split_without_loss(spark, clustered):
     h = knn.Hashing(16, tables=2, functions=4, probes=6, width=3.0, cell_functions=1)
     df = frame(spark, clustered)
-    _, nodes = knn.classes(df, "id", "openai_embedding", 16, 10)
-    nodes = nodes.withColumn("is_query", F.lit(True)).cache()
+    nodes = knn.vector_rows(df, "id", "openai_embedding").withColumn("is_query", F.lit(True)).cache()
     one = {(r.q, r.n) for r in knn.nearest_classes(nodes, h, 10, 0.8).collect()}
     split = {(r.q, r.n) for r in knn.nearest_classes(nodes, h, 10, 0.8, cell_rows=20).collect()}
     # a block keeps its own k, so a grid can only add candidates; a cell parted into its buckets finds what the whole found
@@ -83,8 +82,29 @@ def test_probes_come_by_estimated_success():
     assert (pb[:, 0] == home).all() and (pc[:, 0] == cell).all() and all(len(set(r)) == 9 for r in pb.tolist())
 
 
+def test_perturbation_sets_come_from_a_heap_in_order_of_expected_cost():
+    f = 3
+    fam = knn.Hashing(8, tables=1, functions=f, probes=6).family()
+    j = np.arange(1, 2 * f + 1)
+    cost = np.where(j <= f, j * (j + 1) / (4 * (f + 1) * (f + 2)), 1 - (2 * f + 1 - j) / (f + 1) + (2 * f + 1 - j) * (2 * f + 2 - j) / (4 * (f + 1) * (f + 2)))
+    every = [s for m in range(64) for s in [tuple(i for i in range(6) if m >> i & 1)] if all(5 - i not in s for i in s)]
+    want = sorted(cost[list(s)].sum() for s in every)[: len(fam)]
+    assert len(fam) == 24 and len(set(fam)) == 24 and np.allclose([cost[list(s)].sum() for s in fam], want)
+    assert knn.Hashing(8, functions=1, probes=9).family() == [(), (0,), (1,)]
+
+
+def test_several_vectors_under_one_id(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((6, 8)).astype(np.float32)
+    a, b = [float(v) for v in x[0]], [float(v) for v in x[1]]
+    ha, hb = knn._nodes(np.array([a, b], np.float32)).tolist()
+    df = frame(spark, x[2:], [("two", a), ("two", b), ("like_a", a), ("like_b", b)])
+    got = {(row.id, row.other) for row in knn.most_similar(df, dim=8, min_cosine=0.999).collect()}
+    twin = "like_a" if ha > hb else "like_b"
+    assert got == {("two", twin), (twin, "two")}
+
+
 def test_wire():
-    x = np.array([[0.125, -1.001]], np.float32)
-    assert knn._thousandths(x).dtype == np.int16 and np.array_equal(knn._from_wire(knn._thousandths(x).tobytes(), 2), x.ravel())
-    y = np.array([[0.1234567, 40.0]], np.float32)
-    assert np.array_equal(knn._from_wire(knn._thousandths(y).tobytes(), 2), y.ravel())
+    for x, thin in ((np.array([[0.125, -1.001], [0, 3]], np.float32), True), (np.array([[0.1234567, 40.0]], np.float32), False)):
+        t, data = knn._to_wire(x)
+        assert t == thin and np.array_equal(knn._from_wire(t, data, x.size), x.ravel())
