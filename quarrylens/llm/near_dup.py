@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shingles import mix, set_hashes, shingle_sets
+from quarrylens.llm.shingles import distinct, mix, set_hashes, shingle_sets
 from quarrylens.session import staged
 
 BLOCK_BITS = 16
+PART_BYTES = 16 << 20  # what a task of the join reads, about
+KEY_BYTES, SET_BYTES = 6, 14  # a key with its set's place; a set in a part without its bitmap
+HUB = 2000  # a text is joined with at most so many of its candidates in one group
 
 
 @dataclass(frozen=True)
@@ -35,13 +38,15 @@ class JoinRule:
     n_words: int = 5
     threshold: float = 0.8
     rare: int = 512  # tokens that more documents have are indexed in combinations of two
-    max_sketch_bits: int = 24  # the sketch has at most 2^24 cells of one byte
-    star_beyond: int = 64  # copies: classes up to this size give all their pairs, larger ones one pair for each member
+    max_sketch_bits: int = 24  # the sketch has at most 2^24 cells of one byte; more for a larger corpus, as far as workers have memory
+    star_beyond: int | None = 64  # copies: classes up to this size give all their pairs, larger ones one pair for each member; None: all give all
 
 
-def _level(count: np.ndarray) -> np.ndarray:
-    """One byte that grows with the count: 0 for 0, 1 for 1, then eight steps for each doubling."""
-    return np.where(count > 0, np.minimum(1 + np.rint(8 * np.log2(np.maximum(count, 1))), 255), 0).astype(np.uint8)
+def _level(count: np.ndarray, noise: float = 0.0) -> np.ndarray:
+    """One byte that grows with the count: 0 for 0, 1 for 1, then eight steps for each doubling. What many tokens share a cell
+    add to each other's counts is noise: up to its mean and four deviations nothing is known, and the level is 2."""
+    above = np.maximum(count - noise - 4 * np.sqrt(noise), 1)
+    return np.where(count > 1, np.clip(1 + np.rint(8 * np.log2(above)), 2, 255), count > 0).astype(np.uint8)
 
 
 def _sketch_bits(df: DataFrame, rule: JoinRule) -> int:
@@ -52,7 +57,7 @@ def _scan(docs: DataFrame, bits: int, n_words: int) -> DataFrame:
     """One pass over the texts: a class row for each document, and for each task its part of the sketch, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        counts, seen = np.zeros(1 << bits, np.uint32), set()
         names = ["block", "data", "id", "h1", "h2", "n"]
         types = [pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
@@ -60,8 +65,10 @@ def _scan(docs: DataFrame, bits: int, n_words: int) -> DataFrame:
             keep = [i for i, s in enumerate(sets) if len(s)]
             if not keep:
                 continue
-            np.add.at(counts, np.concatenate([sets[i] for i in keep]) >> np.uint64(64 - bits), 1)
             h1, h2 = set_hashes([sets[i] for i in keep])
+            new = [x for i, h in zip(keep, h1.tolist()) if h not in seen and not seen.add(h) for x in (sets[i],)]  # copies in one task count once
+            if new:
+                np.add.at(counts, np.concatenate(new) >> np.uint64(64 - bits), 1)
             n = pa.array([len(sets[i]) for i in keep], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(keep), types[0]), pa.nulls(len(keep), types[1]), b.column(0).take(pa.array(keep)), pa.array(h1), pa.array(h2), n], names)
         for k, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
@@ -79,7 +86,7 @@ def _sketch(scan: DataFrame, bits: int) -> np.ndarray:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for d in f["data"]:
             total += np.frombuffer(zlib.decompress(d), np.uint32)
-        return pd.DataFrame({"block": f["block"].iloc[:1], "data": [zlib.compress(_level(total).tobytes(), 1)]})
+        return pd.DataFrame({"block": f["block"].iloc[:1], "data": [zlib.compress(_level(total, float(np.median(total))).tobytes(), 1)]})
 
     out = np.zeros((1 << (bits - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
     for r in scan.filter("block IS NOT NULL").select("block", "data").groupBy("block").applyInPandas(add, "block int, data binary").toLocalIterator():
@@ -91,24 +98,25 @@ def _ceil(x: float) -> int:
     return int(np.ceil(x - 1e-9))
 
 
-def _keys(s: np.ndarray, level: np.ndarray, rare_level: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys and probe keys of one sorted set."""
+def _keys(s: np.ndarray, level: np.ndarray, rare_level: int, t: float) -> tuple[np.ndarray, int]:
+    """The probe keys of one sorted set, of which the first so many are its index keys."""
     n = len(s)
     order = np.argsort(level, kind="stable")
     prefix = order[: n - _ceil(t * n) + 2]
     short = n - _ceil(2 * t / (1 + t) * n) + 2
-    keys = []
-    for part in (prefix[:short], prefix):
-        lv, tok = level[part], s[part]
-        single = tok[(lv > 1) & (lv <= rare_level)]
-        often = np.sort(tok[lv > rare_level])
-        if len(often) > 1:
-            a, b = np.triu_indices(len(often), 1)
-            single = np.concatenate([single, mix(often[a] * np.uint64(3) + mix(often[b]))])
-        if _ceil(t * n) <= 1:  # so small a set may share a single token with one that is similar
-            single = np.concatenate([single, mix(often + np.uint64(7))])
-        keys.append(single)
-    return keys[0], keys[1]
+    lv, tok, early = level[prefix], s[prefix], np.arange(len(prefix)) < short
+    is_rare, often = (lv > 1) & (lv <= rare_level), np.flatnonzero(lv > rare_level)
+    keys, index = [tok[is_rare]], [early[is_rare]]
+    if len(often) > 1:
+        a, b = np.triu_indices(len(often), 1)
+        x, y = tok[often[a]], tok[often[b]]
+        keys.append(mix(np.minimum(x, y) * np.uint64(3) + mix(np.maximum(x, y))))
+        index.append(early[often[b]])  # places grow, so the second is the later one
+    if _ceil(t * n) <= 1:  # so small a set may share a single token with one that is similar
+        keys.append(mix(tok[often] + np.uint64(7)))
+        index.append(early[often])
+    keys, index = np.concatenate(keys), np.concatenate(index)
+    return np.concatenate([keys[index], keys[~index]]), int(index.sum())
 
 
 def _width(n: int) -> int:
@@ -122,70 +130,76 @@ def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
+def _parts(scan: DataFrame, t: float) -> int:
+    """How many parts the join has, so that each reads about PART_BYTES: by the keys and bitmaps of all distinct sets, if each of a
+    set's keys went to another part."""
+    probes = f"(({1 - t} * n) + 2)"
+    bitmap = "32 * pow(2, greatest(0, ceil(log2(n / 170))))"
+    sets = scan.filter("block IS NULL").groupBy("h1", "h2").agg(F.min("n").alias("n"))
+    total = sets.agg(F.sum(F.expr(f"{probes} * ({KEY_BYTES} + {SET_BYTES} + {bitmap})"))).first()[0] or 0
+    return max(1, int(np.ceil(total / PART_BYTES)))
+
+
 def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int) -> DataFrame:
-    """Rows (pid, blob columns): of each batch, what partition pid needs: keys, and a table of the sets that have one there."""
+    """Rows (pid, blob columns): of each batch, what part pid needs: keys, and a table of the sets that have one there."""
     rare_level = int(_level(np.array([rule.rare]))[0])
+    names = ["pid", "key", "of", "dh", "dn", "bm"]
+    types = [pa.int32(), *[pa.binary()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = sketch.value, set()
         for b in batches:
-            ik, idx, pk, pdx, dh, dn, bm = [], [], [], [], [], [], []
+            keys, of, dh, dn, bm = [], [], [], [], []
             sets = [s for s in shingle_sets(b.column(1).to_pylist(), rule.n_words) if len(s)]
             for s, h in zip(sets, set_hashes(sets)[0].tolist()):
                 if h in seen:  # copies in one task are sent once
                     continue
                 seen.add(h)
-                i, p = _keys(s, levels[s >> np.uint64(64 - bits)], rare_level, rule.threshold)
-                if not len(p):
+                k, n_index = _keys(s, levels[s >> np.uint64(64 - bits)], rare_level, rule.threshold)
+                if not len(k):
                     continue
-                k = len(dh)
-                ik.append(i), idx.append(np.full(len(i), k, np.uint32)), pk.append(p), pdx.append(np.full(len(p), k, np.uint32))
+                keys.append(k), of.append(2 * len(dh) + (np.arange(len(k)) < n_index))  # the lowest bit marks an index key
                 dh.append(h), dn.append(len(s)), bm.append(_bitmap(s, _width(len(s))))
             if not dh:
                 continue
             dh, dn = np.array(dh, np.int64), np.array(dn, np.uint32)
-            sides = []
-            for keys, of in ((ik, idx), (pk, pdx)):
-                keys, of = mix(np.concatenate(keys)), np.concatenate(of)
-                pid = (keys % np.uint64(parts)).astype(np.int64)
-                o = np.argsort(pid, kind="stable")
-                # 32 bits are enough within a partition: keys that fall together cost a candidate, never a link
-                sides.append(((keys >> np.uint64(32)).astype(np.uint32)[o], of[o], np.searchsorted(pid[o], np.arange(parts + 1))))
+            keys, of = mix(np.concatenate(keys)), np.concatenate(of)
+            pid = (keys % np.uint64(parts)).astype(np.int64)
+            o = np.argsort(pid, kind="stable")
+            # 32 bits are enough within a part: keys that fall together cost a candidate, never a link
+            pid, keys, of = pid[o], (keys >> np.uint64(32)).astype(np.uint32)[o], of[o]
+            cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
             rows = []
-            for q in range(parts):
-                (k1, d1, c1), (k2, d2, c2) = sides
-                a, z = slice(c1[q], c1[q + 1]), slice(c2[q], c2[q + 1])
-                used, inv = np.unique(np.concatenate([d1[a], d2[z]]), return_inverse=True)
-                if not len(used):
-                    continue
-                inv, m = inv.astype(np.uint16 if len(used) < 2**16 else np.uint32), c1[q + 1] - c1[q]
-                rows.append((q, k1[a].tobytes(), inv[:m].tobytes(), k2[z].tobytes(), inv[m:].tobytes(), dh[used].tobytes(), dn[used].tobytes(), b"".join(bm[u].tobytes() for u in used)))
-            types = [pa.int32(), *[pa.binary()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["pid", "ik", "ix", "pk", "px", "dh", "dn", "bm"])
+            for a, z in zip(cut, [*cut[1:], len(pid)]):
+                used, inv = np.unique(of[a:z] >> 1, return_inverse=True)
+                place = (2 * inv + (of[a:z] & 1)).astype(np.uint16 if len(used) < 2**15 else np.uint32)
+                rows.append((int(pid[a]), keys[a:z].tobytes(), place.tobytes(), dh[used].tobytes(), dn[used].tobytes(), b"".join(bm[u].tobytes() for u in used)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.mapInArrow(run, "pid int, ik binary, ix binary, pk binary, px binary, dh binary, dn binary, bm binary")
+    return docs.mapInArrow(run, "pid int, key binary, of binary, dh binary, dn binary, bm binary")
 
 
-def _candidates(f: pd.DataFrame, t: float, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Class hashes of the pairs of one partition that share a key and pass the length test and the bound on the overlap."""
+def _candidates(f: dict[str, list[bytes]], t: float, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Class hashes of the pairs of one part that share a key and pass the length test and the bound on the overlap."""
     cat = lambda c, d: np.concatenate([np.zeros(0, d), *[np.frombuffer(x, d) for x in f[c]]])
-    counts = np.array([len(x) // 8 for x in f["dh"]])
-    base = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    counts = np.array([len(x) // 8 for x in f["dh"]], np.int64)
+    base = np.cumsum(counts) - counts
     dh, first, inv = np.unique(cat("dh", np.int64), return_index=True, return_inverse=True)
     n_all, bm = cat("dn", np.uint32).astype(np.int64), cat("bm", np.uint64)
     words = np.array([_width(x) for x in n_all], np.int64)
     place = (np.cumsum(words) - words)[first]
     n, words = n_all[first], words[first]
+    of = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint16 if c < 2**15 else np.uint32).astype(np.int64) + 2 * o for x, o, c in zip(f["of"], base, counts)]])
+    key, is_index = cat("key", np.uint32), (of & 1).astype(bool)
 
-    def side(keys: str, of: str) -> tuple[np.ndarray, np.ndarray]:
-        d = [np.frombuffer(x, np.uint16 if c < 2**16 else np.uint32).astype(np.int64) + o for x, o, c in zip(f[of], base, counts)]
-        k, d = cat(keys, np.uint32), inv[np.concatenate([np.zeros(0, np.int64), *d])]
+    def side(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k, d = key[keep], inv[of[keep] >> 1]
         o = np.lexsort((d, k))
         k, d = k[o], d[o]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, bool)
         return k[new], d[new]
 
-    (ik, ix), (pk, px) = side("ik", "ix"), side("pk", "px")
+    (ik, ix), (pk, px) = side(is_index), side(np.ones(len(key), bool))
     maps = {}
     for w in np.unique(words):
         own, twice = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
@@ -198,7 +212,7 @@ def _candidates(f: pd.DataFrame, t: float, chunk: int = 1_000_000) -> tuple[np.n
         maps[int(w)] = (m, row)
     lo, hi = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
     ends = np.cumsum(hi - lo)
-    out, at, todo = [np.zeros((0, 2), np.int64)], 0, len(pk)
+    out, at, todo = [np.zeros(0, np.int64)], 0, len(pk)
     while at < todo:
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + chunk, "right")))
@@ -216,24 +230,38 @@ def _candidates(f: pd.DataFrame, t: float, chunk: int = 1_000_000) -> tuple[np.n
             m, row = maps[int(x)]
             s = np.flatnonzero(w == x)
             good[s] = np.bitwise_count(m[row[a[s]]] ^ m[row[b[s]]]).sum(1, dtype=np.int64) <= spare[s]
-        out.append(np.unique(np.stack([a[good], b[good]], 1), axis=0))
+        out.append(distinct(a[good] * len(dh) + b[good]))
         at = to
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return dh[pairs[:, 0]], dh[pairs[:, 1]]
+    pairs = distinct(np.concatenate(out))
+    return dh[pairs // max(len(dh), 1)], dh[pairs % max(len(dh), 1)]
 
 
 def _pair_classes(docs: DataFrame, scan: DataFrame, bits: int, rule: JoinRule) -> DataFrame:
     """Distinct candidate pairs (ha, hb) of class hashes, not yet verified."""
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(_sketch(scan, bits))
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(scan, bits))
+    parts = _parts(scan, rule.threshold)
     t = rule.threshold
 
-    def join(f: pd.DataFrame) -> pd.DataFrame:
-        a, b = _candidates(f, t)
-        return pd.DataFrame({"ha": np.minimum(a, b), "hb": np.maximum(a, b)})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.select(["key", "of", "dh", "dn", "bm"]).to_pylist()]
+        if rows:
+            a, b = _candidates({c: [r[c] for r in rows] for c in rows[0]}, t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["ha", "hb"])
+
+    sent = _emit(docs, sketch, bits, rule, parts).repartitionById(parts, F.col("pid"))  # a part is a task's
+    return sent.mapInArrow(join, "ha bigint, hb bigint").distinct()
+
 
-    return _emit(docs, sketch, bits, rule, parts).groupBy("pid").applyInPandas(join, "ha bigint, hb bigint").distinct()
+def _with_text(rows: DataFrame, pairs: DataFrame, texts: DataFrame, side: str, out: str) -> DataFrame:
+    """rows, which are the staged pairs with more columns, joined with the text of one side. A text with more than HUB candidates is given once for every HUB of them, to which
+    these are spread by hash, so no key of the join has more."""
+    other = "rep_b" if side == "rep_a" else "rep_a"
+    hubs = staged(pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB).cast("int").alias("groups")).filter("groups > 1"), "near-hubs")
+    few = hubs.count() <= 100_000  # at most one hub for every HUB pairs
+    h = F.broadcast(hubs) if few else hubs
+    keyed = rows.join(h, side, "left").withColumn("salt", F.expr(f"pmod(xxhash64({other}), coalesce(groups, 1))")).drop("groups")
+    t = texts.withColumnRenamed("id", side).join(h, side, "left").withColumn("salt", F.explode(F.expr("sequence(0L, CAST(coalesce(groups, 1) AS BIGINT) - 1)"))).select(side, "salt", F.col("t").alias(out))
+    return keyed.join(t, [side, "salt"]).drop("salt")
 
 
 def similar_sets(df: DataFrame, id_col: str, text_col: str, rule: JoinRule = JoinRule()) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +283,7 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, rule: JoinRule = Joi
     need = pairs.select(F.col("rep_a").alias("id")).union(pairs.select("rep_b")).distinct()
     # one row for each id and text, and partitioned as the joins need it
     texts = docs.join(need, "id", "left_semi").groupBy("id").agg(F.collect_set("t").alias("t")).select("id", F.explode("t").alias("t"))
-    both = pairs.join(texts.select(F.col("id").alias("rep_a"), F.col("t").alias("ta")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("t").alias("tb")), "rep_b")
+    both = _with_text(_with_text(pairs, pairs, texts, "rep_a", "ta"), pairs, texts, "rep_b", "tb")
     t, k = rule.threshold, rule.n_words
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +308,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, rule: JoinRule = Jo
     members, links = similar_sets(df, id_col, text_col, rule)
     members = staged(members, "near-members")
     links = staged(links, "near-links")
-    many = F.col("size") > rule.star_beyond
+    many = F.lit(False) if rule.star_beyond is None else F.col("size") > rule.star_beyond
     show = members.filter(~many | (F.col("id") == F.col("rep")))
     a, b = show.select(F.col("id").alias("x"), F.col("rep").alias("rep_a")), show.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"))
     across = links.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").select("x", "y")

@@ -16,6 +16,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting, which is faster here than hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _A)
 _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _B, np.uint64)]))
 

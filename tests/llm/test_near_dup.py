@@ -66,6 +66,39 @@ def test_copies_nulls_repeats_and_star(spark):
     assert n.similar_pairs(empty, "chunk_id", "parent_chunk", RULE).count() == 0 and n.similar_groups(empty, "chunk_id", "parent_chunk", RULE).count() == 0
 
 
+def test_a_text_with_many_candidates_is_spread(spark):
+    pairs = spark.range(20_000).selectExpr("'hub' AS rep_a", "concat('x', id) AS rep_b").unionByName(spark.createDataFrame([("a", "hub")], "rep_a string, rep_b string")).cache()
+    texts = spark.range(20_000).selectExpr("concat('x', id) AS id", "concat('t', id) AS t").unionByName(spark.createDataFrame([("hub", "h"), ("hub", "h2"), ("a", "ta")], "id string, t string"))
+    got = n._with_text(pairs, pairs, texts, "rep_a", "ta")
+    assert got.count() == 40_001 and got.filter("rep_a = 'hub'").select("rep_b").distinct().count() == 20_000
+    assert n._with_text(got, pairs, texts, "rep_b", "tb").filter("ta = 'h' AND tb = concat('t', substr(rep_b, 2))").count() == 20_000
+
+
+def test_parts_grow_with_the_data(spark, monkeypatch):
+    texts = corpus(7, 300)
+    df = frame(spark, texts.items())
+    scan = n._scan(df.selectExpr("chunk_id AS id", "parent_chunk AS t"), 16, 3).cache()
+    assert n._parts(scan, 0.6) == 1 and n._parts(scan.filter("false"), 0.6) == 1
+    want = {(r.id_a, r.id_b) for r in n.similar_pairs(df, "chunk_id", "parent_chunk", RULE).collect()}
+    monkeypatch.setattr(n, "PART_BYTES", 20_000)
+    monkeypatch.setattr(n, "HUB", 2)
+    assert n._parts(scan, 0.6) > 20
+    assert {(r.id_a, r.id_b) for r in n.similar_pairs(df, "chunk_id", "parent_chunk", RULE).collect()} == want
+
+
+def test_levels_above_noise():
+    c = np.array([0, 1, 2, 3, 100, 600, 5000])
+    assert n._level(c).tolist() == [0, 1, 9, 14, 54, 75, 99]
+    noisy = n._level(c + 100 * (c > 1), 100.0)
+    assert noisy[1] == 1 and (noisy[2:4] == 2).all() and (np.diff(noisy[4:].astype(int)) > 0).all()  # a single token stays one
+
+
+def test_all_pairs_of_copies_on_demand(spark):
+    rows = [(f"c{i:03d}", "one text that is given many times") for i in range(70)]
+    assert n.similar_pairs(frame(spark, rows), "chunk_id", "parent_chunk", RULE).count() == 69
+    assert n.similar_pairs(frame(spark, rows), "chunk_id", "parent_chunk", n.JoinRule(3, 0.6, star_beyond=None)).count() == 70 * 69 // 2
+
+
 def test_components_are_never_given_half_done(spark):
     path = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(12)], "a string, b string")
     with pytest.raises(RuntimeError):
