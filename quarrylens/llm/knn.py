@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shingles import mix
+from quarrylens.llm.shingles import distinct, mix
 from quarrylens.session import staged
 
 CELL_ROWS = 60_000  # vectors that a task holds at once, about
@@ -321,7 +321,7 @@ def _rerank(f: pd.DataFrame, dim: int, k: int, least: float, chunk: int = 2048)
 
     def side(counts: str, keys: str) -> tuple[np.ndarray, np.ndarray]:
         d, kk = np.repeat(inv, cat(counts, np.uint16)), cat(keys, np.uint16)
-        both = np.unique(kk.astype(np.int64) * max(len(node), 1) + d)
+        both = distinct(kk.astype(np.int64) * max(len(node), 1) + d)
         return both % max(len(node), 1), both // max(len(node), 1)
 
     (ii, ib), (qi, qb) = side("ic", "ib"), side("qc", "qb")
@@ -336,16 +336,20 @@ def _rerank(f: pd.DataFrame, dim: int, k: int, least: float, chunk: int = 2048)
             for e in range(0, len(m), 4 * chunk):
                 mm = m[e : e + 4 * chunk]
                 s = x32[q] @ x32[mm].T
-                hit = s >= np.float32(least - 1e-4)
-                many = np.flatnonzero(np.count_nonzero(hit, 1) > k + 1)
-                if len(many):  # only the k best, and the query itself, which may be among them
-                    top = s[many]
-                    kth = np.partition(top, top.shape[1] - k - 1, 1)[:, top.shape[1] - k - 1]
-                    hit[many] &= top >= (kth - 1e-5)[:, None]
-                r, g = np.nonzero(hit)
+                hit = np.flatnonzero(s.ravel() >= np.float32(least - 1e-4))
+                if not len(hit):
+                    continue
+                r, g = hit // len(mm), hit % len(mm)
+                n_hits = np.bincount(r, minlength=len(q))
+                if n_hits.max() > k + 1:  # only the k best, and the query itself, which may be among them
+                    many = np.flatnonzero(n_hits > k + 1)
+                    floor = np.full(len(q), -2.0, np.float32)
+                    floor[many] = np.partition(s[many], len(mm) - k - 1, 1)[:, len(mm) - k - 1] - np.float32(1e-5)
+                    best = s[r, g] >= floor[r]
+                    r, g = r[best], g[best]
                 one, other = q[r], mm[g]
                 found.append((one * len(node) + other)[one != other])
-    pairs = np.unique(np.concatenate(found))
+    pairs = distinct(np.concatenate(found))
     pairs = np.stack([pairs // max(len(node), 1), pairs % max(len(node), 1)], 1)
     cos = [np.zeros(0)]
     for e in range(0, len(pairs), 50_000):
