@@ -28,7 +28,8 @@ from quarrylens.llm.shingles import distinct, mix, set_hashes, shingle_sets
 from quarrylens.session import staged
 
 BLOCK_BITS = 16
-PART_BYTES = 16 << 20  # what a task of the join reads, about
+PART_BYTES = 64 << 20  # what a task of the join reads, at most, about
+LEAST_PARTS = 12
 KEY_BYTES, SET_BYTES = 6, 14  # a key with its set's place; a set in a part without its bitmap
 HUB = 2000  # a text is joined with at most so many of its candidates in one group
 
@@ -131,13 +132,13 @@ def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
 
 
 def _parts(scan: DataFrame, t: float) -> int:
-    """How many parts the join has, so that each reads about PART_BYTES: by the keys and bitmaps of all distinct sets, if each of a
-    set's keys went to another part."""
+    """How many parts the join has, so that none reads much more than PART_BYTES: by the keys and bitmaps of all distinct sets, if
+    each of a set's keys went to another part, as they do where parts are many."""
     probes = f"(({1 - t} * n) + 2)"
     bitmap = "32 * pow(2, greatest(0, ceil(log2(n / 170))))"
     sets = scan.filter("block IS NULL").groupBy("h1", "h2").agg(F.min("n").alias("n"))
     total = sets.agg(F.sum(F.expr(f"{probes} * ({KEY_BYTES} + {SET_BYTES} + {bitmap})"))).first()[0] or 0
-    return max(1, int(np.ceil(total / PART_BYTES)))
+    return max(LEAST_PARTS, int(np.ceil(total / PART_BYTES)))
 
 
 def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int) -> DataFrame:
