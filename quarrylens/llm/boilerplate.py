@@ -66,6 +66,16 @@ def repeated_places(docs: DataFrame, **limits: int) -> DataFrame:
     return marked.filter("is_hot").select("id", "line_no").unionByName(cold.select("id", "line_no"))
 
 
+def line_texts(df: DataFrame, found: DataFrame, source_col: str = "company", text_col: str = "parent_chunk") -> DataFrame:
+    """found (src, key and others) with company, the source without blanks around it in lower case, and line, the letters that its
+    lines agree in. found is small against the lines of df; these are matched by a semi-join before they are grouped."""
+    rows = df.select(F.expr(rf"lower(regexp_replace({source_col}, '^\\s+|\\s+$', ''))").alias("c"), F.col(text_col).alias("t")).filter("c IS NOT NULL AND t IS NOT NULL")
+    lines = rows.select("c", F.xxhash64("c").alias("src"), F.explode(F.split("t", "\n")).alias("l"))
+    lines = lines.select("c", "src", F.expr(LETTERS.format("l")).alias("line"), F.expr(line_key("l")).alias("key"))
+    named = lines.join(found.select("src", "key"), ["src", "key"], "left_semi").groupBy("src", "key").agg(F.min("c").alias("company"), F.min("line").alias("line"))
+    return found.join(named, ["src", "key"])
+
+
 def remove_repeated(df: DataFrame, places: DataFrame, id_col: str = "chunk_id", text_col: str = "parent_chunk") -> DataFrame:
     """id, text without the lines at places, n_removed; one row for each row of df with a non-null id.
 

@@ -35,9 +35,10 @@ class Plan:
 def best_fit(hist: dict[int, int], capacities: tuple[int, ...], opening, cost) -> Plan:
     """Best-fit decreasing on a histogram {size: count}, sizes 1..max(capacities).
 
-    opening(size) names the capacity of a new bin. A bin is closed with the least permitted capacity that holds its contents.
+    opening(size, left) names the capacity of a new bin for items of this size, where left are the sizes still to be placed. A
+    bin is closed with the least permitted capacity that holds its contents.
     """
-    plan, by_room, rooms = Plan(), {}, []
+    plan, by_room, rooms, todo = Plan(), {}, [], {s: c for s, c in hist.items() if s > 0}
 
     def put(room: int, group: tuple[int, int, int, int]) -> None:
         if room not in by_room:
@@ -50,8 +51,11 @@ def best_fit(hist: dict[int, int], capacities: tuple[int, ...], opening, cost) -
         while left:
             at = bisect.bisect_left(rooms, size)
             if at == len(rooms):
-                cap = opening(size)
+                todo[size] = left
+                cap = opening(size, todo)
+                # half of them at a time: what is left then may call for another capacity
                 n = -(-left // (cap // size))
+                n = n if len(capacities) == 1 or n < 8 else -(-n // 2)
                 put(cap, (plan.bins, n, 0, 0))
                 plan.bins += n
                 continue
@@ -74,6 +78,7 @@ def best_fit(hist: dict[int, int], capacities: tuple[int, ...], opening, cost) -
                     rank, left, rest = rank + left, 0, rest + 1
                 if bin0 + m > rest:
                     put(room, (rest, bin0 + m - rest, used, slots))
+        del todo[size]
     for groups in by_room.values():
         for bin0, m, used, slots in groups:
             cap = next(c for c in capacities if c >= used)
@@ -84,23 +89,50 @@ def best_fit(hist: dict[int, int], capacities: tuple[int, ...], opening, cost) -
     return plan
 
 
+def least_cost(caps: tuple[int, ...], cost):
+    """The opening rule of variable-capacity best-fit: for each permitted capacity a bin is filled on trial with what is left, the
+    largest that fits first, and the capacity with the least cost a token is opened (ties: the larger)."""
+
+    def rule(size: int, left: dict[int, int]) -> int:
+        sizes = sorted(left)
+        best = None
+        for cap in caps:
+            if cap < size:
+                continue
+            room, at = cap, bisect.bisect_right(sizes, size)
+            while room and at:
+                s = sizes[at - 1]
+                if s > room:
+                    at = bisect.bisect_right(sizes, room, 0, at)
+                    continue
+                room -= s * min(left[s], room // s)
+                at -= 1
+            price = cost(cap) / (cap - room)
+            if best is None or price <= best[0]:
+                best = (price, cap)
+        return best[1]
+
+    return rule
+
+
 def plan_packing(hist: dict[int, int], capacities: tuple[int, ...], cost=float) -> Plan:
-    """Plan with each permitted opening rule and keep the cheapest: every rule optimises all lengths jointly, since whatever was
-    opened is downsized in the end. Rules: always one given capacity (the least that holds the item, if that is larger), or the
-    capacity with the least cost for each token that items of the size at hand can fill."""
+    """Best-fit over all permitted lengths jointly, each bin opened at least cost and downsized in the end. Where always opening one
+    and the same capacity turns out cheaper as a whole, that is taken."""
     caps = tuple(sorted(set(capacities)))
-    rules = [lambda s, c=c: max(c, next(x for x in caps if x >= s)) for c in caps]
-    rules.append(lambda s: min((c for c in caps if c >= s), key=lambda c: (cost(c) / (c // s * s), -c)))
-    return min((best_fit(hist, caps, r, cost) for r in (rules if len(caps) > 1 else rules[:1])), key=lambda p: p.cost)
+    rules = [least_cost(caps, cost)]
+    if len(caps) > 1:
+        rules += [lambda s, left, c=c: max(c, next(x for x in caps if x >= s)) for c in caps]
+    return min((best_fit(hist, caps, r, cost) for r in rules), key=lambda p: p.cost)
 
 
-def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str = "doc_id", size_col: str = "n_tokens", rank_buckets: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str = "doc_id", size_col: str = "n_tokens", bucket_rows: int = 500_000) -> DataFrame:
     """One row per piece: id, part, container_id, place, start, n_tokens, capacity.
 
     Items up to the largest capacity stay whole. A larger one is cut into full containers and a rest, numbered by part. Items
     of size 0 are spread over the containers after the others. Rows with a null size are left out; repeated rows are items of
     their own. place counts the pieces of a container from 0, start is the piece's first token in it. Ties between items of
-    one size are broken by id. An empty table gives no rows.
+    one size are broken by bucket and id: a size has a bucket for every bucket_rows of its items, so no task ranks many more
+    (but rows that repeat an id share a bucket). An empty table gives no rows.
     """
     top = max(capacities)
     n = F.col(size_col).cast("long")
@@ -109,14 +141,18 @@ def pack(sizes: DataFrame, capacities: tuple[int, ...] = (2048,), id_col: str =
         .select(F.col(id_col).alias("doc_id"), n.alias("n"))
         .withColumn("part", F.explode(F.expr(f"sequence(0L, greatest(0L, CAST(ceil(n / {top}) AS BIGINT) - 1))")))
         .select("doc_id", F.col("part").cast("int"), F.expr(f"least(n - part * {top}, {top}L)").alias("n_tokens"))
-        .withColumn("b", F.expr(f"CAST(pmod(xxhash64(doc_id, part), {rank_buckets}) AS INT)"))
     )
     items = staged(items, "pack-items")
+    hist = {int(r.n_tokens): int(r.c) for r in items.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}  # at most top + 1 rows
+    common = [(s, -(-c // bucket_rows)) for s, c in hist.items() if c > bucket_rows]
+    split = F.lit(1)
+    if common:
+        split = F.coalesce(F.element_at(F.map_from_arrays(F.array(*[F.lit(s).cast("long") for s, _ in common]), F.array(*[F.lit(n).cast("int") for _, n in common])), F.col("n_tokens")), F.lit(1))
+    items = items.withColumn("b", F.expr("xxhash64(doc_id, part)")).withColumn("b", F.pmod("b", split.cast("long")).cast("int"))
     counts = items.groupBy("n_tokens", "b").agg(F.count("*").alias("c"))
-    # at most (top + 1) x rank_buckets rows, whatever the corpus; the items are partitioned by the same keys for their ranks
+    # a row for each bucket; the items are partitioned by the same keys for their ranks
     before = Window.partitionBy("n_tokens").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    hist = {int(r.n_tokens): int(r.c) for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}
     plan = plan_packing(hist, tuple(capacities))
     entry = np.array(plan.entries or [(0, 0, 0, 1, 0, 0)], np.int64)
     group = np.array(plan.groups or [(0, 1, 0, 0, min(capacities))], np.int64)

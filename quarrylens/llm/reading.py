@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 4000  # texts that the models are fitted on, at most; taken by hashed id
+MAX_CHARS = 64_000_000  # and of so many characters together
 MIN_WORDS = 40
 SENTENCE_SHARE, SHARPNESS = 0.55, 30.0  # weights of the two readings, by accuracy on held-out labels
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[.!?;\n|]")
@@ -243,12 +244,16 @@ def graded(model: Model, score: np.ndarray) -> np.ndarray:
     return np.floor(model.values[np.clip(np.searchsorted(model.knots, score, "right") - 1, 0, None)] + 0.5).astype(np.int32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
-    """At most `most` labelled English texts, by hashed id. A document with several labels gets their median."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int = MAX_CHARS) -> list:
+    """At most `most` labelled texts of together at most most_chars characters, by hashed id. A document with several labels gets
+    their median."""
     one = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.percentile(label_col, F.lit(0.5)).alias("y"))
     few = one.orderBy(F.xxhash64("i"), "i").limit(most)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
-    return texts.join(F.broadcast(few), "i").select("i", "t", F.floor(F.col("y") + 0.5).cast("int").alias("y")).limit(2 * most).collect()
+    # a row for each id, however often it is repeated: its greatest text
+    own = texts.join(F.broadcast(few), "i").groupBy("i").agg(F.max("t").alias("t"), F.first("y").alias("y"))
+    size = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("i"), "i").rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("size", size).filter(F.col("size") <= most_chars).select("i", "t", F.floor(F.col("y") + 0.5).cast("int").alias("y")).collect()
 
 
 def reading_levels(
@@ -256,7 +261,7 @@ def reading_levels(
 ) -> DataFrame:
     """id, reading_level, score of each document written in English, by its own words, with at least min_words words.
 
-    The models are fitted on at most max_labelled labelled texts; everything else reads all documents and whole texts. Labelled
+    The models are fitted on at most max_labelled labelled texts of MAX_CHARS characters; everything else reads all documents and whole texts. Labelled
     documents are graded like any other. Rows with a null id or text are left out; a repeated id counts once, with its highest
     level. Without any label every document gets a null level.
     """

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm.versions import latest_texts
+
 
 @dataclass(frozen=True)
 class SplitRule:
@@ -187,8 +189,8 @@ def check_splits(df: DataFrame, id_col: str = "chunk_id", text_col: str = "paren
 def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "parent_chunk", table_col: str = "is_table", version_col: str = "ingested_at", rule: SplitRule = SplitRule()) -> DataFrame:
     """chunk_id, piece_no (from 0), start (from 0), piece: a new split of each oversized non-table text, latest version only.
 
-    The version is found on (id, version, hash) alone and joined back, so that texts are not grouped. Rows with a null id,
-    text or table mark are left out; repeated rows count once.
+    Only texts whose id is repeated are moved to find the latest version. Rows with a null id, text or table mark are left out;
+    repeated rows count once.
     """
     rows = oversized(df, text_col, table_col, rule).select(F.col(id_col).cast("string").alias("id"), F.col(version_col).alias("v"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
 
@@ -200,5 +202,4 @@ def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "pa
                     ids.append(i), nos.append(k), at.append(a), parts.append(t[a:b])
             yield pd.DataFrame({"chunk_id": ids, "piece_no": nos, "start": at, "piece": parts})
 
-    last = rows.groupBy("id").agg(F.max(F.struct("v", "t")).alias("r")).select("id", F.col("r.t").alias("t"))
-    return last.mapInPandas(run, "chunk_id string, piece_no int, start int, piece string")
+    return latest_texts(rows).mapInPandas(run, "chunk_id string, piece_no int, start int, piece string")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +30,11 @@ _encoders: dict[str, MonoidEncoder] = {}
 class MonoidEncoder:
     """encode(text) gives the ids of the whole text as int32; decode concatenates the tokens' bytes."""
 
-    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS):
+    def __init__(self, vocabulary: bytes, leaf_chars: int = LEAF_CHARS):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        self._bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._bytes = {i: b for b, i in ranks.items()}
         self._n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for b, i in ranks.items():
@@ -106,14 +106,26 @@ class MonoidEncoder:
         return tree(0, len(ids)).decode("utf-8", errors="replace")
 
 
-def encoder(tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, leaf_chars: int = LEAF_CHARS) -> MonoidEncoder:
-    """One encoder per worker process and vocabulary."""
-    key = f"{tokenizer_dir}/{tokenizer}/{leaf_chars}"
+def vocabulary(tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> bytes:
+    with open(os.path.join(tokenizer_dir, f"{tokenizer}.tiktoken"), "rb") as f:
+        return f.read()
+
+
+def encoder(shared, leaf_chars: int = LEAF_CHARS) -> MonoidEncoder:
+    """One encoder per worker process and vocabulary. shared: (digest, broadcast file of under 2 MB), so that workers need no file
+    of their own."""
+    digest, sent = shared
+    key = f"{digest}/{leaf_chars}"
     if key not in _encoders:
-        _encoders[key] = MonoidEncoder(os.path.join(tokenizer_dir, f"{tokenizer}.tiktoken"), leaf_chars)
+        _encoders[key] = MonoidEncoder(sent.value, leaf_chars)
     return _encoders[key]
 
 
+def _shared(df: DataFrame, tokenizer: str, tokenizer_dir: str):
+    raw = vocabulary(tokenizer, tokenizer_dir)
+    return xxhash.xxh64_hexdigest(raw), df.sparkSession.sparkContext.broadcast(raw)
+
+
 def encode_corpus(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR
 ) -> DataFrame:
@@ -122,11 +134,12 @@ def encode_corpus(
     Null text gives null, empty text an empty list. Rows are neither merged nor dropped: a repeated row or a null id comes
     out as often as it went in. Strings that look like control tokens are ordinary text. Other columns are not read.
     """
+    shared = _shared(df, tokenizer, tokenizer_dir)
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, tokenizer_dir)
+        enc = encoder(shared)
         for b in batches:
             texts = b.column(1).to_pylist()
             parts = [enc.encode(t) if t else None for t in texts]
@@ -144,11 +157,12 @@ def count_tokens(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR
 ) -> DataFrame:
     """(id, n_tokens) of each row with a non-null text; empty text counts 0."""
+    shared = _shared(df, tokenizer, tokenizer_dir)
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, tokenizer_dir)
+        enc = encoder(shared)
         for b in batches:
             n = pa.array([len(enc.encode(t)) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n], ["doc_id", "n_tokens"])

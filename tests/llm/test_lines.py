@@ -71,3 +71,21 @@ def test_hot_and_cold_paths_agree(spark, monkeypatch, share):
     monkeypatch.setattr(b, "HOT_SHARE", share)  # 1: hardly any line is hot; 10^9: all are
     rows = [(f"c{i}", "x", f"l{'abcdefghij'[i]} own\nfoot\nhead", D, T) for i in range(6)]
     assert places(spark, rows, min_docs=5) == sorted((f"c{i}", n) for i in range(6) for n in (2, 3))
+
+
+def test_report_names_sources_and_lines(spark):
+    rows = [(f"c{i}", " Hal Inc ", f"own {'abcdef'[i]}\nShare this PAGE!", D, T) for i in range(3)]
+    df = table(spark, rows)
+    got = b.line_texts(df, b.repeated_lines(b.source_lines(df), min_docs=3)).collect()
+    assert [(r.company, r.line, r.n_docs) for r in got] == [("hal inc", "sharethispage", 3)]
+
+
+def test_latest_texts(spark, monkeypatch):
+    from quarrylens.llm import versions
+
+    rows = [("a", 1, "old"), ("a", 2, "new"), ("a", 2, "new"), ("b", None, None), ("c", 3, "x"), ("c", 3, "y"), (None, 9, "z"), ("d", None, "p"), ("d", 0, "q")]
+    df = spark.createDataFrame(rows, "id string, v int, t string")
+    for most in (10, 0):
+        monkeypatch.setattr(versions, "MOST_IDS", most)
+        assert sorted((r.id, r.t) for r in versions.latest_texts(df).collect()) == [("a", "new"), ("b", None), ("c", "y"), ("d", "q")]
+    assert versions.latest_texts(df.filter("false")).count() == 0

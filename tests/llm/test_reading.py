@@ -66,3 +66,11 @@ def test_documents(spark, labelled):
     assert r.reading_levels(df.filter("false"), labels).count() == 0
     few = r.reading_levels(df, labels, max_labelled=60).count()
     assert few == len(got)
+
+
+def test_labelled_texts_count_once_however_often_they_stand(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i % 7} of it") for i in range(70)] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 7, 1 + i % 7 % 5) for i in range(35)], "doc_id long, reading_level int")
+    got = r.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 5)
+    assert len(got) == 5 and len({x.i for x in got}) == 5 and all(x.t == f"text {x.i} of it" and x.y == 1 + x.i % 5 for x in got)
+    assert len(r.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 5, most_chars=30)) == 2

@@ -13,7 +13,7 @@ PIECES = ["word", " the", "  ", "\n", "\n\n", "é", "日本語", "'s", "'", "123
 
 @pytest.fixture(scope="module")
 def small():
-    return tokens.MonoidEncoder(f"{tokens.TOKENIZER_DIR}/byte_bpe_50k.tiktoken", leaf_chars=7)
+    return tokens.MonoidEncoder(tokens.vocabulary(), leaf_chars=7)
 
 
 @settings(max_examples=300, deadline=None)
@@ -61,7 +61,7 @@ def naive_best_fit(sizes, cap):
 @given(st.lists(st.integers(1, 40), max_size=120))
 def test_histogram_plan_is_best_fit_decreasing(sizes):
     hist = {s: sizes.count(s) for s in set(sizes)}
-    plan = packing.best_fit(hist, (40,), lambda s: 40, float)
+    plan = packing.best_fit(hist, (40,), lambda s, left: 40, float)
     rooms = sorted(40 - used for _, m, used, *_ in plan.groups for _ in range(m))
     assert rooms == naive_best_fit(sizes, 40)
 
@@ -111,6 +111,23 @@ def test_packing_nulls_repeats_and_empty(spark):
     assert sorted(x.place for x in only) == [0, 1] and {x.container_id for x in only} == {0}
 
 
+def test_a_common_size_gets_more_buckets(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 37 ELSE id % 90 END AS n_tokens")
+    rows = packing.pack(df, (100,), bucket_rows=100).collect()
+    assert len(rows) == 3000 and len({r.doc_id for r in rows}) == 3000
+    by = check(rows, (100,))
+    assert len(by) == len({r.container_id for r in packing.pack(df, (100,)).collect()})
+
+
+def test_bins_are_opened_at_least_cost():
+    flat = packing.least_cost((32, 64), float)
+    assert flat(30, {30: 10}) == 64 and flat(30, {30: 10, 4: 9}) == 64 and flat(40, {40: 1}) == 64
+    square = packing.least_cost((32, 64), lambda c: c * c)  # a long sequence costs more a token
+    assert square(30, {30: 10, 4: 9}) == 32
+    plan = packing.plan_packing({30: 10, 60: 4}, (32, 64), lambda c: c * c)
+    assert {(g[4], g[2]) for g in plan.groups} == {(32, 30), (64, 60)} and sum(g[1] for g in plan.groups) == 14
+
+
 def test_lengths_are_chosen_jointly():
     plan = packing.plan_packing({30: 10}, (32, 64))
     assert {g[4] for g in plan.groups} <= {32, 64} and plan.cost <= 320
