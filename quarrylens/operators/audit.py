@@ -16,10 +16,10 @@ PERSONAL_CUES = r"\b(who (made|built|developed|owns) you|your (developer|source
 FINANCE_CUES = r"\b(10-k|10-q|filings?|revenue|margin|cash flow|debt|tax|headcount|inventory|risk|guidance|quarters?|expenditure|reserves?|spending|exchange|supply chain|cybersecurity|segments?|turnover|covenants?|q[1-4]|(19|20)\d\d)\b|q[1-4]_"
 ADVICE_GIVEN_CUES = r"\b((you should|i recommend|we recommend|i suggest) .{0,40}(buy|sell|hold|short)|strong (buy|sell)|guaranteed (profit|returns?)|buy this stock|sell this stock)\b"
 TEXTS = {
-    "query_harmful": "I apologize, but your request appears to be outside my specialized financial knowledge base or violates my safety policies.",
-    "response_harmful": "I apologize, but there seems to be some error from our side. Please try again with a rephrased query.",
-    "no_company": "I am currently unable to locate the requested company in our knowledge base. Please ensure the company name or ticker is correct.",
-    "research_fail": "I encountered difficulty retrieving specific data points for this query. Please rephrase your request or provide more details.",
+    "query_harmful": "This question can't be taken up here: it is unsafe, or it is no question about companies and their filings.",
+    "response_harmful": "The answer that was found did not pass our checks and is held back. Asking in other words may help.",
+    "no_company": "No company of this name or ticker is among the filings here. Is it spelled as it is listed?",
+    "research_fail": "Nothing in the filings matches this question. A company, a period or a section would narrow it down.",
 }
 
 
@@ -97,7 +97,7 @@ def retriever(query_type: Column) -> Column:
 
 def final_text(query_harmful: Column, response_harmful: Column, auditor_fail: Column, n_companies: Column, research_fail: Column, sec: Column, call: Column) -> Column:
     """The supervisor's answer by priority; null while there is nothing to say."""
-    sections = F.concat_ws("\n\n---\n\n", F.when(sec != "", F.concat(F.lit("## SEC Filing Analysis\n\n"), sec)), F.when(call != "", F.concat(F.lit("## Management Commentary (Earnings Calls)\n\n"), call)))
+    sections = F.concat_ws("\n\n---\n\n", F.when(sec != "", F.concat(F.lit("## From the filings\n\n"), sec)), F.when(call != "", F.concat(F.lit("## From the calls\n\n"), call)))
     return (
         F.when(query_harmful & auditor_fail, TEXTS["query_harmful"])
         .when(response_harmful & auditor_fail, TEXTS["response_harmful"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -181,24 +182,48 @@ def run_machine(elements: list[tuple[str, bool, str]], form: str, item: str, ite
     return s.out
 
 
-def chunk_filings(elements: DataFrame, min_words: int = MIN_WORDS, compat: bool = False) -> DataFrame:
-    """doc_id, n, chunk_id (doc#n), form, item, is_table, sub_headings, parent_chunk from elements (doc_id, form, item, seq, kind,
-    is_header, text). A group is one filing's elements, which one filing bounds; filings run in parallel."""
+def item_switch(headings: DataFrame) -> DataFrame:
+    """doc_id, switch: for each filing an array of (part, key, heading) from item_headings_10q() rows; key is the heading without
+    the item's number. One filing's contents bound it."""
+    key = F.trim(F.regexp_replace(F.lower("heading"), r"item\s*\d*\W*:\s*|^item\s+\w+\W*:\s*", ""))
+    rows = headings.select("doc_id", F.struct("part", "item", key.alias("key"), "heading").alias("h")).filter("h.key <> ''").distinct()
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("switch"))
+
+
+def chunk_filings(elements: DataFrame, min_words: int = MIN_WORDS, compat: bool = False, item_headings: DataFrame | None = None) -> DataFrame:
+    """doc_id, n, chunk_id (doc#n), form, part, item, is_table, sub_headings, parent_chunk from elements (doc_id, form, item, seq,
+    kind, is_header, text, and part where there are 10-Q forms). A group is one filing's elements, which one filing bounds; filings
+    run in parallel.
+
+    The machine runs over each item of a 10-K, and over each part of a 10-Q, where a header or table that holds an item's heading
+    (item_headings: doc_id, part, item, heading) switches to that item; before the first switch the item is null. A null item of a
+    10-K is "Not Found". Without item_headings a 10-Q runs item by item.
+    """
+    columns = ["doc_id", "n", "chunk_id", "form", "part", "item", "is_table", "sub_headings", "parent_chunk"]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("seq", kind="stable")
+        doc, form = f["doc_id"].iloc[0], str(f["form"].iloc[0])
+        switch = f["switch"].iloc[0]
+        by_part = form == "10-Q" and switch is not None
         rows = []
-        for item in dict.fromkeys(f["item"]):
-            part = f[f["item"] == item]
-            rows += run_machine(list(zip(part["kind"], part["is_header"].fillna(False).astype(bool), part["text"])), str(f["form"].iloc[0]), str(item), None, min_words, compat)
-        doc = f["doc_id"].iloc[0]
-        return pd.DataFrame(
-            [(doc, i, f"{doc}#{i}", f["form"].iloc[0], r["item"], bool(r["is_table"]), r["sub_headings"], r["text"]) for i, r in enumerate(rows, 1)],
-            columns=["doc_id", "n", "chunk_id", "form", "item", "is_table", "sub_headings", "parent_chunk"],
-        )
-
-    e = elements.filter("doc_id IS NOT NULL AND item IS NOT NULL").select("doc_id", "form", "item", "seq", "kind", "is_header", "text")
-    return e.groupBy("doc_id").applyInPandas(run, "doc_id string, n int, chunk_id string, form string, item string, is_table boolean, sub_headings map<string,string>, parent_chunk string")
+        for name in dict.fromkeys(f["part" if by_part else "item"]):
+            own = f[f["part"].isna()] if name is None else f[f["part" if by_part else "item"] == name]
+            to: dict[str, str] = {}
+            for h in switch if by_part else ():
+                if h["part"] == name:
+                    to.setdefault(h["key"], h["heading"])
+            for r in run_machine(list(zip(own["kind"], own["is_header"].fillna(False).astype(bool), own["text"])), form, "" if by_part else str(name), to, min_words, compat):
+                rows.append((name if by_part else own["part"].iloc[0], r))
+        return pd.DataFrame([(doc, i, f"{doc}#{i}", form, p, r["item"] or None, bool(r["is_table"]), r["sub_headings"], r["text"]) for i, (p, r) in enumerate(rows, 1)], columns=columns)
+
+    part = F.col("part").cast("string") if "part" in elements.columns else F.lit(None).cast("string")
+    e = elements.filter("doc_id IS NOT NULL").select("doc_id", "form", part.alias("part"), F.coalesce("item", F.lit("Not Found")).alias("item"), "seq", "kind", "is_header", "text")
+    if item_headings is not None:
+        e = e.join(item_switch(item_headings), "doc_id", "left")
+    else:
+        e = e.withColumn("switch", F.lit(None).cast("array<struct<part:string,key:string,heading:string>>"))
+    return e.groupBy("doc_id").applyInPandas(run, "doc_id string, n int, chunk_id string, form string, part string, item string, is_table boolean, sub_headings map<string,string>, parent_chunk string")
 
 
 # ---- children -----------------------------------------------------------------------------------------------------------
@@ -218,6 +243,53 @@ def windows(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_WORDS,
     return rows.select("id", "piece_no", F.size(piece).alias("n_words"), F.array_join(piece, " ").alias("piece"))
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a text; any function of this shape may take its place."""
+    return [x for x in (p.strip() for p in _SENTENCE.split(text)) if x]
+
+
+def packed_sentences(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Pieces of whole sentences of at most `size` words, each beginning with the last sentences of the one before that together
+    have at most `overlap` words. A sentence that is longer alone is cut into windows of words."""
+    units = []
+    for p in parts:
+        w = p.split()
+        units += [w] if len(w) <= size else [w[i : i + size] for i in range(0, len(w), size)]
+    out, at = [], 0
+    while at < len(units):
+        end, n = at, 0
+        while end < len(units) and (end == at or n + len(units[end]) <= size):
+            n += len(units[end])
+            end += 1
+        out.append(" ".join(x for u in units[at:end] for x in u))
+        if end == len(units):
+            break
+        back, n, room = end, 0, size - len(units[end])
+        while back - 1 > at and n + len(units[back - 1]) <= min(overlap, room):
+            back -= 1
+            n += len(units[back])
+        at = back
+    return out
+
+
+def sentence_windows(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, split: Callable[[str], list[str]] = sentences) -> DataFrame:
+    """id, piece_no, n_words, piece: windows() that begin and end with sentences. Null and blank texts have none."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap has to be less than size")
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
+    id_type = src.schema["id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, k, len(p.split()), p) for i, t in zip(f["id"], f["t"]) for k, p in enumerate(packed_sentences(split(t), size, overlap))]
+            yield pd.DataFrame(rows, columns=["id", "piece_no", "n_words", "piece"])
+
+    return src.mapInPandas(run, f"id {id_type}, piece_no int, n_words int, piece string")
+
+
 def fold_children(parent_words: Column, pieces: Column, is_table: Column | None = None) -> Column:
     """ARRAY<STRUCT<key, text>>: which of a parent's pieces become children.
 

@@ -124,6 +124,14 @@ def embedding_check(children: DataFrame, vectors: DataFrame) -> tuple[DataFrame,
     return children.join(v, "chunk_id"), children.join(v, "chunk_id", "left_anti")
 
 
+def with_embedding(children: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Children with their vector; a child without one is an error when the rows are computed."""
+    v = vectors.select(F.col("id").alias("chunk_id"), F.col("openai_embedding").alias("embedding")).dropDuplicates(["chunk_id"])
+    rows = children.join(v, "chunk_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no embedding for "), F.col("chunk_id"))).cast(v.schema["embedding"].dataType)
+    return rows.withColumn("embedding", F.when(F.col("embedding").isNotNull(), F.col("embedding")).otherwise(missing))
+
+
 # ---- hierarchy ----------------------------------------------------------------------------------------------------------
 
 
@@ -192,12 +200,18 @@ def period_bounds(labels: Column, compat: bool = False) -> tuple[Column, Column]
 
 SEC_FIELDS = ["child_id", "child_text", "parent_id", "parent_text", "sub_heading", "heading", "period", "form", "company", "accession", "score"]
 
+# a transcript hit's fields and path, and those of a parent on a change walk
+TRANSCRIPT_FIELDS = ["child_id", "child_text", "parent_id", "parent_text", "speaker", "title", "period", "company", "transcript_id", "score"]
+TRANSCRIPT_PATH = [("Company", "company"), ("Transcript", "transcript_id"), ("ParentChunk", "parent_id"), ("ChildChunk", "child_id")]
+CHANGE_FIELDS = ["parent_id", "parent_text", "sub_heading", "heading", "period", "form", "company", "accession"]
+CHANGE_PATH = [("Company", "company"), ("Filing", "accession"), ("Heading", "heading"), ("ParentChunk", "parent_id")]
+
 
 def record(hits: DataFrame, fields: list[str], path: list[tuple[str, str]], links: list[str]) -> DataFrame:
     """content: the fields as one struct; graph_ui: the nodes (labels, properties) and relations of the path to the hit."""
     nodes = F.array(*[F.struct(F.array(F.lit(label)).alias("labels"), F.create_map(F.lit("key"), F.col(c).cast("string")).alias("props")) for label, c in path])
     rels = F.array(*[F.struct(F.lit(x).alias("type"), F.create_map(F.lit("to"), F.lit(path[i + 1][0])).alias("props")) for i, x in enumerate(links)])
-    keep = [c for c in ("job_id", "rank") if c in hits.columns]
+    keep = [c for c in ("job_id", "rank", "seq") if c in hits.columns]
     return hits.select(*keep, F.struct(*fields).alias("content"), F.struct(nodes.alias("nodes"), rels.alias("rels")).alias("graph_ui"))
 
 

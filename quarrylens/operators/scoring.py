@@ -70,18 +70,31 @@ def _aggregate(normalised: DataFrame, least: int, scale: float) -> DataFrame:
     return g.select(*GROUP, "category", "n_metrics", score.alias("score"), F.round(100 - score, 2).alias("risk"))
 
 
-def scores_without_peers(metrics: DataFrame, overrides: dict[str, bool] | None = None, least: int = 1, scale: float = 100.0, groups: DataFrame | None = None) -> DataFrame:
-    """Min-max within each category of a company and period; a single metric, or metrics all alike, give 0.5.
+def _categories(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """rows once for each category of their metric, and partitioned so that windows and aggregates of a company and period need
+    no further exchange."""
+    g = groups if groups is not None else ratio_groups(rows.sparkSession)
+    order = F.col("cat_ord") if "cat_ord" in g.columns else F.col("category")
+    return rows.join(F.broadcast(g.select("metric", "category", order.alias("cat_ord"))), "metric").repartition(*GROUP)
 
-    One exchange: window and aggregation share their keys. Categories without a finite metric give no row (see with_gaps).
-    """
-    g = F.broadcast(groups if groups is not None else ratio_groups(metrics.sparkSession))
+
+def _within_category(rows: DataFrame, out: str) -> DataFrame:
+    """out: adj by min-max within its category; metrics all alike, or a single one, give 0.5. A metric of several categories has
+    the value of its last one in all of them."""
     w = Window.partitionBy(*GROUP, "category")
-    rows = adjusted(metrics, overrides).join(g, "metric")
     lo, hi = F.min("adj").over(w), F.max("adj").over(w)
-    rows = rows.select(*GROUP, "category", "adj", lo.alias("lo"), hi.alias("hi"))
+    rows = rows.withColumns({"lo": lo, "hi": hi})
     norm = F.when(_close(F.col("hi"), F.col("lo")), 0.5).otherwise(_clip(F.try_divide(F.col("adj") - F.col("lo"), F.col("hi") - F.col("lo"))))
-    return _aggregate(rows.withColumn("norm", norm), least, scale)
+    return rows.withColumn(out, norm).withColumn(out, F.max_by(out, "cat_ord").over(Window.partitionBy(*GROUP, "metric"))).drop("lo", "hi")
+
+
+def scores_without_peers(metrics: DataFrame, overrides: dict[str, bool] | None = None, least: int = 1, scale: float = 100.0, groups: DataFrame | None = None) -> DataFrame:
+    """Min-max within each category of a company and period; a single metric, or metrics all alike, give 0.5.
+
+    One exchange: windows and aggregation share their keys. Categories without a finite metric give no row (see with_gaps).
+    """
+    rows = adjusted(metrics, overrides).select(*GROUP, "metric", "adj")
+    return _aggregate(_within_category(_categories(rows, groups), "norm"), least, scale)
 
 
 def with_gaps(scores: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -101,49 +114,78 @@ def normal_cdf(z: Column) -> Column:
     return 0.5 * (1 + F.signum(z) * erf)
 
 
+def _against_peers(rows: DataFrame, of: DataFrame | None, method: str, winsor: float) -> DataFrame:
+    """rows (company, period, metric, adj) with norm and has_peers. of: period, metric, adj of the peers; None: all rows.
+
+    Values and peers lie in one window by period and metric: one exchange and one sort. A value is clipped to the peers'
+    percentiles winsor and 1 - winsor, which are interpolated; the peers themselves stay as they are.
+    """
+    both = rows.withColumns({"own": F.lit(True), "peer": F.lit(1 if of is None else 0)})
+    if of is not None:
+        both = both.unionByName(of.select(F.lit(None).cast("string").alias("company"), "period", "metric", "adj", F.lit(False).alias("own"), F.lit(1).alias("peer")))
+    every = Window.partitionBy("period", "metric")
+    sorted_ = every.orderBy("adj")
+    peer = lambda c: F.when(F.col("peer") == 1, c)
+    both = both.withColumns(
+        {
+            "n": F.sum("peer").over(every),
+            "place": F.sum("peer").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)) - 1,
+            "upto": F.sum("peer").over(sorted_.rangeBetween(Window.unboundedPreceding, 0)),
+            "same": F.sum("peer").over(sorted_.rangeBetween(0, 0)),
+        }
+    )
+    bounds = {}
+    for name, share in (("lo", winsor), ("hi", 1 - winsor)):
+        at = F.lit(share) * (F.col("n") - 1)
+        low, high = (F.max(peer(F.when(F.col("place") == f(at), F.col("adj")))).over(every) for f in (F.floor, F.ceil))
+        bounds[name] = low + (high - low) * (at - F.floor(at))
+    both = both.withColumns(bounds)
+    a, lo, hi, has = F.col("adj"), F.col("lo"), F.col("hi"), F.col("n") > 0
+    x = F.when(has, F.least(F.greatest(a, lo), hi)).otherwise(a)
+    if method == "percentile":
+        count = lambda c: F.sum(F.when(c, F.col("peer")).otherwise(0)).over(every)
+        both = both.withColumns({"lo_less": count(a < lo), "lo_same": count(a == lo), "hi_less": count(a < hi), "hi_same": count(a == hi)})
+        less = F.when(a < lo, F.col("lo_less")).when(a > hi, F.col("hi_less")).otherwise(F.col("upto") - F.col("same"))
+        same = F.when(a < lo, F.col("lo_same")).when(a > hi, F.col("hi_same")).otherwise(F.col("same"))
+        norm = (less + 0.5 * same) / F.col("n")
+    elif method == "minmax":
+        both = both.withColumns({"mn": F.min(peer(a)).over(every), "mx": F.max(peer(a)).over(every)})
+        norm = F.when(_close(F.col("mx"), F.col("mn")), 0.5).otherwise(F.try_divide(x - F.col("mn"), F.col("mx") - F.col("mn")))
+    else:
+        both = both.withColumns({"mu": F.avg(peer(a)).over(every), "sd": F.stddev_pop(peer(a)).over(every)})
+        norm = F.when(F.col("sd") > 1e-12, (x - F.col("mu")) / F.col("sd")).otherwise(0.0)
+    return both.filter("own").select(*GROUP, "metric", "adj", has.alias("has_peers"), F.when(has, norm).otherwise(a).alias("norm"))
+
+
 def scores_with_peers(
-    metrics: DataFrame, peers: DataFrame | None = None, method: str = "percentile", winsor: float = 0.01, overrides: dict[str, bool] | None = None, least: int = 1, scale: float = 100.0
+    metrics: DataFrame, peers: DataFrame | None = None, method: str = "percentile", winsor: float = 0.01, overrides: dict[str, bool] | None = None, least: int = 1, scale: float = 100.0, groups: DataFrame | None = None, probability: str = "normal"
 ) -> DataFrame:
     """Scores against peers: all companies with the metric in the same period, or a table period, metric, value of one's own.
 
-    Peers are winsorised at the exact percentiles winsor and 1 - winsor, and the values are clipped to the same bounds.
-    percentile: (less + half of equal) / n. minmax: 0.5 where the peers are all alike. zscore: through the normal distribution,
-    with population deviation, 0.5 where that is 0. A metric without peers keeps its adjusted value, clipped to 0..1.
+    percentile: (less + half of equal) / n. minmax: 0.5 where the peers are all alike. zscore: with population deviation, 0 where
+    that is 0; turned into a probability by the normal distribution, or by rank within the category (probability="rank").
+    A metric without peers keeps its adjusted value (with zscore: the probability of that), clipped to 0..1. With percentile, a
+    company and period of which no metric at all has peers is scored within its categories instead, as without peers.
 
-    Percentile ranks come from counts by distinct value and a running sum over them, not from pairs of values.
+    Two exchanges: one by period and metric for the peers, one by company and period for gate, categories and scores.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
-    rows = adjusted(metrics, overrides)
-    if peers is None:
-        of = rows.select("period", "metric", "adj")
-    else:
-        of = adjusted(peers.select(F.lit("").alias("company"), "period", "metric", "value"), overrides).select("period", "metric", "adj")
-    key = ["period", "metric"]
-    bounds = of.groupBy(*key).agg(F.percentile("adj", F.array(F.lit(winsor), F.lit(1 - winsor))).alias("b")).select(*key, F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
-    clip = lambda c: F.least(F.greatest(c, F.col("lo")), F.col("hi"))
-    of = of.join(bounds, key).select(*key, clip(F.col("adj")).alias("p"))
-    rows = rows.join(bounds, key, "left").withColumn("x", F.when(F.col("lo").isNotNull(), clip(F.col("adj"))).otherwise(F.col("adj")))
+    rows = adjusted(metrics, overrides).select(*GROUP, "metric", "adj")
+    of = None if peers is None else adjusted(peers.select(F.lit("").alias("company"), "period", "metric", "value"), overrides).select("period", "metric", "adj")
+    rows = _categories(_against_peers(rows, of, method, winsor), groups)
     if method == "percentile":
-        run = Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-        values = of.groupBy(*key, "p").agg(F.count("*").alias("same"))
-        if peers is not None:  # values that no peer has are ranked among those that some have
-            values = values.unionByName(rows.filter("lo IS NOT NULL").select(*key, F.col("x").alias("p"), F.lit(0).cast("long").alias("same"))).groupBy(*key, "p").agg(F.sum("same").alias("same"))
-        total = F.sum("same").over(Window.partitionBy(*key))
-        rank = (F.coalesce(F.sum("same").over(run), F.lit(0)) + 0.5 * F.col("same")) / total
-        ranked = values.select(*key, F.col("p").alias("x"), rank.alias("norm"))
-        rows = rows.join(ranked, [*key, "x"], "left")
-        norm = F.coalesce(F.col("norm"), F.when(F.col("lo").isNull(), _clip(F.col("adj"))))
+        rows = _within_category(rows, "inner").withColumn("any_peer", F.max("has_peers").over(Window.partitionBy(*GROUP)))
+        norm = F.when(F.col("any_peer"), _clip(F.col("norm"))).otherwise(F.col("inner"))
+    elif method == "minmax":
+        norm = _clip(F.col("norm"))
+    elif probability == "normal":
+        norm = normal_cdf(F.col("norm"))
     else:
-        stats = of.groupBy(*key).agg(F.min("p").alias("mn"), F.max("p").alias("mx"), F.avg("p").alias("mu"), F.stddev_pop("p").alias("sd"))
-        rows = rows.join(stats, key, "left")
-        if method == "minmax":
-            with_peers = F.when(_close(F.col("mx"), F.col("mn")), 0.5).otherwise(F.try_divide(F.col("x") - F.col("mn"), F.col("mx") - F.col("mn")))
-        else:
-            with_peers = normal_cdf(F.when(F.col("sd") > 1e-12, (F.col("x") - F.col("mu")) / F.col("sd")).otherwise(0.0))
-        norm = _clip(F.when(F.col("mn").isNotNull(), with_peers).otherwise(F.col("adj")))
-    g = F.broadcast(ratio_groups(metrics.sparkSession))
-    return _aggregate(rows.withColumn("norm", norm).join(g.select("metric", "category"), "metric").select(*GROUP, "category", "norm"), least, scale)
+        rows = average_rank(rows, [*GROUP, "category"], "norm", "place")
+        of_all = F.count("*").over(Window.partitionBy(*GROUP, "category"))
+        norm = F.when(of_all > 1, (F.col("place") - 1) / (of_all - 1)).otherwise(0.5)
+    return _aggregate(rows.withColumn("norm", norm), least, scale)
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.scalars import cosine
@@ -83,17 +85,33 @@ def lexical_score(query: Column, text: Column) -> Column:
 
 def rerank(hits: DataFrame, k: int, query: str = "q", text: str = "parent_text", by: list[str] | None = None, order: list[Column | str] | None = None, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
     """The k best hits of each group by rerank_score, ties in the former order. scorer may be any column function or pandas UDF
-    over (query, text); no hits give none."""
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("rerank_score"), *(order or [F.desc("score"), "id"]))
-    return hits.withColumn("rerank_score", scorer(F.col(query), F.col(text))).withColumn("rerank", F.row_number().over(w)).filter(F.col("rerank") <= k)
+    over (query, text); no hits give none. If there is no scorer to be had (it raises), the first k in the former order are taken
+    unchanged, with a null score. Without groups the k best are found by partial top-k; nothing is sorted as a whole."""
+    order = order or [F.desc("score"), "id"]
+    try:
+        rows = hits.withColumn("rerank_score", scorer(F.col(query), F.col(text)))
+    except Exception:
+        rows = hits.withColumn("rerank_score", F.lit(None).cast("double"))
+    if not by:
+        rows = rows.orderBy(F.desc("rerank_score"), *order).limit(k)
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("rerank_score"), *order)
+    return rows.withColumn("rerank", F.row_number().over(w)).filter(F.col("rerank") <= k)
 
 
 def hashed_embedding(text: Column, dim: int = 128) -> Column:
-    """Offline stand-in for an embedding model: unit counts of hashed words, by built-in functions."""
+    """Offline stand-in for an embedding model: unit counts of hashed words, counted in Arrow batches; null for no words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return unit(counts)
+
+    @F.pandas_udf("array<double>")
+    def counted(s: pd.Series) -> pd.Series:
+        rows = []
+        for v in s:
+            n = np.bincount(v, minlength=dim).astype(float) if v is not None and len(v) else np.zeros(dim)
+            rows.append(n / np.linalg.norm(n) if n.any() else None)
+        return pd.Series(rows)
+
+    return counted(slots)
 
 
 def build_index(vectors: DataFrame, path: str, dim: int, id_col: str = "id", vec: str = "embedding") -> bool:
@@ -106,3 +124,8 @@ def build_index(vectors: DataFrame, path: str, dim: int, id_col: str = "id", vec
     rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vec) == dim)).select(F.col(id_col).alias("id"), unit(F.col(vec)).alias("embedding"))
     rows.filter("embedding IS NOT NULL").write.parquet(path)
     return True
+
+
+def index_top_k(spark: SparkSession, path: str, query: list[float], k: int) -> DataFrame:
+    """top_k() over an index that build_index() has written."""
+    return top_k(spark.read.parquet(path), query, k)

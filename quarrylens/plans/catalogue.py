@@ -44,6 +44,35 @@ def chart_monthly_series(spark, d):
     return s.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "company", "variable", F.round("value", 4).alias("value"))
 
 
+def _bars(spark, d, timeframe):
+    s = inputs.stocks(spark, d, timeframe)
+    return s.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "company", "variable", F.round("value", 4).alias("value"))
+
+
+@query
+def chart_daily_series(spark, d):
+    return _bars(spark, d, "daily")
+
+
+@query
+def chart_weekly_series(spark, d):
+    return _bars(spark, d, "weekly")
+
+
+@query
+def chart_yearly_series(spark, d):
+    return _bars(spark, d, "yearly")
+
+
+@query
+def key_fallback(spark, d):
+    """A metric's own column for the company, else the metric's; null for neither."""
+    w = inputs.stocks(spark, d, "yearly").filter("variable IN ('Open', 'Close')").groupBy("company", "date").pivot("variable", ["Open", "Close"]).agg(F.first("value"))
+    w = w.withColumnsRenamed({"Open": "Open|NATION_7", "Close": "Close"})
+    first = lambda m: F.round(timeseries.first_present(w, m, ONE), 4)
+    return w.select("company", F.date_format("date", "yyyy-MM-dd").alias("date"), first("Open").alias("open"), first("Close").alias("close"), first("Volume").alias("volume"))
+
+
 @query
 def chart_skip_missing_variable(spark, d):
     return timeseries.chart(inputs.stocks(spark, d), ONE, ["Volume", "Nothing", "Close"])
@@ -92,6 +121,12 @@ def metric_direction_and_transform(spark, d):
     return scoring.adjusted(inputs.ratios(spark, d)).select("company", "period", "metric", "good", F.round("adj", 6).alias("adj"))
 
 
+@query
+def metric_direction_override(spark, d):
+    r = scoring.adjusted(inputs.ratios(spark, d), {"Current Ratio": False, "Price-to-Book": True})
+    return r.select("company", "period", "metric", "good", F.round("adj", 6).alias("adj"))
+
+
 @query
 def risk_scores_no_peers(spark, d):
     return scoring.scores_without_peers(inputs.ratios(spark, d))
@@ -102,6 +137,14 @@ def risk_scores_peers_percentile(spark, d):
     return scoring.scores_with_peers(inputs.ratios(spark, d), method="percentile")
 
 
+@query
+def risk_scores_peer_table(spark, d):
+    """A peer table of one's own that has three metrics, and of the early periods only."""
+    r = inputs.ratios(spark, d)
+    of = r.filter(F.col("metric").isin("Gross Margin", "Current Ratio", "Price-to-Book") & (F.left("period", F.lit(4)).cast("int") < 1996))
+    return scoring.scores_with_peers(r, of.select("period", "metric", "value"))
+
+
 @query
 def risk_scores_peers_minmax(spark, d):
     return scoring.scores_with_peers(inputs.ratios(spark, d), method="minmax")
@@ -228,6 +271,19 @@ def change_detection(spark, d):
     return w.select("company", "period", F.col("seq").cast("long").alias("seq"), "accession", "form", "heading", "parent_id", "sub_heading")
 
 
+@query
+def change_records(spark, d):
+    """Every parent on the 10-Q chain of each company's first to last label, in order of time, as records with their path."""
+    chain = graph.filing_chain(inputs.filings(spark, d)).filter("form = '10-Q'").select("accession", "seq")
+    walk = _parents(spark, d).join(chain, "accession").filter(F.contains(F.lower("heading"), F.lit("risk factors")))
+    r = graph.record(walk, graph.CHANGE_FIELDS, graph.CHANGE_PATH, ["FILED", "HAS_SECTION", "HAS_CONTENT"])
+    place = F.row_number().over(Window.partitionBy("company").orderBy("seq", "heading", "parent_id"))
+    c = lambda n: F.col("content")[n].alias(n)
+    nodes = F.array_join(F.transform("graph_ui.nodes", lambda n: F.concat(n["labels"][0], F.lit("="), n["props"]["key"])), ";")
+    r = r.select("seq", c("company"), c("period"), c("heading"), c("parent_id"), c("sub_heading"), nodes.alias("nodes"), F.array_join(F.transform("graph_ui.rels", lambda x: x["type"]), ">").alias("rels"))
+    return r.withColumn("place", place.cast("long")).drop("seq")
+
+
 @query
 def change_detection_bounds(spark, d):
     """First and last period of each conversation turn's labels, in time and by text."""
@@ -301,8 +357,61 @@ def multi_query_topk_union(spark, d):
     return hits.select("job_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _call_vectors(spark, d):
+    """Calls, their children or the whole text, with a vector."""
+    t = inputs.transcripts(spark, d)
+    kids = graph.transcript_hierarchy(t)
+    whole = t.select("company", "period", "transcript_id", "speaker", F.nullif("title", F.lit("")).alias("title"), F.col("chunk_id").alias("parent_id"), F.col("chunk").alias("parent_text"), F.col("chunk_id").alias("child_id"), F.col("chunk").alias("child_text"))
+    v = read_table(spark, d, "chunk_embeddings").filter("id IS NOT NULL").select(F.col("id").alias("child_id"), F.col("openai_embedding").alias("embedding")).distinct()
+    return kids.unionByName(whole).join(v, "child_id")
+
+
+def _first_ask(spark, d, column):
+    """The vector of the first turn that has one."""
+    t = inputs.turns(spark, d, column).filter(F.size(column) == 128)
+    return list(t.orderBy("id").select(column).first()[0])
+
+
 @query
 def transcript_topk(spark, d):
+    """The five nearest pieces of calls of the last years, out of the 150 nearest of all."""
+    near = search.filtered_top_k(_call_vectors(spark, d), _first_ask(spark, d, "embedding_trans"), 5, F.right("period", F.lit(4)).try_cast("int") >= 2010, "post", 150, "child_id")
+    return near.select("child_id", "company", "period", F.coalesce("speaker", F.lit("N/A")).alias("speaker"), F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+
+
+@query
+def transcript_records(spark, d):
+    """The same hits as records with the path that leads to them."""
+    near = search.filtered_top_k(_call_vectors(spark, d), _first_ask(spark, d, "embedding_trans"), 5, F.lit(True), "post", 150, "child_id")
+    r = graph.record(near, graph.TRANSCRIPT_FIELDS, graph.TRANSCRIPT_PATH, ["HOSTED", "HAS_CONTENT", "HAS_CHILD"])
+    c = F.col("content")
+    return r.select(c["child_id"].alias("child_id"), F.md5(c["parent_text"]).alias("digest"), c["transcript_id"].alias("transcript_id"), F.round(c["score"], 6).alias("score"), F.array_join(F.transform("graph_ui.nodes", lambda n: F.concat(n["labels"][0], F.lit("="), n["props"]["key"])), ";").alias("nodes"), F.array_join(F.transform("graph_ui.rels", lambda x: x["type"]), ">").alias("rels"))
+
+
+@query
+def multi_query_budgets(spark, d):
+    """For every turn with both vectors: three pieces of its first company's filings out of the ten nearest, and two of its calls
+    out of the five nearest, by the words they share with the question."""
+    t = inputs.turns(spark, d, "modif_query", "parsed_metadata", "embedding", "embedding_trans")
+    t = t.select(F.col("id").alias("job_id"), F.col("modif_query").alias("q"), F.try_element_at(F.col("parsed_metadata.companies"), F.lit(1))["name"].alias("who"), "embedding", "embedding_trans")
+    t = t.filter("q IS NOT NULL AND who IS NOT NULL AND size(embedding) = 128 AND size(embedding_trans) = 128")
+    h = _hierarchy(spark, d).select("company", "child_id", "child_text", "parent_text")
+    p = _parents(spark, d).select("company", F.col("parent_id").alias("child_id"), F.col("parent_text").alias("child_text"), "parent_text")
+    v = read_table(spark, d, "chunk_embeddings").filter("id IS NOT NULL").select(F.col("id").alias("child_id"), F.col("openai_embedding").alias("vec")).distinct()
+    v = v.filter(~F.exists("vec", F.isnan))
+    sec = h.unionByName(p).join(v, "child_id").select("company", "child_id", "vec", "parent_text")
+    call = _call_vectors(spark, d).select("company", "child_id", F.col("embedding").alias("vec"), F.col("child_text").alias("parent_text"))
+    out = None
+    for source, pool, ask, k, budget in (("filings", sec, "embedding", 10, 3), ("calls", call, "embedding_trans", 5, 2)):
+        jobs = t.select("job_id", "q", "who", F.col(ask).alias("q_vec"))
+        near = search.jobs_top_k(pool, jobs, F.col("company") == F.col("who"), k, "child_id", "vec").withColumn("id", F.col("child_id"))
+        best = search.rerank(near, budget, by=["job_id"]).select("job_id", F.lit(source).alias("source"), "child_id", F.col("rerank").cast("long").alias("place"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+@query
+def transcript_rerank_lexical(spark, d):
     """For each company the transcript children that share most words with a fixed question."""
     h = graph.transcript_hierarchy(inputs.transcripts(spark, d))
     h = h.select("company", "period", "child_id", F.col("child_id").alias("id"), F.lit("operating margin and revenue outlook for the next quarter").alias("q"), "child_text", F.lit(1.0).alias("score"))
@@ -402,7 +511,7 @@ def page_furniture(spark, d):
 
 def _elements(spark, d):
     """Headers and bodies of each filing's chunks in their order, as a parser of the filing would give them."""
-    c = inputs.chunks(spark, d, "accession_no", "form", "item_heading", "is_table", "sub_headings", "parent_chunk").filter("parent_chunk IS NOT NULL AND item_heading IS NOT NULL")
+    c = inputs.chunks(spark, d, "accession_no", "form", "item_heading", "is_table", "sub_headings", "parent_chunk").filter("parent_chunk IS NOT NULL").withColumn("item_heading", F.coalesce("item_heading", F.lit(graph.NO_HEADING)))
     heads = F.coalesce(F.transform(F.array_sort(F.map_entries("sub_headings")), lambda e: F.struct(F.lit("text").alias("kind"), F.lit(True).alias("is_header"), e["value"].alias("text"))), F.array().cast("array<struct<kind:string,is_header:boolean,text:string>>"))
     body = F.array(F.struct(F.when(F.col("is_table"), "table").otherwise("text").alias("kind"), F.lit(False).alias("is_header"), F.col("parent_chunk").alias("text")))
     n = F.element_at(F.split("chunk_id", "#"), -1).cast("int")
@@ -424,6 +533,39 @@ def html_blocks_headers(spark, d):
     return e.groupBy("kind", "is_header").agg(F.count("*").alias("n"))
 
 
+@query
+def chunk_10q_items(spark, d):
+    """The machine over each part of every 10-Q: headers that hold an item's heading switch to it. Texts in plain characters."""
+    c = inputs.chunks(spark, d, "accession_no", "form", "item_heading", "part_heading", "parent_chunk")
+    c = c.filter("form = '10-Q' AND item_heading IS NOT NULL AND part_heading IS NOT NULL AND parent_chunk IS NOT NULL")
+    plain = lambda x: F.trim(F.regexp_replace(x, "[^!-~]+", " "))
+    n = F.element_at(F.split("chunk_id", "#"), -1).cast("int")
+    two = F.array(F.struct(F.lit(True).alias("is_header"), plain(F.col("item_heading")).alias("text")), F.struct(F.lit(False).alias("is_header"), plain(F.col("parent_chunk")).alias("text")))
+    e = c.select(F.col("accession_no").alias("doc_id"), "form", F.col("part_heading").alias("part"), F.split("item_heading", ":")[0].alias("item"), n.alias("n"), F.posexplode(two).alias("k", "e"))
+    e = e.select("doc_id", "form", "part", "item", (F.col("n") * 2 + F.col("k")).alias("seq"), F.lit("text").alias("kind"), "e.*")
+    toc = toc_item_headings_10q(spark, d)
+    m = chunking.chunk_filings(e, item_headings=toc)
+    return m.select("doc_id", "part", "item", F.md5("parent_chunk").alias("digest"))
+
+
+@query
+def contents_found(spark, d):
+    """For each 10-K the first of its chunks, as tables, that holds the first third of its items."""
+    c = inputs.chunks(spark, d, "accession_no", "form", "item_heading", "parent_chunk").filter("form = '10-K'")
+    item = F.lower(F.split("item_heading", ":")[0])
+    items = c.filter("item_heading IS NOT NULL").groupBy(F.col("accession_no").alias("doc_id")).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    own = c.filter("item_heading IS NOT NULL").select(F.col("accession_no").alias("doc_id"), F.element_at(F.split("chunk_id", "#"), -1).cast("int").alias("table_no"), F.lower("item_heading").alias("text"))
+    rows = Window.partitionBy("doc_id").orderBy("table_no").rowsBetween(Window.unboundedPreceding, 0)
+    upto = own.withColumn("text", F.concat_ws(" | ", F.collect_list("text").over(rows)))
+    return chunking.contents_tables(upto, items).select("doc_id", F.col("table_no").cast("long").alias("table_no"))
+
+
+@query
+def accepted_tables(spark, d):
+    c = inputs.chunks(spark, d, "is_table", "parent_chunk").filter("parent_chunk IS NOT NULL")
+    return c.groupBy("is_table", chunking.accepted_table(F.col("parent_chunk"), 2).alias("accepted")).agg(F.count("*").alias("n"))
+
+
 def _contents(spark, d, form):
     c = inputs.chunks(spark, d, "accession_no", "form", "item_heading", "part_heading").filter((F.col("form") == form) & F.col("item_heading").isNotNull())
     return c.select(F.col("accession_no").alias("doc_id"), "part_heading", F.split("item_heading", ":")[0].alias("item"), F.trim(F.split("item_heading", ":")[1]).alias("heading")).distinct()
@@ -528,6 +670,22 @@ def context_reuse_strict(spark, d):
     return memory.reusable(inputs.turns(spark, d, "conversation_id", "turn_id", "parsed_metadata", "embedding")).select("id", "reuse_id")
 
 
+@query
+def context_reuse_again(spark, d):
+    """With the production thresholds, every turn asked again at the end of its conversation."""
+    t = inputs.turns(spark, d, "conversation_id", "turn_id", "parsed_metadata", "embedding")
+    again = t.select(F.concat("id", F.lit("+")).alias("id"), "conversation_id", (F.col("turn_id") + 1000).alias("turn_id"), "parsed_metadata", "embedding")
+    return memory.reusable(t.select(*again.columns).unionByName(again)).select("id", "reuse_id", F.round("sim", 6).alias("sim"))
+
+
+@query
+def conversation_scan(spark, d):
+    """The first conversation with its empty fields filled."""
+    t = inputs.turns(spark, d, "conversation_id", "turn_id", "modif_query", "sec_context", "trans_context", "embedding", "embedding_trans")
+    first = t.filter("modif_query IS NOT NULL").agg(F.min("conversation_id").alias("c")).first().c
+    return memory.conversation(t, first).select("id", "turn_id", "modif_query", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("sec_context", "trans_context", "embedding", "embedding_trans")])
+
+
 @query
 def safety_gate(spark, d):
     t = inputs.turns(spark, d, "modif_query", "llm_response_sec")

@@ -14,6 +14,13 @@ from quarrylens.operators import audit, context, graph, memory, queryplan, searc
 
 CALL_HITS, CALL_CANDIDATES = 5, 150
 TYPES = ("SIMPLE", "BROAD", "COMPARISON", "CHANGE_DETECTION")
+# how an answer of each type begins; the companies are put in
+LEADS = {
+    "SIMPLE": "",
+    "BROAD": "Overview of {0}, question by question:\n\n",
+    "COMPARISON": "Compared, company by company: {0}\n\n",
+    "CHANGE_DETECTION": "From the first period to the last, {0}:\n\n",
+}
 
 
 @dataclass
@@ -28,6 +35,9 @@ class Tables:
     transcripts: DataFrame | None = None  # graph.transcript_hierarchy(), with embedding where embed is given
     turns: DataFrame | None = None  # earlier turns, with the columns of conversation_turns
     write: Callable[[str, str, int], str] | None = None  # (question, evidence, failed tries) -> answer; the evidence itself unless given
+    parse: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # (questions, companies) -> parsed rows; queryplan.parsed unless given
+    judge: Callable[[str, str, str], tuple[float, float]] | None = None  # (question, answer, evidence) -> faithfulness, relevancy; by words unless given
+    memory_path: str | None = None  # where finished turns of a conversation are appended
 
 
 @dataclass
@@ -66,11 +76,10 @@ def hits_of(t: Tables, jobs: list, query_type: str, question: str, k: int = 10)
     parts = []
     for j in jobs:  # at most five by the validation of sub-queries
         cond = graph.matches(names.get(j.ticker), list(j.periods), list(j.forms), list(j.headings))
-        pool = t.hierarchy.filter(cond)
         if t.embed is not None:
-            near = search.top_k(pool, t.embed(question), k, "child_id")
+            near = search.filtered_top_k(t.hierarchy, t.embed(question), k, cond, "post", k * search.CANDIDATES_PER_HIT, "child_id")
         else:
-            near = pool.withColumn("score", search.lexical_score(F.lit(j.q), F.col("child_text"))).orderBy(F.desc("score"), "child_id").limit(k)
+            near = t.hierarchy.filter(cond).withColumn("score", search.lexical_score(F.lit(j.q), F.col("child_text"))).orderBy(F.desc("score"), "child_id").limit(k)
         near = search.keep_first(near.withColumn("id", F.col("child_id")), "id", [F.desc("score")])
         parts.append(search.rerank(near.withColumn("q", F.lit(j.q)), budget).withColumn("job_no", F.lit(j.job_no)))
     out = parts[0]
@@ -169,7 +178,8 @@ def answer(t: Tables, question: str, k: int = 10, conversation_id: str | None =
     """
     spark = t.companies.sparkSession
     turn = Turn(question, question, messages=[question])
-    parse = lambda x: queryplan.parsed(spark.createDataFrame([(1, x)], "q_id int, q string"), t.companies)
+    parser = t.parse or queryplan.parsed
+    parse = lambda x: parser(spark.createDataFrame([(1, x)], "q_id int, q string"), t.companies)
     if spark.range(1).select(audit.input_fails(F.lit(question)).alias("x")).first().x:
         return _said(spark, turn, "query_harmful")
     p = parse(question)
@@ -203,16 +213,33 @@ def answer(t: Tables, question: str, k: int = 10, conversation_id: str | None =
         turn.n_calls, call, _ = _evidence(calls_of(t, jobs, turn.query_type, turn.asked), context.transcript_block())
     while True:
         body = sec if t.write is None else t.write(turn.asked, sec, turn.analysis_retries)
-        route = _audit(spark, turn, body, texts)
+        route = _audit(spark, turn, body, texts, t.judge)
         if route != "retry":
             break
-    return _said(spark, turn, "response_harmful" if route == "fail" else route, body, call)
+    done = _said(spark, turn, "response_harmful" if route == "fail" else route, LEADS[turn.query_type].format(", ".join(turn.tickers)) + body, call)
+    if t.memory_path is not None and conversation_id is not None and done.route in ("accept", "exhausted"):
+        _remember(t, done, p, before, conversation_id)
+    return done
 
 
-def _audit(spark, turn: Turn, body: str, texts: str) -> str:
+def _remember(t: Tables, turn: Turn, p: DataFrame, before: DataFrame | None, conversation_id: str) -> None:
+    """Appends the finished turn to the memory, numbered after the last one there."""
+    last = before.agg(F.max("turn_id").alias("n")).first().n if before is not None else None
+    n = 0 if last is None else last + 1
+    row = p.select(
+        F.lit(f"{conversation_id}_{n}").alias("id"), F.lit(conversation_id).alias("conversation_id"), F.lit(n).cast("int").alias("turn_id"), F.lit(turn.asked).alias("modif_query"), F.lit(turn.answer).alias("llm_response_sec"),
+        F.lit(turn.query_type).alias("query_type"), F.struct(F.transform("tickers", lambda x: F.struct(x.alias("ticker"))).alias("companies"), "years", "quarters", "filing_type_hint", "section_hints").alias("parsed_metadata"), F.current_timestamp().alias("asked_at"),
+    )
+    row.write.mode("append").parquet(t.memory_path)
+
+
+def _audit(spark, turn: Turn, body: str, texts: str, judge=None) -> str:
     """The route after one analysis; its scores and failures are noted in the turn."""
     a = spark.createDataFrame([(turn.asked, body, texts)], "q string, a string, texts string")
     a = a.select(audit.output_fails(F.col("a")).alias("bad"), audit.faithfulness(F.col("a"), F.col("texts")).alias("f"), audit.relevancy(F.col("q"), F.col("a")).alias("r"))
+    if judge is not None:
+        faith, relevant = judge(turn.asked, body, texts)
+        a = a.withColumns({"f": F.lit(float(faith)), "r": F.lit(float(relevant))})
     a = a.withColumn("ok", audit.passes(F.col("f"), F.col("r"))).withColumn("tries", turn.analysis_retries + F.when(F.col("bad") | F.col("ok"), 0).otherwise(1))
     got = a.withColumn("route", audit.after_audit(F.col("bad"), F.col("ok"), F.col("tries"))).first()
     turn.analysis_retries = got.tries

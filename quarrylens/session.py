@@ -99,15 +99,21 @@ def drop_staged(path: str | None = None) -> None:
 atexit.register(drop_staged)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/ql-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs a re-read, not a re-run.
 
     The table is deleted when the process ends, or by drop_staged(df.staged_path).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ql-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -43,9 +43,9 @@ def read_filing_csvs(spark: SparkSession, glob: str, ticker_pattern: str = r"([^
     return df if min_year is None else df.filter(F.year("filing_date") > min_year)
 
 
-def read_sec_json(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk files (arrays of records) in the shape of the sec_chunks table."""
-    j = spark.read.schema(SEC_JSON).option("multiLine", True).json(path)
+def read_sec_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Chunk files (arrays of records, or a record a line) in the shape of the sec_chunks table."""
+    j = spark.read.schema(SEC_JSON).option("multiLine", not lines).json(path)
     m = "Metadata."
     return j.select(
         F.col("ID").alias("chunk_id"), F.col(m + "accession_no").alias("accession_no"), F.col(m + "company").alias("company"), F.col(m + "form").alias("form"), F.col(m + "filing_date").alias("filing_date"),

@@ -3,13 +3,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quarrylens.operators import audit, graph
-from quarrylens.plans import catalogue, inputs, oracle, pipeline
+from quarrylens.plans import catalogue, inputs, oracle, pipeline, round_trips
 from quarrylens.sources.readers import read_table
 from quarrylens.streaming import turns
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracle.ORACLE) <= set(catalogue.QUERIES)
+    assert set(oracle.ORACLE) <= set(catalogue.QUERIES) | set(round_trips.QUERIES)
 
 
 def test_entry_runs(spark, data):
@@ -89,7 +89,7 @@ def test_gate_retries_and_commentary(spark):
     t.write = lambda q, sec, failed: tried.append(failed) or (q if failed == 2 else "nothing to the point")
     a = pipeline.answer(t, q)
     assert tried == [0, 1, 2] and (a.route, a.analysis_retries, a.n_hits, a.n_calls) == ("accept", 2, 2, 5) and a.relevant == 1.0
-    assert a.answer.count("## Management Commentary (Earnings Calls)") == 1 and "Other Inc" not in a.answer
+    assert a.answer.count("## From the calls") == 1 and "Other Inc" not in a.answer
     t.write = lambda q, sec, failed: "nothing to the point"
     a = pipeline.answer(t, q)
     assert (a.route, a.analysis_retries) == ("exhausted", 3) and "nothing to the point" in a.answer

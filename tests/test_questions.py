@@ -83,7 +83,7 @@ def test_gates(spark):
     assert [pick(audit.after_research(F.lit(a), F.lit(b))) for a, b in ((True, 3), (False, 2), (False, 3))] == ["exit", "retry", "fail"]
     say = lambda *x: pick(audit.final_text(*[F.lit(v) for v in x]))
     assert say(True, False, True, 1, False, "a", "") == audit.TEXTS["query_harmful"] and say(False, False, False, 0, True, "a", "") == audit.TEXTS["no_company"]
-    assert say(False, False, False, 1, False, "a", "b") == "## SEC Filing Analysis\n\na\n\n---\n\n## Management Commentary (Earnings Calls)\n\nb" and say(False, False, False, 1, False, "", "") is None
+    assert say(False, False, False, 1, False, "a", "b") == "## From the filings\n\na\n\n---\n\n## From the calls\n\nb" and say(False, False, False, 1, False, "", "") is None
     assert pick(audit.output_fails(F.lit("You should definitely buy this stock"))) and not pick(audit.output_fails(F.lit("this is not financial advice")))
 
 

@@ -38,19 +38,34 @@ def test_min_metrics_and_scale(spark):
 
 def test_peers(spark):
     peers = spark.createDataFrame([("p", "Quick Ratio", float(v)) for v in (1, 2, 2, 3, 10)], "period string, metric string, value double")
-    for value, pct, mm, cdf in ((2.0, 40.0, 11.06, 31.19), (10.0, 80.0, 96.89, None), (0.0, 20.0, 0.46, None), (3.0, 70.0, 22.58, 42.7)):
+    for value, pct, mm, cdf in ((2.0, 40.0, 11.11, 31.19), (10.0, 80.0, 96.89, None), (0.0, 20.0, 0.44, None), (3.0, 70.0, 22.22, 42.7)):
         one = spark.createDataFrame([("A", "p", "Quick Ratio", value)], LONG)
         wide = one.unionByName(spark.createDataFrame([("A", "p", "Gross Margin", 0.4)], LONG))
         get = lambda m: {r.category: r.score for r in scoring.scores_with_peers(wide, peers, m).collect()}
-        assert abs(get("percentile")["Liquidity"] - {2.0: 40.0, 10.0: 90.0, 0.0: 10.0, 3.0: 70.0}[value]) < 11  # winsorised peers share the bounds
-        x = min(max(value, 1.04), 9.72)
-        ps = [1.04, 2, 2, 3, 9.72]
-        assert get("percentile")["Liquidity"] == round(100 * (sum(p < x for p in ps) + 0.5 * sum(p == x for p in ps)) / 5, 2)
-        assert get("minmax")["Liquidity"] == round(100 * (x - 1.04) / (9.72 - 1.04), 2)
-        mu = sum(ps) / 5
-        sd = math.sqrt(sum((p - mu) ** 2 for p in ps) / 5)
-        assert abs(get("zscore")["Liquidity"] - 50 * (1 + math.erf((x - mu) / sd / math.sqrt(2)))) < 0.01
-        assert get("minmax")["Profitability"] == 40.0  # no peers: the adjusted value itself
+        assert get("percentile") == {"Liquidity": pct, "Profitability": 40.0}  # without peers: the adjusted value itself
+        assert get("minmax") == {"Liquidity": mm, "Profitability": 40.0}
+        z = get("zscore")
+        assert cdf is None or z["Liquidity"] == cdf
+        assert z["Profitability"] == round(50 * (1 + math.erf(0.4 / math.sqrt(2))), 2)
+
+
+def test_no_peer_at_all_falls_back_to_the_category(spark):
+    peers = spark.createDataFrame([("other", "Quick Ratio", 1.0)], "period string, metric string, value double")
+    df = spark.createDataFrame([("A", "p", "Current Ratio", 1.0), ("A", "p", "Quick Ratio", 0.5), ("A", "p", "Gross Margin", 0.3), ("B", "other", "Quick Ratio", 1.0), ("B", "other", "Gross Margin", 0.3)], LONG)
+    got = {(r.company, r.category): r.score for r in scoring.scores_with_peers(df, peers).collect()}
+    assert got == {("A", "Liquidity"): 50.0, ("A", "Profitability"): 50.0, ("B", "Liquidity"): 50.0, ("B", "Profitability"): 30.0}
+    assert scoring.scores_with_peers(df.filter("false"), peers).count() == 0
+
+
+def test_rank_probability_and_last_category(spark):
+    df = spark.createDataFrame([("A", "p", m, v) for m, v in (("Current Ratio", 3.0), ("Quick Ratio", 1.0), ("Cash Ratio", 2.0), ("Gross Margin", 0.3))], LONG)
+    none = spark.createDataFrame([], "period string, metric string, value double")
+    got = {r.category: r.score for r in scoring.scores_with_peers(df, none, "zscore", probability="rank").collect()}
+    assert got == {"Liquidity": 50.0, "Profitability": 50.0}
+    twice = spark.createDataFrame([("one", 1, "Gross Margin"), ("one", 1, "Current Ratio"), ("two", 2, "Current Ratio"), ("two", 2, "Quick Ratio"), ("two", 2, "Return on Equity")], "category string, cat_ord int, metric string")
+    rows = spark.createDataFrame([("A", "p", "Gross Margin", 0.0), ("A", "p", "Current Ratio", 0.5), ("A", "p", "Quick Ratio", 0.0), ("A", "p", "Return on Equity", 1.0)], LONG)
+    got = {r.category: r.score for r in scoring.scores_without_peers(rows, groups=twice).collect()}
+    assert got == {"one": 25.0, "two": 50.0}  # the second category's 0.5 counts in both
 
 
 def test_unknown_method(spark):
