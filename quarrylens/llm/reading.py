@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.llm.shingles import distinct
+
 MAX_LABELLED = 4000  # texts that the models are fitted on, at most; taken by hashed id
 MAX_CHARS = 64_000_000  # and of so many characters together
 MIN_WORDS = 40
-SENTENCE_SHARE, SHARPNESS = 0.55, 30.0  # weights of the two readings, by accuracy on held-out labels
+LANGUAGE_DOCS = 500  # documents of each language that the language model is fitted on, at most; taken by hashed id
+SHARES, SHARPNESSES = np.linspace(0, 1, 11), (5.0, 10.0, 20.0, 30.0, 45.0, 70.0)  # weights of the two readings, tried on unseen labels
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[.!?;\n|]")
 _END = {".", "!", "?", "\n", "|"}
 _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’\-][^\W\d_]+)*(?!\w)")  # whole words, no letters inside codes
@@ -54,6 +57,45 @@ def is_english(text: str) -> bool:
     return v[0] > max(v[1:])
 
 
+GRAM_BITS = 18
+_PLAIN = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
+
+
+def grams(text: str) -> np.ndarray:
+    """Hashed distinct runs of three bytes of the lower-cased text, with a blank for all that is no letter."""
+    b = _PLAIN[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)].astype(np.uint32)
+    if len(b) < 3:
+        return np.zeros(0, np.int64)
+    g = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    h = ((g * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS))[(b[:-2] != 32) | (b[1:-1] != 32)].astype(np.int64)
+    return distinct(h)
+
+
+def train_languages(texts: list[str], langs: list[str]) -> np.ndarray | None:
+    """Log probabilities of letter runs, a column for each of LANGS: a naive Bayes model, fitted twice, the second time without the
+    texts that the first fit puts elsewhere than their label. None where English or all other languages lack texts."""
+    own = [(grams(t), LANGS.index(y)) for t, y in zip(texts, langs) if y in LANGS]
+    table = None
+    for _ in range(2):
+        counts = np.zeros((1 << GRAM_BITS, len(LANGS)))
+        for g, y in own:
+            if table is None or not len(g) or table[g].sum(0).argmax() == y:
+                counts[:, y] += np.bincount(g, minlength=1 << GRAM_BITS)
+        if not counts[:, 0].any() or not counts[:, 1:].any():
+            return None
+        table = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(counts))).astype(np.float32)
+        table[:, counts.sum(0) == 0] = -1e3
+    return table
+
+
+def written_in_english(text: str, languages: np.ndarray | None) -> bool:
+    """By the trained model; by function words where there is none."""
+    if languages is None:
+        return is_english(text)
+    g = grams(text)
+    return bool(len(g)) and int(languages[g].sum(0).argmax()) == 0
+
+
 @dataclass
 class Model:
     """Log probabilities of all levels side by side: a row for each seen trigram, bigram and word."""
@@ -66,6 +108,8 @@ class Model:
     uni_p: np.ndarray
     knots: np.ndarray | None = None
     values: np.ndarray | None = None
+    share: float = 0.5
+    sharpness: float = 20.0
 
     UNK, NUM, END = 0, 1, 2
 
@@ -165,15 +209,29 @@ def train(texts: list[str], levels: list[int], scale: tuple[int, ...] = (1, 2, 3
     half = [order[::2], order[1::2]]
     lam = weights(half[0], half[1])
     raw, y = [], []
-    for a, b in (half, half[::-1]):  # scores of unseen texts
-        part = build(a, lam)
-        raw.append(scores(part, [texts[i] for i in b], scale))
+    for a, b in (half, half[::-1]):  # readings of unseen texts
+        raw.append(readings(build(a, lam), [texts[i] for i in b], scale))
         y.append(lv[b])
+    by_sentence, mean, known = (np.concatenate(x) for x in zip(*raw))
+    y = np.concatenate(y).astype(float)
     model = build(order, lam)
-    model.knots, model.values = isotonic(np.concatenate(raw), np.concatenate(y).astype(float))
+    best = None
+    for share in SHARES:
+        for sharpness in SHARPNESSES:
+            model.share, model.sharpness = float(share), sharpness
+            x = blend(model, by_sentence, mean, known, scale)
+            knots, values = isotonic(x, y)
+            wrong = np.abs(np.floor(_step(knots, values, x) + 0.5) - y).mean()
+            if best is None or wrong < best[0] - 1e-9:
+                best = (wrong, model.share, sharpness, knots, values)
+    _, model.share, model.sharpness, model.knots, model.values = best
     return model
 
 
+def _step(knots: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return values[np.clip(np.searchsorted(knots, x, "right") - 1, 0, None)]
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators under absolute error: a non-decreasing step function by block medians, which a few wrong grades do
     not move. Returns the blocks' first x and values."""
@@ -215,15 +273,14 @@ def surprisals(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     return s, doc, np.cumsum(starts) - 1
 
 
-def scores(model: Model, texts: list[str], scale: tuple[int, ...]) -> np.ndarray:
-    """Expected level of each text, from two readings of its surprisal. By sentence: each of four tokens or more is divided among
-    the levels by its surprisal under their models, and counts by its tokens. By document: the same with the mean surprisal of
-    all its tokens, which weighs how levels are mixed in it.
-    A text without tokens scores 0."""
+def readings(model: Model, texts: list[str], scale: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two readings of each text's surprisal, and whether it has tokens. By sentence: each of four tokens or more is divided among
+    the levels by its surprisal under their models, and counts by its tokens. By document: the mean surprisal of all its tokens
+    under each model, which weighs how levels are mixed in it."""
     s, doc, sent = surprisals(model, texts)
+    levels, known = np.array(scale, float), np.bincount(doc, minlength=len(texts)) > 0
     if not len(s):
-        return np.zeros(len(texts))
-    levels = np.array(scale, float)
+        return np.zeros(len(texts)), np.zeros((len(texts), len(levels))), known
     first = np.flatnonzero(np.concatenate([[True], sent[1:] != sent[:-1]]))
     n = np.diff(np.concatenate([first, [len(s)]]))
     of, use = doc[first], np.where(n >= 4, n, 0).astype(float)
@@ -231,8 +288,17 @@ def scores(model: Model, texts: list[str], scale: tuple[int, ...]) -> np.ndarray
     by_sentence = np.bincount(of, use * by_sentence, len(texts)) / np.maximum(np.bincount(of, use, len(texts)), 1e-9)
     tokens = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
     mean = np.stack([np.bincount(doc, s[:, i], len(texts)) for i in range(s.shape[1])], 1) / tokens[:, None]
-    score = SENTENCE_SHARE * by_sentence + (1 - SENTENCE_SHARE) * _expected(SHARPNESS * mean, levels)
-    return np.where(np.bincount(doc, minlength=len(texts)) > 0, score, 0.0)
+    return by_sentence, mean, known
+
+
+def blend(model: Model, by_sentence: np.ndarray, mean: np.ndarray, known: np.ndarray, scale: tuple[int, ...]) -> np.ndarray:
+    """Expected level of each text from its two readings, with the model's weights; 0 for a text without tokens."""
+    score = model.share * by_sentence + (1 - model.share) * _expected(model.sharpness * mean, np.array(scale, float))
+    return np.where(known, score, 0.0)
+
+
+def scores(model: Model, texts: list[str], scale: tuple[int, ...]) -> np.ndarray:
+    return blend(model, *readings(model, texts, scale), scale)
 
 
 def _expected(surprisal: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -241,7 +307,7 @@ def _expected(surprisal: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def graded(model: Model, score: np.ndarray) -> np.ndarray:
-    return np.floor(model.values[np.clip(np.searchsorted(model.knots, score, "right") - 1, 0, None)] + 0.5).astype(np.int32)
+    return np.floor(_step(model.knots, model.values, score) + 0.5).astype(np.int32)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int = MAX_CHARS) -> list:
@@ -256,28 +322,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return own.withColumn("size", size).filter(F.col("size") <= most_chars).select("i", "t", F.floor(F.col("y") + 0.5).cast("int").alias("y")).collect()
 
 
+def language_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = LANGUAGE_DOCS) -> np.ndarray | None:
+    """train_languages() on at most `most` documents of each language, by hashed id. What the documents say of their language is
+    only believed where most of them agree."""
+    if lang_col not in docs.columns:
+        return None
+    said = docs.select(F.col(id_col).alias("i"), F.lower(F.trim(lang_col)).alias("l")).filter(F.col("i").isNotNull() & F.col("l").isin(*LANGS)).groupBy("i").agg(F.min("l").alias("l"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
+    few = said.withColumn("r", rank).filter(F.col("r") <= most).select("i", "l")  # bounded, so it may be broadcast
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
+    own = texts.join(F.broadcast(few), "i").groupBy("i").agg(F.max("t").alias("t"), F.first("l").alias("l")).collect()
+    own.sort(key=lambda r: str(r.i))
+    return train_languages([r.t for r in own], [r.l for r in own])
+
+
 def reading_levels(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "reading_level", max_labelled: int = MAX_LABELLED, min_words: int = MIN_WORDS, scale: tuple[int, ...] = (1, 2, 3, 4, 5)
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "reading_level", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, min_words: int = MIN_WORDS, scale: tuple[int, ...] = (1, 2, 3, 4, 5)
 ) -> DataFrame:
-    """id, reading_level, score of each document written in English, by its own words, with at least min_words words.
+    """id, reading_level, score of each document written in English, by its own letters, with at least min_words words.
 
-    The models are fitted on at most max_labelled labelled texts of MAX_CHARS characters; everything else reads all documents and whole texts. Labelled
+    English is told by a model of letter runs, fitted on at most LANGUAGE_DOCS documents of each language. The models are fitted on at most max_labelled labelled texts of MAX_CHARS characters; everything else reads all documents and whole texts. Labelled
     documents are graded like any other. Rows with a null id or text are left out; a repeated id counts once, with its highest
     level. Without any label every document gets a null level.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).filter("doc_id IS NOT NULL AND t IS NOT NULL")
-    fit_on = sorted((str(r.i), r.y, r.t) for r in labelled_sample(docs, labels, id_col, text_col, label_col, max_labelled) if r.y in scale and is_english(r.t))
+    languages = language_model(docs, id_col, text_col, lang_col)
+    fit_on = sorted((str(r.i), r.y, r.t) for r in labelled_sample(docs, labels, id_col, text_col, label_col, max_labelled) if r.y in scale and written_in_english(r.t, languages))
     model = train([t for *_, t in fit_on], [y for _, y, _ in fit_on], scale) if fit_on else None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, told = shared.value
         for whole in batches:
             for at in range(0, len(whole), 2000):  # so many texts at once bound the memory for their tokens
                 b = whole.slice(at, 2000)
                 texts = b.column(1).to_pylist()
-                keep = [i for i, t in enumerate(texts) if enough_english(t, min_words)]
+                keep = [i for i, t in enumerate(texts) if enough_english(t, min_words, told)]
                 if not keep:
                     continue
                 if m is None:
@@ -291,11 +372,14 @@ def reading_levels(
     return found.groupBy("doc_id").agg(F.max(F.struct("reading_level", "score")).alias("r")).select("doc_id", "r.*")
 
 
-def enough_english(text: str, min_words: int) -> bool:
+def enough_english(text: str, min_words: int, languages: np.ndarray | None = None) -> bool:
     if len(text) < 2 * min_words - 1:
         return False
-    words = _WORD.findall(text.lower())
-    if len(words) < min_words and sum(any(c.isalpha() for c in w) for w in text.split()) < min_words:
+    words = 0
+    for _ in _WORD.finditer(text.lower()):
+        words += 1
+        if words == min_words:
+            break
+    if words < min_words and sum(any(c.isalpha() for c in w) for w in text.split()) < min_words:
         return False
-    v = language_votes(Counter(words))
-    return v[0] > max(v[1:])
+    return written_in_english(text, languages)

@@ -74,3 +74,22 @@ def test_labelled_texts_count_once_however_often_they_stand(spark):
     got = r.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 5)
     assert len(got) == 5 and len({x.i for x in got}) == 5 and all(x.t == f"text {x.i} of it" and x.y == 1 + x.i % 5 for x in got)
     assert len(r.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 5, most_chars=30)) == 2
+
+
+def test_languages_by_letter_runs_though_some_labels_are_wrong(labelled):
+    other = {"de": "Der Umsatz ist im Vergleich zum Vorjahr nicht gestiegen, weil die Kosten für Energie höher waren.", "fr": "La société a publié ses résultats et la marge brute est restée stable pendant le trimestre.", "es": "La empresa publicó sus resultados y el margen bruto se mantuvo estable durante el trimestre."}
+    texts = [(t, "en") for _, t, _ in labelled[:60]] + [(x + " " + x[: 20 + i], la) for la, x in other.items() for i in range(30)]
+    wrong = [(other["de"] + " Mehr dazu.", "en"), (labelled[0][1], "fr")]
+    table = r.train_languages(*zip(*(texts + wrong)))
+    assert all(r.written_in_english(t, table) == (la == "en") for t, la in texts)
+    assert r.written_in_english(labelled[100][1] + " " + "zq" * 5000, table)  # a long run counts as one
+    assert not r.written_in_english("", table) and not r.written_in_english("毛利率下降了", table)
+    assert r.train_languages(["only english here"], ["en"]) is None and r.written_in_english(labelled[0][1], None)
+
+
+def test_language_model_reads_what_documents_say_of_themselves(spark, labelled):
+    rows = [(i, t, " EN " if i % 2 else "en") for i, t, _ in labelled[:40]] + [(1000 + i, f"Der Umsatz ist im Jahr {i} nicht gestiegen.", "de") for i in range(40)] + [(1, None, "en"), (None, "x", "en"), (2, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = r.language_model(df, "doc_id", "text", "lang", most=10)
+    assert r.written_in_english("The shop sold some tools.", table) and not r.written_in_english("Die Kosten sind nicht gestiegen.", table)
+    assert r.language_model(df, "doc_id", "text", "no_such_column") is None and r.language_model(df.filter("false"), "doc_id", "text", "lang") is None
