@@ -16,9 +16,9 @@ from quarrylens.plans import pipeline
 class Service:
     """tables: long tables "stocks", "ratios" and "metrics" with a timeframe column, and, for questions, pipeline.Tables."""
 
-    def __init__(self, stocks: DataFrame, ratios: DataFrame, metrics: DataFrame, filings: pipeline.Tables | None = None, workers: int = 4):
+    def __init__(self, stocks: DataFrame, ratios: DataFrame, metrics: DataFrame, filings: pipeline.Tables | None = None, workers: int = 4, keep: int = 1000):
         self.stocks, self.ratios_, self.metrics, self.filings = stocks, ratios, metrics, filings
-        self._pool, self._tasks = ThreadPoolExecutor(workers), {}
+        self._pool, self._tasks, self._keep = ThreadPoolExecutor(workers), {}, keep
 
     def charts(self, company: str, variables: list[str], timeframe: str = "quarterly") -> list[dict]:
         return _records(timeseries.chart(_at(self.stocks, timeframe), company, variables))
@@ -43,7 +43,11 @@ class Service:
         return {"final_response": t.answer, "route": t.route, "n_hits": t.n_hits}
 
     def submit(self, name: str, *args: Any, **kwargs: Any) -> str:
+        """The id to poll. Beyond `keep` tasks the oldest finished ones are forgotten."""
         task = uuid.uuid4().hex
+        done = [k for k, f in self._tasks.items() if f.done()]
+        for old in done[: max(0, len(self._tasks) + 1 - self._keep)]:
+            del self._tasks[old]
         self._tasks[task] = self._pool.submit(getattr(self, name), *args, **kwargs)
         return task
 

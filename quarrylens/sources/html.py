@@ -21,6 +21,7 @@ class _Blocks(HTMLParser):
         self._text: list[str] = []
         self._tables = self._silent = self._bold = self._plain = 0
         self._header = False
+        self._in_bold = 0  # open bold tags, whatever stands inside them
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split()) if not self._tables else ""
@@ -43,7 +44,8 @@ class _Blocks(HTMLParser):
         elif tag in _BLOCKS:
             self._flush()
             self._header = tag in _HEADERS
-        self._in_bold = tag in ("b", "strong")
+        elif tag in ("b", "strong"):
+            self._in_bold += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
@@ -57,14 +59,15 @@ class _Blocks(HTMLParser):
                     self.out.append(("table", False, "\n".join(r for r in rows if r)))
         elif tag in _BLOCKS and not self._tables:
             self._flush()
-            self._header = False
-        self._in_bold = False
+            self._header, self._in_bold = False, 0  # a bold tag that was left open ends with its block
+        elif tag in ("b", "strong"):
+            self._in_bold = max(0, self._in_bold - 1)
 
     def handle_data(self, data: str) -> None:
         if self._silent:
             return
         if data.strip():
-            if getattr(self, "_in_bold", False):
+            if self._in_bold:
                 self._bold += 1
             else:
                 self._plain += 1

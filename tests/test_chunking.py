@@ -78,6 +78,7 @@ def test_html(spark):
     page = "<html><head><title>no</title></head><h2>Item&nbsp;1</h2><p>Some <b>bold</b> text<p><b>All bold</b></p><table><tr><td>a</td><td>b</td></tr><tr><td>1</td></tr></table><script>x</script>tail"
     assert html.blocks(page) == [("text", True, "Item 1"), ("text", False, "Some bold text"), ("text", True, "All bold"), ("table", False, "a | b\n1"), ("text", False, "tail")]
     assert html.blocks(None) == [] and html.blocks("<p>open <table><tr><td>x")[0] == ("text", False, "open")
+    assert html.blocks("<p><b><span>Heading</span></b></p><p><b>open</p><p>text</p>") == [("text", True, "Heading"), ("text", True, "open"), ("text", False, "text")]
     df = spark.createDataFrame([("d", page), ("e", None), (None, page)], "doc_id string, html string")
     assert html.html_elements(df).count() == 5
 
@@ -95,3 +96,26 @@ def test_readers(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out").count() == 2
     readers.write_graph({"n": spark.range(1)}, f"file://{tmp_path}/g")
     assert spark.read.parquet(f"file://{tmp_path}/g/n").count() == 1
+
+
+def test_parts_of_a_10q_switch_items(spark):
+    toc = spark.createDataFrame([("q", "Part I", "Item 1", "Item 1: Financial Statements"), ("q", "Part I", "Item 2", "Item 2: Overview"), ("q", "Part II", "Item 1A", "Item 1A: Risk Factors")], "doc_id string, part string, item string, heading string")
+    rows = [("q", "10-Q", "Part I", None, i, "text", *e) for i, e in enumerate([(True, "Financial Statements"), (False, T1), (True, "ITEM 2. Overview"), (False, T4)])]
+    rows += [("q", "10-Q", "Part II", None, 10 + i, "text", *e) for i, e in enumerate([(False, T4), (True, "Risk Factors"), (False, T1)])]
+    rows += [("k", "10-K", None, None, 0, "text", False, T1)]
+    df = spark.createDataFrame(rows, "doc_id string, form string, part string, item string, seq int, kind string, is_header boolean, text string")
+    got = [(r.doc_id, r.part, r.item, r.parent_chunk) for r in chunking.chunk_filings(df, item_headings=toc).orderBy("doc_id", "n").collect()]
+    assert got == [("k", None, "Not Found", T1), ("q", "Part I", "Item 1: Financial Statements", T1), ("q", "Part I", "Item 2: Overview", T4), ("q", "Part II", None, T4), ("q", "Part II", "Item 1A: Risk Factors", T1)]
+
+
+def test_sentence_windows(spark):
+    text = "One two three. Four five six. Seven eight. Nine " + "ten " * 12
+    df = spark.createDataFrame([(1, text), (2, None), (3, " "), (4, "a.")], "doc_id int, text string")
+    got = {}
+    for r in chunking.sentence_windows(df, "doc_id", "text", 8, 3).orderBy("id", "piece_no").collect():
+        got.setdefault(r.id, []).append(r.piece)
+        assert r.n_words == len(r.piece.split()) <= 8
+    assert got[4] == ["a."] and set(got) == {1, 4}
+    assert got[1][0] == "One two three. Four five six. Seven eight." and got[1][1].startswith("Nine ten")
+    assert chunking.packed_sentences(["a b c.", "d e.", "f g h."], 6, 2) == ["a b c. d e.", "d e. f g h."]
+    assert chunking.sentence_windows(df, "doc_id", "text", 8, 3, split=lambda t: [t]).count() >= 2

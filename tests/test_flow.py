@@ -165,6 +165,10 @@ def test_service(spark):
     assert s.risk_matrix("A", "Q1_2024")["Profitability"] == 50.0
     with pytest.raises(ValueError):
         s.question("A", "2024", "x")
+    few = Service(stocks, ratios, ratios, keep=2)
+    for _ in range(4):
+        few._tasks[few.submit("performance", "A", "2024", "yearly")].result()
+    assert len(few._tasks) == 2
     good, bad = s.submit("charts", "A", ["Close"]), s.submit("ratios", "Nobody")
     for _ in range(300):
         if all(s.status(t)["status"] != "processing" for t in (good, bad)):
@@ -194,3 +198,25 @@ def test_completed_question(spark):
     df = spark.createDataFrame([("and margins?", [], [], "HAL", "Q1_2008"), ("margins at FEN in 2009", ["FEN"], [2009], "HAL", "Q1_2008"), (None, [], [], "HAL", None), ("x", [], [], None, None)], "q string, t array<string>, y array<int>, bt string, bp string")
     got = [r[0] for r in df.select(completed_question(*[F.col(c) for c in ("q", "t", "y", "bt", "bp")])).collect()]
     assert got == ["and margins? for HAL in Q1_2008", "margins at FEN in 2009", None, "x"]
+
+
+def test_hooks_and_memory(spark, tmp_path):
+    from quarrylens.operators import queryplan
+
+    t = _walk_tables(spark, 1, 2)
+    asked = []
+    t.parse = lambda rows, companies: asked.append(1) or queryplan.parsed(rows, companies)
+    t.judge = lambda question, answer, evidence: (0.9, 0.2 if len(asked) == 1 else 0.8)
+    t.memory_path = f"file://{tmp_path}/turns"
+    q = "What were the risk factors of Acme in Q1 2019?"
+    a = pipeline.answer(t, q, conversation_id="c")
+    assert (a.route, a.analysis_retries, a.faithful, a.relevant) == ("exhausted", 3, 0.9, 0.2)
+    a = pipeline.answer(t, q, conversation_id="c")
+    assert (a.route, a.relevant, len(asked)) == ("accept", 0.8, 2)
+    rows = spark.read.parquet(t.memory_path).collect()
+    assert len(rows) == 2 and {(r.conversation_id, r.turn_id, r.modif_query, r.query_type) for r in rows} == {("c", 0, q, "SIMPLE")} and rows[0].parsed_metadata.quarters == ["Q1"]
+
+
+def test_answers_begin_by_type(spark):
+    a = pipeline.answer(_walk_tables(spark, 2, 1), "How did the risk factors of Acme change from Q1 2019 to Q2 2019?")
+    assert a.query_type == "CHANGE_DETECTION" and "From the first period to the last, ACM:" in a.answer

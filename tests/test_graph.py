@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import context, graph
@@ -81,3 +82,11 @@ def test_context(spark):
     h = spark.createDataFrame([(1, 2, None, "Q1", "10-K", "h", "a1", None, " two "), (1, 1, "C", None, None, None, None, "{}", None)], "job int, n int, company string, period string, form string, heading string, accession string, sub_heading string, parent_text string")
     r = context.assemble(h, context.sec_block(), ["job"], "n").first()
     assert r.n_blocks == 2 and r.context.startswith("--- EVIDENCE ID: N/A ---\nCompany: C\nPeriod: N/A\n") and r.context.endswith("Content: two\n") and context.RULE in r.context
+
+
+def test_a_missing_embedding_is_an_error(spark):
+    kids = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
+    vectors = spark.createDataFrame([("a", [1.0])], "id string, openai_embedding array<double>")
+    assert graph.with_embedding(kids.filter("chunk_id = 'a'"), vectors).first().embedding == [1.0]
+    with pytest.raises(Exception, match="no embedding for b"):
+        graph.with_embedding(kids, vectors).collect()

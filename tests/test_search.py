@@ -67,3 +67,27 @@ def test_cosine_nulls_and_hashed_embedding(spark):
     assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [1.0, None, None, None]
     e = spark.createDataFrame([("a word and a word",), ("",), (None,)], "t string").select(search.hashed_embedding(F.col("t"), 16).alias("e")).collect()
     assert abs(sum(x * x for x in e[0].e) - 1) < 1e-9 and e[1].e is None and e[2].e is None
+
+
+def test_rerank_without_groups_and_without_a_scorer(spark):
+    rows = [(i, "alpha beta", "alpha beta" if i == 3 else "alpha", 1.0 - i / 10) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, q string, parent_text string, score double")
+    assert [(r.id, r.rerank) for r in search.rerank(df, 2).orderBy("rerank").collect()] == [(3, 1), (0, 2)]
+
+    def broken(q, t):
+        raise RuntimeError("no model")
+
+    assert [(r.id, r.rerank_score) for r in search.rerank(df, 2, scorer=broken).orderBy("rerank").collect()] == [(0, None), (1, None)]
+
+
+def test_written_index_is_searched(spark, tmp_path):
+    v = spark.createDataFrame([(i, [1.0, i / 10.0]) for i in range(8)] + [(9, [0.0, 0.0]), (10, [1.0])], "id int, embedding array<double>")
+    path = f"file://{tmp_path}/index"
+    assert search.build_index(v, path, 2) and not search.build_index(v, path, 2)
+    assert [r.id for r in search.index_top_k(spark, path, [1.0, 0.0], 3).collect()] == [0, 1, 2]
+
+
+def test_hashed_embedding_has_norm_one(spark):
+    df = spark.createDataFrame([("a b a",), ("a b a",), ("",), (None,)], "t string")
+    got = [r.v for r in df.select(search.hashed_embedding(F.col("t"), 16).alias("v")).collect()]
+    assert got[0] == got[1] and abs(sum(x * x for x in got[0]) - 1) < 1e-12 and got[2] is None and got[3] is None
