@@ -220,11 +220,11 @@ def train(texts: list[str], levels: list[int], scale: tuple[int, ...] = (1, 2, 3
         for sharpness in SHARPNESSES:
             model.share, model.sharpness = float(share), sharpness
             x = blend(model, by_sentence, mean, known, scale)
-            knots, values = isotonic(x, y)
-            wrong = np.abs(np.floor(_step(knots, values, x) + 0.5) - y).mean()
+            wrong = np.abs(np.floor(_step(*isotonic(x, y, 60), x) + 0.5) - y).mean()
             if best is None or wrong < best[0] - 1e-9:
-                best = (wrong, model.share, sharpness, knots, values)
-    _, model.share, model.sharpness, model.knots, model.values = best
+                best = (wrong, model.share, sharpness)
+    _, model.share, model.sharpness = best
+    model.knots, model.values = isotonic(blend(model, by_sentence, mean, known, scale), y)
     return model
 
 
@@ -232,13 +232,13 @@ def _step(knots: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return values[np.clip(np.searchsorted(knots, x, "right") - 1, 0, None)]
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, most_blocks: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators under absolute error: a non-decreasing step function by block medians, which a few wrong grades do
     not move. Returns the blocks' first x and values."""
     o = np.argsort(x, kind="stable")
     x, y = x[o], y[o]
     blocks: list[list] = []  # first x, values
-    step = max(1, len(x) // 400)
+    step = max(1, len(x) // most_blocks)
     for i in range(0, len(x), step):
         blocks.append([x[i], list(y[i : i + step])])
         while len(blocks) > 1 and np.median(blocks[-2][1]) >= np.median(blocks[-1][1]):
@@ -318,12 +318,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
     # a row for each id, however often it is repeated: its greatest text
     own = texts.join(F.broadcast(few), "i").groupBy("i").agg(F.max("t").alias("t"), F.first("y").alias("y"))
+    return _within(own, most_chars).select("i", "t", F.floor(F.col("y") + 0.5).cast("int").alias("y")).collect()
+
+
+def _within(few: DataFrame, most_chars: int) -> DataFrame:
+    """Rows i, t of a bounded table in the order of their hashed ids, as long as their texts together keep to most_chars."""
     size = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("i"), "i").rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("size", size).filter(F.col("size") <= most_chars).select("i", "t", F.floor(F.col("y") + 0.5).cast("int").alias("y")).collect()
+    return few.withColumn("size", size).filter(F.col("size") <= most_chars)
 
 
 def language_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = LANGUAGE_DOCS) -> np.ndarray | None:
-    """train_languages() on at most `most` documents of each language, by hashed id. What the documents say of their language is
+    """train_languages() on at most `most` documents of each language and a quarter of MAX_CHARS, by hashed id. What the documents say of their language is
     only believed where most of them agree."""
     if lang_col not in docs.columns:
         return None
@@ -331,7 +336,7 @@ def language_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, m
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
     few = said.withColumn("r", rank).filter(F.col("r") <= most).select("i", "l")  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
-    own = texts.join(F.broadcast(few), "i").groupBy("i").agg(F.max("t").alias("t"), F.first("l").alias("l")).collect()
+    own = _within(texts.join(F.broadcast(few), "i").groupBy("i").agg(F.max("t").alias("t"), F.first("l").alias("l")), MAX_CHARS // 4).collect()
     own.sort(key=lambda r: str(r.i))
     return train_languages([r.t for r in own], [r.l for r in own])
 
