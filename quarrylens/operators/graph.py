@@ -176,14 +176,12 @@ def matches(company: str | None = None, periods_: list[str] | None = None, forms
 def change_walk(parents: DataFrame, chain: DataFrame, company: str, start: str, end: str, headings: list[str] | None = None) -> DataFrame:
     """Every parent of the filings on the chain from the period `start` to the period `end`, both of one form.
 
-    A chain is numbered, so the walk is a range of numbers: no recursion. Distinct rows company, period, seq, accession, form,
+    A chain is numbered, so the walk is a range of numbers: no recursion and no join of the chain with itself. Distinct rows company, period, seq, accession, form,
     heading, parent_id, parent_text, sub_heading. A start after the end gives none.
     """
-    own = chain.filter(F.col("company") == company)
-    a = own.filter(F.col("period") == start).select("form", F.col("seq").alias("s0"))
-    z = own.filter(F.col("period") == end).select("form", F.col("seq").alias("s1"))
-    span = a.join(z, "form")
-    path = own.join(span, "form").filter("seq BETWEEN s0 AND s1").select("accession", "seq").distinct()
+    form = Window.partitionBy("form")
+    s0, s1 = F.min(F.when(F.col("period") == start, F.col("seq"))).over(form), F.max(F.when(F.col("period") == end, F.col("seq"))).over(form)
+    path = chain.filter(F.col("company") == company).select("accession", "seq", s0.alias("s0"), s1.alias("s1")).filter("seq BETWEEN s0 AND s1").select("accession", "seq")
     rows = parents.filter((F.col("company") == company) & any_hint(F.col("heading"), headings or [])).join(path, "accession")
     return rows.select("company", "period", "seq", "accession", "form", "heading", "parent_id", "parent_text", "sub_heading").distinct()
 

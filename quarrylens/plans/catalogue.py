@@ -437,7 +437,10 @@ def dedupe_first_overall(spark, d):
 
 def _cited_texts(spark, d):
     """Each turn's cited chunks with their texts: a child, or a parent that was kept whole."""
-    p = _parents(spark, d)
+    ids = _cited(spark, d).filter("child_id IS NOT NULL")
+    only = ids.select(F.regexp_replace("child_id", "_[0-9]+$", "").alias("chunk_id")).union(ids.select("child_id")).distinct()
+    c = inputs.chunks(spark, d, "accession_no", "item_heading", "parent_chunk", "sub_headings", "is_table", "child_chunks", only=only)
+    p = graph.sec_parents(c, inputs.filings(spark, d))
     kids = p.select("company", "period", "form", "heading", "accession", "sub_heading", "parent_text", F.explode("children").alias("child_id", "child_text"))
     whole = p.select("company", "period", "form", "heading", "accession", "sub_heading", "parent_text", F.col("parent_id").alias("child_id"), F.col("parent_text").alias("child_text"))
     first = search.keep_first(_cited(spark, d), "child_id", ["pos"], by=["turn"])

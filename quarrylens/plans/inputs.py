@@ -65,8 +65,12 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
     return graph.filing_labels(graph.clean_filings(read_table(spark, d, "filings"), read_table(spark, d, "companies")))
 
 
-def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def chunks(spark: SparkSession, d: str, *columns: str, only: DataFrame | None = None) -> DataFrame:
+    """only: the chunk_ids that are wanted; the others are left out before any text is moved, and the version is then found on the
+    same partitioning."""
     c = read_table(spark, d, "sec_chunks")
+    if only is not None:
+        c = c.join(only, "chunk_id", "left_semi")
     return graph.clean_sec_chunks(c.select("chunk_id", "ingested_at", *columns) if columns else c)
 
 
