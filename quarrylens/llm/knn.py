@@ -31,6 +31,7 @@ from quarrylens.session import staged
 CELL_ROWS = 60_000  # vectors that a task holds at once, about
 SEND_COST = 4000  # sending a vector to a table costs as much as so many comparisons
 SAMPLE = 2000  # vectors that the hashing is fitted on, at most
+MOST_PENDING = 4_000_000  # pairs that a task gathers before it drops the lesser ones
 MOST_CELLS = 1_000_000  # large cells that are listed for all tasks, at most
 
 
@@ -311,6 +312,22 @@ def _send(rows: DataFrame, h: Hashing, blocks) -> DataFrame:
     return rows.select("v", "is_query").mapInArrow(run, ", ".join(fields))
 
 
+def _best(code: np.ndarray, s: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (query x n + neighbour) with their similarity in single precision those that may be among a query's k best, once
+    each."""
+    o = np.argsort(code, kind="stable")
+    code, s = code[o], s[o]
+    new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+    code, s = code[new], s[new]
+    q = code // n
+    o = np.lexsort((-s, q))
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(q)]]))
+    kth = s[o][first + np.minimum(size, k) - 1]
+    keep = s >= np.repeat(kth, size) - np.float32(1e-5)
+    return code[keep], s[keep]
+
+
 def _rerank(f: pd.DataFrame, dim: int, k: int, least: float, chunk: int = 2048) -> pd.DataFrame:
     """The k nearest of each query in one cell block, among the members of the buckets it probes there."""
     cat = lambda c, d: np.concatenate([np.zeros(0, d), *[np.frombuffer(x, d) for x in f[c]]])
@@ -328,7 +345,8 @@ def _rerank(f: pd.DataFrame, dim: int, k: int, least: float, chunk: int = 2048)
     start = np.flatnonzero(np.concatenate([[True], ib[1:] != ib[:-1]])) if len(ib) else np.zeros(0, np.int64)
     stop = np.concatenate([start[1:], [len(ib)]])[: len(start)]
     ql, qh = np.searchsorted(qb, ib[start], "left"), np.searchsorted(qb, ib[start], "right")
-    found = [np.zeros(0, np.int64)]
+    n = max(len(node), 1)
+    found, pending = [(np.zeros(0, np.int64), np.zeros(0, np.float32))], 0
     for a, z, lo, hi in zip(start, stop, ql, qh):
         m = ii[a:z]
         for c in range(lo, hi, chunk):
@@ -348,9 +366,13 @@ def _rerank(f: pd.DataFrame, dim: int, k: int, least: float, chunk: int = 2048)
                     best = s[r, g] >= floor[r]
                     r, g = r[best], g[best]
                 one, other = q[r], mm[g]
-                found.append((one * len(node) + other)[one != other])
-    pairs = distinct(np.concatenate(found))
-    pairs = np.stack([pairs // max(len(node), 1), pairs % max(len(node), 1)], 1)
+                fit_ = one != other
+                found.append(((one * n + other)[fit_], s[r, g][fit_]))
+                pending += len(found[-1][0])
+                if pending > MOST_PENDING:  # what can't be among the best is dropped from time to time, which bounds the memory
+                    found, pending = [_best(*(np.concatenate(x) for x in zip(*found)), n, k)], 0
+    pairs, _ = _best(*(np.concatenate(x) for x in zip(*found)), n, k)
+    pairs = np.stack([pairs // n, pairs % n], 1)
     cos = [np.zeros(0)]
     for e in range(0, len(pairs), 50_000):
         p = pairs[e : e + 50_000]

@@ -64,6 +64,16 @@ def test_empty_and_single(spark):
     assert knn.most_similar(frame(spark, np.ones((1, 8))), dim=8, min_cosine=0.8).count() == 0
 
 
+def test_pending_pairs_are_dropped_without_loss(spark, clustered, monkeypatch):
+    df = frame(spark, clustered[:400])
+    h = knn.Hashing(16, tables=1, functions=2, probes=6, width=3.0, cell_functions=0)
+    want = {(r.id, r.other) for r in knn.most_similar(df, dim=16, hashing=h).collect()}
+    code, s = knn._best(np.array([5, 1, 5, 2, 3, 13]), np.array([0.5, 0.9, 0.5, 0.8, 0.1, 0.2], np.float32), 10, 2)
+    assert code.tolist() == [1, 2, 13] and np.allclose(s, [0.9, 0.8, 0.2]) and not len(knn._best(code[:0], s[:0], 1, 2)[0])
+    monkeypatch.setattr(knn, "MOST_PENDING", 50)
+    assert {(r.id, r.other) for r in knn.most_similar(df, dim=16, hashing=h).collect()} == want
+
+
 def test_hot_cells_are_split_without_loss(spark, clustered):
     h = knn.Hashing(16, tables=2, functions=4, probes=6, width=3.0, cell_functions=1)
     df = frame(spark, clustered)
