@@ -445,6 +445,7 @@ def most_similar(
     Copies of a vector are ranked like any other row, with cosine 1; a class of copies of any size gives each of its members
     k rows. The hashing is fitted on at most SAMPLE vectors; every row is indexed.
     """
+    cell_rows = CELL_ROWS if min_cosine is not None else CELL_ROWS // 4  # without a threshold more is compared, so in smaller shares
     members, rows = members_of(vector_rows(df, id_col, vec_col), dim)
     asks = members.filter(query_filter) if query_filter is not None else members
     rows = rows.withColumn("is_query", F.lit(True) if query_filter is None else F.coalesce(query_filter, F.lit(False)))
@@ -452,8 +453,8 @@ def most_similar(
     n, n_ids = ids.count(), members.count()
     if hashing is None:
         s = _sample(rows, n_ids, dim)
-        hashing = fit(s, n, usual_reach(s, n, k) if min_cosine is None else min_cosine, recall, max_probes=64 if min_cosine is not None else 256, mutual=query_filter is None, query_share=min(1.0, asks.count() / max(n, 1)))
-    near = nearest_classes(rows, hashing, k, -1.0 if min_cosine is None else min_cosine, mutual=query_filter is None)
+        hashing = fit(s, n, usual_reach(s, n, k) if min_cosine is None else min_cosine, recall, cell_rows, max_probes=64 if min_cosine is not None else 256, mutual=query_filter is None, query_share=min(1.0, asks.count() / max(n, 1)))
+    near = nearest_classes(rows, hashing, k, -1.0 if min_cosine is None else min_cosine, mutual=query_filter is None, cell_rows=cell_rows)
     lead = ids.select(F.col("node").alias("n"), "ids")
     order = Window.partitionBy("q").orderBy(F.desc("cos"), F.col("ids")[0])
     near = near.join(lead, "n").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select(F.col("q").alias("node"), "ids", "cos")
