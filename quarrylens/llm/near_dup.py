@@ -31,6 +31,10 @@ BLOCK_BITS = 16
 PART_BYTES = 64 << 20  # what a task of the join reads, at most, about
 LEAST_PARTS = 12
 KEY_BYTES, SET_BYTES = 6, 14  # a key with its set's place; a set in a part without its bitmap
+KEYS_AT_ONCE = 1_000_000  # a task makes about so many keys before it sends them
+SENT = 6  # for each byte of text at most so many of keys and bitmaps are sent, else frequent tokens count as rare
+COPIES = 20  # if more than one in so many rows is a copy, distinct texts are set apart first
+FEW_CLASSES = 100_000  # ids that are broadcast, at most; more are joined by a shuffle
 HUB = 2000  # a text is joined with at most so many of its candidates in one group
 
 
@@ -38,7 +42,7 @@ HUB = 2000  # a text is joined with at most so many of its candidates in one gro
 class JoinRule:
     n_words: int = 5
     threshold: float = 0.8
-    rare: int = 512  # tokens that more documents have are indexed in combinations of two
+    rare: int = 512  # tokens that more documents have are indexed in combinations of two; doubled where a large corpus has too many of these
     max_sketch_bits: int = 24  # the sketch has at most 2^24 cells of one byte; more for a larger corpus, as far as workers have memory
     star_beyond: int | None = 64  # copies: classes up to this size give all their pairs, larger ones one pair for each member; None: all give all
 
@@ -50,8 +54,8 @@ def _level(count: np.ndarray, noise: float = 0.0) -> np.ndarray:
     return np.where(count > 1, np.clip(1 + np.rint(8 * np.log2(above)), 2, 255), count > 0).astype(np.uint8)
 
 
-def _sketch_bits(df: DataFrame, rule: JoinRule) -> int:
-    return int(np.clip(np.ceil(np.log2(max(1, df.count()) * 128)), BLOCK_BITS, rule.max_sketch_bits))
+def _sketch_bits(n_texts: int, rule: JoinRule) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1, n_texts) * 128)), BLOCK_BITS, rule.max_sketch_bits))
 
 
 def _scan(docs: DataFrame, bits: int, n_words: int) -> DataFrame:
@@ -99,11 +103,15 @@ def _ceil(x: float) -> int:
     return int(np.ceil(x - 1e-9))
 
 
+def _prefix(level: np.ndarray, t: float) -> np.ndarray:
+    n = len(level)
+    return np.argsort(level, kind="stable")[: n - _ceil(t * n) + 2]
+
+
 def _keys(s: np.ndarray, level: np.ndarray, rare_level: int, t: float) -> tuple[np.ndarray, int]:
     """The probe keys of one sorted set, of which the first so many are its index keys."""
     n = len(s)
-    order = np.argsort(level, kind="stable")
-    prefix = order[: n - _ceil(t * n) + 2]
+    prefix = _prefix(level, t)
     short = n - _ceil(2 * t / (1 + t) * n) + 2
     lv, tok, early = level[prefix], s[prefix], np.arange(len(prefix)) < short
     is_rare, often = (lv > 1) & (lv <= rare_level), np.flatnonzero(lv > rare_level)
@@ -132,8 +140,8 @@ def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
 
 
 def _parts(scan: DataFrame, t: float) -> int:
-    """How many parts the join has, so that none reads much more than PART_BYTES: by the keys and bitmaps of all distinct sets, if
-    each of a set's keys went to another part, as they do where parts are many."""
+    """How many parts the join has at least: by the bitmaps of all distinct sets, if each had one key for each token of its prefix
+    and each key went to another part, as they do where parts are many. _planned() counts the pairs of frequent tokens as well."""
     probes = f"(({1 - t} * n) + 2)"
     bitmap = "32 * pow(2, greatest(0, ceil(log2(n / 170))))"
     sets = scan.filter("block IS NULL").groupBy("h1", "h2").agg(F.min("n").alias("n"))
@@ -141,16 +149,71 @@ def _parts(scan: DataFrame, t: float) -> int:
     return max(LEAST_PARTS, int(np.ceil(total / PART_BYTES)))
 
 
-def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int) -> DataFrame:
-    """Rows (pid, blob columns): of each batch, what part pid needs: keys, and a table of the sets that have one there."""
-    rare_level = int(_level(np.array([rule.rare]))[0])
+def _planned(docs: DataFrame, sketch, bits: int, rule: JoinRule) -> tuple[int, int]:
+    """(parts of the join, the rare count to go by), by the keys that every text has, counted in one pass: so many parts that none
+    reads much more than PART_BYTES. A set's bitmap goes to each part in which it has a key, so what is sent grows with the parts.
+
+    Pairs of frequent tokens grow with the square of these, and the larger the corpus, the more tokens are frequent. Where more
+    than SENT times the texts, and more than LEAST_PARTS full parts, would be sent, the rare count is doubled until it is not: the
+    same pairs are found by fewer keys and more comparisons.
+    """
+    rares = [rule.rare, *(max(rule.rare, 1) << j for j in range(1, 12))]
+    parts = LEAST_PARTS << np.arange(16, dtype=np.int64)
+    rare_levels = _level(np.array(rares))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, seen, sent, n_bytes = sketch.value, set(), np.zeros((len(rares), len(parts)), np.int64), 0
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            n_bytes += sum(map(len, texts))
+            sets = [s for s in shingle_sets(texts, rule.n_words) if len(s)]
+            for s, h in zip(sets, set_hashes(sets)[0].tolist()):
+                if h in seen:
+                    continue
+                seen.add(h)
+                level = levels[s >> np.uint64(64 - bits)]
+                lv = level[_prefix(level, rule.threshold)]
+                at = np.searchsorted(lv, rare_levels, "right")
+                often = len(lv) - at
+                keys = np.maximum(at - np.searchsorted(lv, 1, "right"), 0) + often * (often - 1) // 2 + often * (_ceil(rule.threshold * len(s)) <= 1)
+                sent += keys[:, None] * KEY_BYTES + np.minimum(keys[:, None], parts) * (SET_BYTES + 8 * _width(len(s)))
+        yield pa.RecordBatch.from_arrays([pa.array([n_bytes]), pa.array([sent.ravel().tolist()])], ["n_bytes", "sent"])
+
+    total, n_bytes = np.zeros((len(rares), len(parts)), np.int64), 0
+    for r in docs.mapInArrow(run, "n_bytes bigint, sent array<bigint>").toLocalIterator():
+        total, n_bytes = total + np.array(r.sent, np.int64).reshape(total.shape), n_bytes + r.n_bytes
+    enough = total <= parts * PART_BYTES
+    of = np.where(enough.any(1), enough.argmax(1), len(parts) - 1)
+    sent = total[np.arange(len(rares)), of]
+    fits = np.flatnonzero(sent <= max(SENT * n_bytes, LEAST_PARTS * PART_BYTES))
+    j = int(fits[0] if len(fits) else sent.argmin())
+    return max(int(parts[of[j]] if enough[j].any() else 0), LEAST_PARTS, _ceil(sent[j] / PART_BYTES)), rares[j]
+
+
+def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int, rare: int) -> DataFrame:
+    """Rows (pid, blob columns): of about KEYS_AT_ONCE keys, what part pid needs: keys, and a table of the sets that have one there."""
+    rare_level = int(_level(np.array([rare]))[0])
     names = ["pid", "key", "of", "dh", "dn", "bm"]
     types = [pa.int32(), *[pa.binary()] * 5]
 
+    def sent(keys: list, of: list, dh: list, dn: list, bm: list) -> pa.RecordBatch:
+        dh, dn = np.array(dh, np.int64), np.array(dn, np.uint32)
+        keys, of = mix(np.concatenate(keys)), np.concatenate(of)
+        pid = (keys % np.uint64(parts)).astype(np.int64)
+        o = np.argsort(pid, kind="stable")
+        # 32 bits are enough within a part: keys that fall together cost a candidate, never a link
+        pid, keys, of = pid[o], (keys >> np.uint64(32)).astype(np.uint32)[o], of[o]
+        cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
+        rows = []
+        for a, z in zip(cut, [*cut[1:], len(pid)]):
+            used, inv = np.unique(of[a:z] >> 1, return_inverse=True)
+            place = (2 * inv + (of[a:z] & 1)).astype(np.uint16 if len(used) < 2**15 else np.uint32)
+            rows.append((int(pid[a]), keys[a:z].tobytes(), place.tobytes(), dh[used].tobytes(), dn[used].tobytes(), b"".join(bm[u].tobytes() for u in used)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = sketch.value, set()
+        levels, seen, held, n_keys = sketch.value, set(), ([], [], [], [], []), 0
         for b in batches:
-            keys, of, dh, dn, bm = [], [], [], [], []
             sets = [s for s in shingle_sets(b.column(1).to_pylist(), rule.n_words) if len(s)]
             for s, h in zip(sets, set_hashes(sets)[0].tolist()):
                 if h in seen:  # copies in one task are sent once
@@ -159,23 +222,15 @@ def _emit(docs: DataFrame, sketch, bits: int, rule: JoinRule, parts: int) -> Dat
                 k, n_index = _keys(s, levels[s >> np.uint64(64 - bits)], rare_level, rule.threshold)
                 if not len(k):
                     continue
-                keys.append(k), of.append(2 * len(dh) + (np.arange(len(k)) < n_index))  # the lowest bit marks an index key
-                dh.append(h), dn.append(len(s)), bm.append(_bitmap(s, _width(len(s))))
-            if not dh:
-                continue
-            dh, dn = np.array(dh, np.int64), np.array(dn, np.uint32)
-            keys, of = mix(np.concatenate(keys)), np.concatenate(of)
-            pid = (keys % np.uint64(parts)).astype(np.int64)
-            o = np.argsort(pid, kind="stable")
-            # 32 bits are enough within a part: keys that fall together cost a candidate, never a link
-            pid, keys, of = pid[o], (keys >> np.uint64(32)).astype(np.uint32)[o], of[o]
-            cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
-            rows = []
-            for a, z in zip(cut, [*cut[1:], len(pid)]):
-                used, inv = np.unique(of[a:z] >> 1, return_inverse=True)
-                place = (2 * inv + (of[a:z] & 1)).astype(np.uint16 if len(used) < 2**15 else np.uint32)
-                rows.append((int(pid[a]), keys[a:z].tobytes(), place.tobytes(), dh[used].tobytes(), dn[used].tobytes(), b"".join(bm[u].tobytes() for u in used)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                # the lowest bit marks an index key
+                for x, v in zip(held, (k, 2 * len(held[2]) + (np.arange(len(k)) < n_index), h, len(s), _bitmap(s, _width(len(s))))):
+                    x.append(v)
+                n_keys += len(k)
+                if n_keys >= KEYS_AT_ONCE:
+                    yield sent(*held)
+                    held, n_keys = ([], [], [], [], []), 0
+        if n_keys:
+            yield sent(*held)
 
     return docs.mapInArrow(run, "pid int, key binary, of binary, dh binary, dn binary, bm binary")
 
@@ -237,10 +292,25 @@ def _candidates(f: dict[str, list[bytes]], t: float, chunk: int = 1_000_000) ->
     return dh[pairs // max(len(dh), 1)], dh[pairs % max(len(dh), 1)]
 
 
-def _pair_classes(docs: DataFrame, scan: DataFrame, bits: int, rule: JoinRule) -> DataFrame:
+def _once_each(docs: DataFrame, scan: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """The texts of the classes' least ids, written; None if so few rows are copies that it is not worth it.
+
+    Copies in different tasks would each be counted in the sketch, which makes all their tokens frequent, and be sent to the join.
+    """
+    n_rows, n_classes = scan.filter("block IS NULL").count(), classes.count()
+    if (n_rows - n_classes) * COPIES <= n_rows:
+        return None
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    kept = docs.join(F.broadcast(reps) if n_classes <= FEW_CLASSES else reps, "id", "left_semi")
+    # rows that repeat an id and its text are merged; an id with several texts may stand for several classes
+    return staged(kept.groupBy("id", F.xxhash64("t").alias("x")).agg(F.min("t").alias("t")).select("id", "t"), "near-texts")
+
+
+def _pair_classes(docs: DataFrame, scan: DataFrame, bits: int, rule: JoinRule, least: int) -> DataFrame:
     """Distinct candidate pairs (ha, hb) of class hashes, not yet verified."""
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(scan, bits))
-    parts = _parts(scan, rule.threshold)
+    parts, rare = _planned(docs, sketch, bits, rule)
+    parts = max(parts, least)
     t = rule.threshold
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +319,7 @@ def _pair_classes(docs: DataFrame, scan: DataFrame, bits: int, rule: JoinRule) -
             a, b = _candidates({c: [r[c] for r in rows] for c in rows[0]}, t)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["ha", "hb"])
 
-    sent = _emit(docs, sketch, bits, rule, parts).repartitionById(parts, F.col("pid"))  # a part is a task's
+    sent = _emit(docs, sketch, bits, rule, parts, rare).repartitionById(parts, F.col("pid"))  # a part is a task's
     return sent.mapInArrow(join, "ha bigint, hb bigint").distinct()
 
 
@@ -272,13 +342,18 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, rule: JoinRule = Joi
     count once; an id with several texts belongs to each of their classes. No link between different sets is lost.
     """
     docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL")
-    bits = _sketch_bits(df, rule)
+    bits = _sketch_bits(df.count(), rule)
     scan = staged(_scan(docs, bits, rule.n_words), "near-scan")
     rows = scan.filter("block IS NULL").select("id", "h1", "h2").distinct()
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     classes = staged(classes, "near-classes")
     members = rows.join(classes, ["h1", "h2"]).select("id", "rep", "size")
-    raw = _pair_classes(docs, scan, bits, rule)
+    least = _parts(scan, rule.threshold)
+    once = _once_each(docs, scan, classes)
+    if once is not None:
+        docs, bits = once, _sketch_bits(classes.count(), rule)
+        scan = _scan(docs, bits, rule.n_words)
+    raw = _pair_classes(docs, scan, bits, rule, least)
     a, b = (classes.select(F.col("h1").alias(f"h{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
     pairs = staged(raw.join(a, "ha").join(b, "hb").select("rep_a", "rep_b"), "near-pairs")
     need = pairs.select(F.col("rep_a").alias("id")).union(pairs.select("rep_b")).distinct()

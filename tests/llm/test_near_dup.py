@@ -131,3 +131,40 @@ def test_bitmap_bound_is_safe():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
         big = n._bitmap(a, 2 * w)
         assert np.array_equal(big[:w] ^ big[w:], x)
+
+
+def _sent(spark, monkeypatch, rows, rule):
+    """The pairs found, and what goes to the join: distinct-text rows, and bytes of each part."""
+    seen, real = [], n._emit
+    monkeypatch.setattr(n, "_emit", lambda *a: seen.append(real(*a)) or seen[-1])
+    pairs = {(r.id_a, r.id_b) for r in n.similar_pairs(rows, "chunk_id", "parent_chunk", rule).collect()}
+    per = seen[0].selectExpr("pid", "length(dh) AS sets", "length(key) + length(of) + length(dh) + length(dn) + length(bm) AS size").groupBy("pid").sum("sets", "size").collect()
+    return pairs, per
+
+
+def test_copies_in_many_tasks_are_sent_once(spark, monkeypatch):
+    texts = {f"d{i:02d}": " ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)}
+    texts |= {f"e{i:02d}": t + " more" for i, t in enumerate(texts.values())}
+    rows = [(f"{k}~{c}", t) for c in range(8) for k, t in texts.items()]
+    rule = n.JoinRule(3, 0.6, star_beyond=4)
+    pairs, per = _sent(spark, monkeypatch, frame(spark, rows).repartition(8), rule)
+    _, once = _sent(spark, monkeypatch, frame(spark, texts.items()).repartition(8), rule)
+    assert sum(r["sum(size)"] for r in per) <= 1.1 * sum(r["sum(size)"] for r in once)
+    assert pairs == {(f"{k}~0", f"{k}~{c}") for k in texts for c in range(1, 8)} | {(f"d{i:02d}~0", f"e{i:02d}~0") for i in range(40)}
+
+
+def test_parts_grow_with_pairs_of_frequent_tokens(spark, monkeypatch):
+    texts = corpus(7, 400)
+    monkeypatch.setattr(n, "PART_BYTES", 60_000)
+    monkeypatch.setattr(n, "SENT", 10**6)
+    pairs, per = _sent(spark, monkeypatch, frame(spark, texts.items()), n.JoinRule(3, 0.6, rare=0))
+    assert max(r["sum(size)"] for r in per) <= 2 * 60_000 and pairs == brute(texts, 3, 0.6)
+
+
+def test_frequent_tokens_count_as_rare_where_pairs_are_too_many(spark, monkeypatch):
+    texts = corpus(8, 400)
+    monkeypatch.setattr(n, "PART_BYTES", 60_000)
+    pairs, per = _sent(spark, monkeypatch, frame(spark, texts.items()), n.JoinRule(3, 0.6, rare=0))
+    monkeypatch.setattr(n, "SENT", 10**6)
+    _, more = _sent(spark, monkeypatch, frame(spark, texts.items()), n.JoinRule(3, 0.6, rare=0))
+    assert pairs == brute(texts, 3, 0.6) and 2 * sum(r["sum(size)"] for r in per) < sum(r["sum(size)"] for r in more)
