@@ -11,6 +11,7 @@ from quarrylens.functions import periods
 from quarrylens.functions.scalars import finite, percent_display, two_decimals
 from quarrylens.operators import audit, chunking, context, graph, memory, queryplan, scoring, search, timeseries
 from quarrylens.plans import inputs
+from quarrylens.session import staged
 from quarrylens.sources.html import html_elements
 from quarrylens.sources.readers import read_table
 
@@ -401,11 +402,14 @@ def multi_query_budgets(spark, d):
     v = v.filter(~F.exists("vec", F.isnan))
     sec = h.unionByName(p).join(v, "child_id").select("company", "child_id", "vec", "parent_text")
     call = _call_vectors(spark, d).select("company", "child_id", F.col("embedding").alias("vec"), F.col("child_text").alias("parent_text"))
-    out = None
+    t, out = staged(t, "asks"), None
     for source, pool, ask, k, budget in (("filings", sec, "embedding", 10, 3), ("calls", call, "embedding_trans", 5, 2)):
-        jobs = t.select("job_id", "q", "who", F.col(ask).alias("q_vec"))
-        near = search.jobs_top_k(pool, jobs, F.col("company") == F.col("who"), k, "child_id", "vec").withColumn("id", F.col("child_id"))
-        best = search.rerank(near, budget, by=["job_id"]).select("job_id", F.lit(source).alias("source"), "child_id", F.col("rerank").cast("long").alias("place"))
+        # the search moves ids and vectors only; the texts of what it has found are joined by the row's hash
+        pool = staged(pool.withColumn("row", F.xxhash64(*pool.columns)), "pool")
+        near = staged(search.grouped_top_k(pool, t, "company", "who", k, "child_id", "vec", ask, ["row"]), "near")
+        texts = pool.join(near.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("parent_text").alias("parent_text"))
+        hits = near.join(texts, "row").join(t.select("job_id", "q"), "job_id").withColumn("id", F.col("child_id"))
+        best = search.rerank(hits, budget, by=["job_id"]).select("job_id", F.lit(source).alias("source"), "child_id", F.col("rerank").cast("long").alias("place"))
         out = best if out is None else out.unionByName(best)
     return out
 

@@ -91,3 +91,34 @@ def test_hashed_embedding_has_norm_one(spark):
     df = spark.createDataFrame([("a b a",), ("a b a",), ("",), (None,)], "t string")
     got = [r.v for r in df.select(search.hashed_embedding(F.col("t"), 16).alias("v")).collect()]
     assert got[0] == got[1] and abs(sum(x * x for x in got[0]) - 1) < 1e-12 and got[2] is None and got[3] is None
+
+
+def test_grouped_search_in_blocks_is_that_of_the_jobs(spark, monkeypatch):
+    r = random.Random(4)
+    vs = [[float(r.randrange(-2, 3)) for _ in range(4)] for _ in range(12)]  # few, so that many are equal or parallel
+    rows = [(i, "ab"[i % 2], r.choice(vs)) for i in range(300)] + [(300, "a", None), (301, "a", [1.0, None, 1.0, 1.0]), (302, "a", [1.0]), (303, None, vs[0]), (304, "c", vs[0])]
+    v = spark.createDataFrame(rows, "id int, g string, embedding array<float>")
+    asks = [(i, "abd"[i % 3], [float(r.randrange(-2, 3)) for _ in range(4)]) for i in range(90)] + [(90, "a", None), (91, None, vs[0]), (92, "a", [2.0])]
+    jobs = spark.createDataFrame(asks, "job_id int, who string, q_vec array<float>")
+    want = {(x.job_id, x.id, x.score, x.rank) for x in search.jobs_top_k(v, jobs, F.col("g") == F.col("who"), 7).collect()}
+    assert {(x.job_id, x.id, x.score, x.rank) for x in search.grouped_top_k(v, jobs, "g", "who", 7).collect()} == want
+    for name, n in (("VECTOR_BLOCK", 40), ("JOB_BLOCK", 10), ("TILE", 3)):
+        monkeypatch.setattr(search, name, n)
+    assert {(x.job_id, x.id, x.score, x.rank) for x in search.grouped_top_k(v, jobs, "g", "who", 7).collect()} == want
+
+
+def test_budgets_of_more_than_10_000_turns(spark, data, tmp_path):
+    import os
+
+    from quarrylens.plans import catalogue
+
+    for f in os.listdir(data):
+        if f != "conversation_turns.parquet":
+            os.symlink(f"{data}/{f}", f"{tmp_path}/{f}")
+    t = spark.read.parquet(f"{data}/conversation_turns.parquet")
+    copies = t.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2000)))).withColumn("id", F.concat_ws("~", "id", "n")).filter("id NOT LIKE '~%'").drop("n")
+    copies.write.parquet(f"{tmp_path}/conversation_turns.parquet")
+    want = {tuple(r) for r in catalogue.multi_query_budgets(spark, data).collect()}
+    got = catalogue.multi_query_budgets(spark, str(tmp_path)).withColumn("job_id", F.substring_index("job_id", "~", 1))
+    assert got.select("job_id").count() > 2001 * 5 and want
+    assert {(tuple(r)[:-1], r[-1]) for r in got.groupBy("job_id", "source", "child_id", "place").count().collect()} == {(x, 2001) for x in want}
