@@ -402,11 +402,12 @@ def multi_query_budgets(spark, d):
     v = v.filter(~F.exists("vec", F.isnan))
     sec = h.unionByName(p).join(v, "child_id").select("company", "child_id", "vec", "parent_text")
     call = _call_vectors(spark, d).select("company", "child_id", F.col("embedding").alias("vec"), F.col("child_text").alias("parent_text"))
+    call = call.filter(~F.exists("vec", F.isnan))
     t, out = staged(t, "asks"), None
     for source, pool, ask, k, budget in (("filings", sec, "embedding", 10, 3), ("calls", call, "embedding_trans", 5, 2)):
         # the search moves ids and vectors only; the texts of what it has found are joined by the row's hash
         pool = staged(pool.withColumn("row", F.xxhash64(*pool.columns)), "pool")
-        near = staged(search.grouped_top_k(pool, t, "company", "who", k, "child_id", "vec", ask, ["row"]), "near")
+        near = staged(search.grouped_top_k(pool, t, "company", "who", k, "child_id", "vec", ask, ["row"]).filter(~F.isnan("score")), "near")  # infinite values take a place, as in SQL, and are no hits
         texts = pool.join(near.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("parent_text").alias("parent_text"))
         hits = near.join(texts, "row").join(t.select("job_id", "q"), "job_id").withColumn("id", F.col("child_id"))
         best = search.rerank(hits, budget, by=["job_id"]).select("job_id", F.lit(source).alias("source"), "child_id", F.col("rerank").cast("long").alias("place"))

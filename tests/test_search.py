@@ -122,3 +122,22 @@ def test_budgets_of_more_than_10_000_turns(spark, data, tmp_path):
     got = catalogue.multi_query_budgets(spark, str(tmp_path)).withColumn("job_id", F.substring_index("job_id", "~", 1))
     assert got.select("job_id").count() > 2001 * 5 and want
     assert {(tuple(r)[:-1], r[-1]) for r in got.groupBy("job_id", "source", "child_id", "place").count().collect()} == {(x, 2001) for x in want}
+
+
+def test_budgets_are_those_of_sql_where_vectors_are_not_finite(spark, data, tmp_path):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from quarrylens.plans import catalogue, oracle
+
+    for f in os.listdir(data):
+        if f != "chunk_embeddings.parquet":
+            os.symlink(f"{data}/{f}", f"{tmp_path}/{f}")
+    e = spark.read.parquet(f"{data}/chunk_embeddings.parquet")
+    odd = F.when(F.crc32("id") % 7 == 0, float("inf")).when(F.crc32("id") % 7 == 1, float("nan")).cast("float")
+    e.withColumn("openai_embedding", F.when(odd.isNotNull() & (F.size("openai_embedding") == 128), F.concat(F.array(odd), F.slice("openai_embedding", 2, 127))).otherwise(F.col("openai_embedding"))).coalesce(1).write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    c = duckdb.connect()
+    for f in os.listdir(tmp_path):
+        c.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{tmp_path}/{f}{'/*.parquet' if f.startswith('chunk_e') else ''}'")
+    got = {tuple(r) for r in catalogue.multi_query_budgets(spark, str(tmp_path)).collect()}
+    assert got == set(c.sql(oracle.ORACLE["multi_query_budgets"]).fetchall()) and got
